@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import decontam, langid, linededup, toxicity
+from panelworks.llm import decontam, jaccard, langid, linededup, mixing, toxicity
 from panelworks.llm.common import held_out
 
 
@@ -28,6 +28,20 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+#: Shares of tokens that the mix is to have of each domain, and its size for that of the corpus.
+SHARES = {"high": 0.80, "low": 0.15, "toxic": 0.05}
+TOTAL = 1.15
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, _ = mixing.mix(_table(spark, sf_dir, "documents"), mixing.label_domains(_table(spark, sf_dir, "labels")), SHARES, TOTAL)
+    return rows.select("doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{x}") for i, x in enumerate(SHARES)], "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.summary(decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10))
 
@@ -41,7 +55,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size(linededup.lines_of(F.col("text"))).cast("long").alias("n_lines"), n_dropped.alias("n_dropped"), F.sha2(F.array_join(kept, "\n").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op5_decontamination, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_mixing, op4_jaccard, op5_decontamination, op8_line_dedup)}
 
 SQL: dict[str, str] = {
     "op5_decontamination": r"""
