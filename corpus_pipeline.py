@@ -3,10 +3,67 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from panelworks.llm import decontam, jaccard, langid, linededup, mixing
+from panelworks.llm.common import stored
+from panelworks.llm.queries import SHARES, TOTAL
+
+#: A language is rejected where no letter was found, or where another is about as likely.
+LEAST_LANG_SCORE = 0.4
+#: Lines found in this many documents lose all but their first occurrence.
+LINE_DOCS = 10
+#: A document is contaminated if windows of this many words hold at least this many of its words, or this share of them.
+WINDOW, HIT_WORDS, HIT_SHARE = 10, 20, 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language that was learned stay; texts without a letter, or between languages, go."""
+    model = langid.fit(docs)
+    return docs.withColumn("_p", langid.predict(model, spark, F.col("text"))).filter((F.col("_p.lang") != langid.UND) & (F.col("_p.score") >= LEAST_LANG_SCORE)).drop("_p")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share stay in the first of them only; a text of such lines alone goes whole."""
+    maps = linededup.bitmaps(docs, min_docs=LINE_DOCS, keep="first")
+    out = linededup.with_bitmaps(docs, maps, "_dropped").withColumn("_kept", F.array_join(linededup.kept_lines(F.col("text"), F.col("_dropped")), "\n"))
+    out = out.filter(F.col("_dropped").isNull() | (F.btrim("_kept", F.lit(linededup.SPACE)) != ""))
+    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.col("_kept"))
+    chars = {"n_chars": F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("long"))} if "n_chars" in docs.columns else {}
+    return out.withColumns({"text": text} | chars).select(*docs.columns)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, 0.8) the document with the smallest id stays."""
+    found = jaccard.classes(docs, k=5, percent=80)
+    stay = found.filter("doc_id = component_id").select("doc_id").distinct()
+    one = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark go."""
+    found = decontam.summary(decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=WINDOW))
+    bad = stored(found.filter((F.col("n_hit") >= HIT_WORDS) | (F.col("n_hit") > F.col("n_words") * HIT_SHARE)).filter("doc_id is not null").select("doc_id").distinct())
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their rate and whole copies in the mix; those with no copy go."""
+    labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    _, domains, rates = mixing.mix(docs, labels, SHARES, TOTAL)
+    out = domains.with_posteriors(docs, n="n_tokens", p="posterior").withColumn("rate", rates.rate())
+    return out.withColumn("copies", mixing.copies(F.col("rate"), F.col("doc_id"))).filter("copies > 0").select(*docs.columns, "n_tokens", "posterior", "rate", "copies")
+
+
+STAGES = [("language_id", language), ("line_dedup", line_dedup), ("ngram_jaccard_join", jaccard_join), ("decontamination", decontaminate), ("mixing", mix)]
+
+#: Language ID and mixing are learned models; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs
