@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelworks.llm import decontam, jaccard, langid, linededup, mixing, toxicity
-from panelworks.llm.common import held_out
+from panelworks.llm import chat, ctw, decontam, jaccard, langid, linededup, media, mixing, toxicity, urlrules
+from panelworks.llm.common import held_out, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,23 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.summary(decontam.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = media.media_folder(spark)
+    refs = stored(media.write_media(_table(spark, sf_dir, "documents"), folder))
+    heads, whole = media.metadata(refs, folder), media.features(refs, folder)
+    out = refs.join(whole, "digest").join(heads, "digest")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bits")
+
+
+#: Fixed url rules of the query: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    return urlrules.judge(_table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     maps = linededup.bitmaps(docs, min_docs=10, min_chars=1, keep="none")
@@ -55,9 +72,33 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size(linededup.lines_of(F.col("text"))).cast("long").alias("n_lines"), n_dropped.alias("n_dropped"), F.sha2(F.array_join(kept, "\n").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_mixing, op4_jaccard, op5_decontamination, op8_line_dedup)}
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
+    return chat.digests(stored(chat.pieces(turns)))
+
+
+def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ctw.scores(_table(spark, sf_dir, "documents"), ~held_out("doc_id", 10, 0), depth=5)
+    bits = -F.col("score") / F.lit(0.30102999566398120) / F.greatest(F.lit(1), F.col("n_bytes"))
+    return out.select("doc_id", held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", bits.alias("bits_per_byte"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_langid, op3_mixing, op4_jaccard, op5_decontamination, op6_media, op7_url_filter, op8_line_dedup, op9_chat, op10_ctw)}
 
 SQL: dict[str, str] = {
+    "op9_chat": r"""
+with t as (
+  select conv_id, turn, role, coalesce(text, '') text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, length(text) + (length(text) - length(translate(text, '\<[', ''))) + length(role) + (length(role) - length(translate(role, '\<[', ''))) + 11 as chars from t),
+f as (select *, coalesce(sum(chars) over (partition by conv_id order by turn, role, text rows between unbounded preceding and 1 preceding), 0) before from e)
+select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256, sum(chars)::bigint formatted_chars,
+  count(*) filter (role = 'assistant')::bigint n_examples, coalesce(sum(before) filter (role = 'assistant'), 0)::bigint context_chars
+from f group by conv_id""",
     "op5_decontamination": r"""
 with w as (
   select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') ws from documents),
