@@ -12,7 +12,6 @@ from panelworks.operators import stats as A
 from panelworks.plans.registry import query
 from panelworks.sources.fixtures import CLASS_SQL, FEATURE_SQL, PANEL_SQL, REGRESSION_SQL, SERIES_SQL, classification, event_series, panel, prices, regression, table
 
-DT = F.col("dt").cast("string").alias("dt")
 PAN = "with " + PANEL_SQL
 FEAT = "with " + FEATURE_SQL
 WIN = " window w as (partition by asset order by dt)"
@@ -23,7 +22,7 @@ def out(df: DataFrame, digits: int = 8, keep: tuple[str, ...] = ("asset",)) -> D
     head = [c for c in keep if c in df.columns] + (["dt"] if "dt" in df.columns else [])
     kinds = dict(df.dtypes)
     rest = [(r(F.col(c), digits) if kinds[c] == "double" else F.col(c)).alias(c) for c in df.columns if c not in head]
-    return df.select(*[DT if c == "dt" else c for c in head], *rest)
+    return df.select(*[F.col("dt").cast("string").alias("dt") if c == "dt" else c for c in head], *rest)
 
 
 def rnd(x: str, name: str, digits: int = 8) -> str:
@@ -162,7 +161,7 @@ def w7_drawdown(spark, d):
     return out(panel(spark, d).withColumn("cum", W.growth()).withColumn("dd", W.drawdown()).select("asset", "dt", "dd"))
 
 
-WEIGHTS = FEAT + ", wt as (select asset, dt, case when isodow(dt) = 5 then case when zscore < -0.5 then 0.5 when zscore > 0.5 then -0.5 else 0.0 end end as w from feat)"
+WEIGHTS = FEAT + ", wt as (select asset, dt, price, ret, case when isodow(dt) = 5 then case when zscore < -0.5 then 0.5 when zscore > 0.5 then -0.5 else 0.0 end end as w from feat)"
 
 
 def friday_weights(spark, d):
@@ -352,7 +351,7 @@ def t3_latest(spark, d):
 @query(FEAT + COSTED + ", q as (select asset, dt, w - coalesce(lag(w) over (partition by asset order by dt), 0) qty from pos) select asset, cast(dt as varchar) dt, qty::double qty from q where qty <> 0 order by dt, asset")
 def t4_trade_log(spark, d):
     pos = W.features(panel(spark, d)).withColumn("w", P.reversion_position(F.col("zscore")))
-    return A.sorted_log(pos.withColumn("qty", F.col("w") - W.prior()).filter("qty <> 0").select("asset", DT, "qty"))
+    return A.sorted_log(pos.withColumn("qty", F.col("w") - W.prior()).filter("qty <> 0").select("asset", F.col("dt").cast("string").alias("dt"), "qty"))
 
 
 @query("with " + SERIES_SQL + ", n as (select *, count(*) over (partition by series_id) n from ser) select series_id, sum(cast(t - 1 < floor(n * 0.7) as int))::bigint as train, sum(cast(t - 1 >= floor(n * 0.7) as int))::bigint as test from n group by 1")
@@ -409,6 +408,13 @@ def x2_ljung_box_p(spark, d):
     return out(ljung_box(event_series(spark, d)), 6, keep=("series_id", "lag"))
 
 
+@query()
+def x3_adf(spark, d):
+    from panelworks.operators.series import adf
+
+    return out(adf(panel(spark, d), value="ret", s=W.S, max_lag=12), 6, ("asset", "lags", "n_obs"))
+
+
 @query(
     PAN
     + """, o as (select asset, dt, ret, row_number() over (partition by asset order by dt) - 1 i, count(*) over (partition by asset) n from panel where ret is not null),
