@@ -2,13 +2,14 @@
 
 A document is its set of distinct k-word shingles. All sets are sorted by one order, rare shingles first. Two sets with
 the wanted Jaccard similarity share at least L shingles among the first n - a + L of each, where a bounds their overlap from below; this
-holds for each L. A document whose first shingles are frequent takes a larger L: a longer prefix, but a partner must share L
-shingles of it before the pair is verified. L minimises the estimated cost of reading lists and verifying candidates.
+holds for each L. A document whose first shingles others hold too takes a larger L: a longer prefix, but a partner must share L
+shingles of it before the pair is verified. L minimises the cost of reading lists and verifying candidates, estimated from the lists' lengths.
 
 Equal sets are one class from the start. Of the classes that share a prefix shingle the first is its leader; classes are verified
-against their leaders first, and what has linked to the same leader needs no further pair to be in one component. All pairs
-of different labels that pass the prefix rule are then verified on their whole texts; so no link between components is lost, and
-a large group of near copies costs rows in proportion to its size.
+against their leaders first, where lists are long against some more leaders, and what is connected then needs no further pair. For all
+other pairs of a list, in tiles of bounded size, what both prefixes share and what can follow bounds the overlap; so do
+sketches of 512 bits, the parities of how many shingles fall into each, which bound the shingles that only one of two sets has. Those that the bounds leave are verified on
+whole texts; so no link between components is lost, and a group of near copies gives pairs in proportion to its size, not to its square.
 
 Frequencies for the order come from counts of all shingles by a hash of 20 bits: any order is correct, they only make it a good one.
 
@@ -19,11 +20,12 @@ one shingle; rows with NULL id keep their own row with a NULL component; rows th
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.llm.common import LOWER_TABLE, stored
@@ -31,6 +33,13 @@ from panelworks.llm.graph import components
 
 BITS = 20
 SALTS = 16
+#: Bits of the parity sketch of a set.
+ODD = 512
+TILE = 2048
+#: Lists longer than this get more leaders before their pairs are looked at: so many a round, on so many lists of a document.
+LONG, LEADERS, LISTS, ROUNDS = 64, 8, 3, 2
+#: Ids that are sent to all executors at most.
+SENT_IDS = 500_000
 
 
 class WordIds(dict):
@@ -58,6 +67,47 @@ def shingles(text: str | None, k: int, ids: WordIds) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
+def batch_sets(texts: list[str | None], k: int, ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of some texts one after another, and where each ends; the same hashes as ``shingles``."""
+    words = [t.encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split() if t else [] for t in texts]
+    size = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter(map(ids.__getitem__, chain.from_iterable(words)), np.uint64, int(size.sum()))
+    n = np.where(size >= k, size - k + 1, 0)
+    start = np.cumsum(size) - size
+    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    out = np.full(len(at), k * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+    for j in range(k):
+        out = (out ^ h[at + j]) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    ends = np.cumsum(n)
+    for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
+        out[a:b].sort()
+    first = np.ones(len(out), bool)
+    first[1:] = out[1:] != out[:-1]
+    first[(ends - n)[n > 0]] = True
+    total = np.concatenate([[0], np.cumsum(first)])[ends]
+    out = out[first]
+    short = np.flatnonzero((size > 0) & (size < k))
+    if len(short):  # few words: one shingle, put in its place
+        one = np.concatenate([shingles(texts[i], k, ids) for i in short.tolist()])
+        out = np.insert(out, total[short], one)
+        total = total + np.cumsum((size > 0) & (size < k))
+    return out, total
+
+
+def lots(batch: pa.RecordBatch, column: int, chars: int = 4_000_000):
+    """(first row, texts) of parts of a batch of bounded size."""
+    texts, size, start = [], 0, 0
+    for i, t in enumerate(batch.column(column)):
+        texts.append(t.as_py())
+        size += len(texts[-1] or "")
+        if size > chars:
+            yield start, texts
+            texts, size, start = [], 0, i + 1
+    if texts:
+        yield start, texts
+
+
 def least_overlap(n, percent: int):
     """Of a set of n with any partner that is not larger."""
     return -(-percent * n // 100)
@@ -75,9 +125,8 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches):
         ids, total = WordIds(), np.zeros(1 << BITS, np.int64)
         for b in batches:
-            for t in b.column(0):
-                if len(s := shingles(t.as_py(), k, ids)):
-                    np.add.at(total, (s >> np.uint64(64 - BITS)).astype(np.int64), 1)
+            for _, texts in lots(b, 0):
+                total += np.bincount((batch_sets(texts, k, ids)[0] >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
         rows = total.reshape(parts, width)
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "counts"])
 
@@ -97,57 +146,70 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _order(s: np.ndarray, sketch: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
-    """The set in the common order, and estimates of how many others hold each: what a count exceeds the noise of its bucket by."""
-    more = np.maximum(0, sketch[(s >> np.uint64(64 - BITS)).astype(np.int64)] - noise)
-    level = np.log2(1 + more).astype(np.int64)
-    o = np.argsort(level, kind="stable")
-    return s[o], more[o]
-
-
-def choose_length(n: int, more: np.ndarray, percent: int, most: int) -> int:
-    """L of least estimated cost: reading the prefix's lists, and verifying those found L times."""
-    a = least_overlap(n, percent)
-    tests = np.arange(1, max(1, min(most, a)) + 1)
-    size = np.minimum(n, n - a + tests)
-    read = np.concatenate([[0.0], np.cumsum(more)])[size]
-    return int(tests[np.argmin(size + read + 0.1 * n * read / tests)])
+def choose_length(n: Column, reads: list[Column], percent: int) -> Column:
+    """L of least estimated cost. ``reads[L - 1]``: other entries in the lists of the prefix for L, each read once; what is left for verification, on n shingles
+    each, is at most an L-th of them."""
+    a = F.ceil(n * percent / 100)
+    costs = F.array(*[F.when(F.lit(ell) <= F.greatest(a, F.lit(1)), F.least(n, n - a + ell) + read + 0.1 * n * read / ell).otherwise(float("inf")) for ell, read in enumerate(reads, 1)])
+    return F.array_position(costs, F.array_min(costs)).cast("int")
 
 
 def _sets(docs: DataFrame, k: int, percent: int, most: int) -> DataFrame:
-    """For each row: n, a 128-bit hash of its set, L, how many of the prefix's shingles are light, and the prefix."""
+    """For each row: n, a 128-bit hash of its set, how many of the prefix's shingles are light, and the longest prefix."""
     spark = docs.sparkSession
     sketch = _sketch(docs, k)
     shared = spark.sparkContext.broadcast((sketch.astype(np.float64), float(2 * sketch.mean() + 8)))
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("ell", pa.int32()), ("light", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("light", pa.int32()), ("prefix", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
     def run(batches):
         ids, (counts, noise) = WordIds(), shared.value
         for b in batches:
-            n, s1, s2, ell, light, parts, ends = [], [], [], [], [], [], [0]
-            for t in b.column(1):
-                s = shingles(t.as_py(), k, ids)
-                n.append(len(s))
-                if not len(s):
-                    s1.append(0), s2.append(0), ell.append(0), light.append(0), ends.append(ends[-1])
-                    continue
-                x, y = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
-                s1.append(x), s2.append(y)
-                o, more = _order(s, counts, noise)
-                e = choose_length(len(s), more, percent, most)
-                size = min(len(s), max(len(s) - least_overlap(len(s), percent) + e, len(s) - least_overlap_as_smaller(len(s), percent) + most))
-                ell.append(e)
-                light.append(int((more[:size] < 1000).sum()))
-                parts.append(o[:size].view(np.int64))
-                ends.append(ends[-1] + size)
-            prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(ell, pa.int32()), pa.array(light, pa.int32()), prefix], schema=kinds)
-
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, ell int, light int, prefix array<long>")
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+            for row, texts in lots(b, 1):
+                flat, ends = batch_sets(texts, k, ids)
+                starts = np.concatenate([[0], ends[:-1]])
+                n = ends - starts
+                doc = np.repeat(np.arange(len(n)), n)
+                odd = np.bincount(doc * ODD + (flat % np.uint64(ODD)).astype(np.int64), minlength=len(n) * ODD).astype(np.uint8) & 1
+                odd = np.packbits(odd).view(np.int64)
+                # How many others hold a shingle: what its bucket's count exceeds the noise by. Rare ones come first, by hash.
+                more = np.maximum(0, counts[(flat >> np.uint64(64 - BITS)).astype(np.int64)] - noise)
+                level = np.log2(1 + more).astype(np.int8)
+                size = np.minimum(n, n - least_overlap(n, percent) + most)
+                s1, s2, light, parts = [], [], [], []
+                for a, z, m in zip(starts.tolist(), ends.tolist(), size.tolist(), strict=True):
+                    s = flat[a:z]
+                    x, y = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
+                    s1.append(x), s2.append(y)
+                    some = level[a:z]
+                    if some.any():
+                        o = np.argsort(some, kind="stable")[:m]
+                        parts.append(s[o])
+                        light.append(int((some[o] < 10).sum()))
+                    else:
+                        parts.append(s[:m])
+                        light.append(m)
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
+                cols = [pa.array(c, t) for c, t in ((n, pa.int64()), (s1, pa.int64()), (s2, pa.int64()), (light, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(n)), *cols, prefix, pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (ODD // 64), pa.int32()), pa.array(odd))], schema=kinds)
+
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, light int, prefix array<long>, odd array<long>")
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether the sets of two rows can have the similarity, by size and by their sketches: where the parities of two sets' counts differ, the sets do, so the number
+    of such places is at most the number of shingles that only one has."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = F.lit(0)
+    for j in range(ODD // 64):
+        differ = differ + F.bit_count(F.col(f"{x}.odd")[j].bitwiseXOR(F.col(f"{y}.odd")[j]))
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (differ <= F.floor((nx + ny) * (100 - percent) / (100 + percent)))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) of ids whose whole texts have the similarity."""
+    x, y = sets.select("doc_id", "n", "odd").alias("x"), sets.select("doc_id", "n", "odd").alias("y")
+    near = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id"))
+    pairs = stored(near.filter(_may_link("x", "y", percent)).select("a", "b").distinct())
 
     def run(batches):
         ids, last = WordIds(), (None, None)
@@ -161,11 +223,99 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    # A list of ids of a checked size goes out to all, so that other texts are not shuffled; a longer one is joined by a shuffle.
+    docs = docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
     side = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80, most: int = 4) -> DataFrame:
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of lists with more than one label, with ``minor``: another label than the list's first entry has."""
+    tagged = rows.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    lists = tagged.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("v", "label")).alias("m")).filter("lo <> hi").select("tok", F.col("m.label").alias("major"))
+    return tagged.join(lists, "tok").withColumn("minor", F.col("label") != F.col("major")).drop("major")
+
+
+def _more_leaders(posts: DataFrame, labels: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs (a > b) of entries of long lists of several labels with some of each list's entries, chosen by a hash."""
+    rows = _mixed(posts.select("tok", "v", "n", "pos"), labels)
+    by_hash = Window.partitionBy("tok").orderBy(F.xxhash64("v", F.lit(seed)), "v")
+    leaders = rows.withColumn("_r", F.row_number().over(by_hash)).filter(F.col("_r") <= LEADERS).select("tok", F.col("v").alias("u"), F.col("n").alias("un"), F.col("label").alias("ul"))
+    few = rows.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("pos"))).filter(F.col("_r") <= LISTS)
+    near = F.least("n", "un") * 100 >= F.greatest("n", "un") * percent
+    pairs = few.join(leaders, "tok").filter((F.col("label") != F.col("ul")) & (F.col("v") != F.col("u")) & near)
+    return pairs.select(F.greatest("v", "u").alias("a"), F.least("v", "u").alias("b")).distinct()
+
+
+def _need(n, m, percent: int) -> Column:
+    return F.ceil((F.col(n) + F.col(m)) * percent / (100 + percent))
+
+
+def _short_lists(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a > b) that share enough of their prefixes in lists that are not long. A pair that also shares a long one is met there."""
+    x, y = rows.filter("minor").alias("x"), rows.alias("y")
+    near = _may_link("x", "y", percent)
+    met = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.label") != F.col("y.label")) & (~F.col("y.minor") | (F.col("x.v") < F.col("y.v"))) & near)
+    rest = F.greatest(*[F.ceil(F.col(f"{s}.n") * percent / 100) - F.col(f"{s}.ell") for s in ("x", "y")])
+    met = met.groupBy(F.greatest("x.v", "y.v").alias("a"), F.least("x.v", "y.v").alias("b")).agg(F.count("*").alias("shared"), F.max(_need("x.n", "y.n", percent) - rest).alias("least"))
+    return met.filter(F.col("shared") >= F.col("least")).select("a", "b")
+
+
+def _tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a > b) of the lists in ``rows``; a list is cut into tiles, and each pair of tiles is a unit of work of bounded size."""
+    parts = F.ceil(F.col("lists") / TILE).cast("int")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("v"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("tok", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "v", "n", "ell", "label", "minor", "prefix", "long", "odd")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pairs(tok: int, lo: int, hi: int, unit: list[dict]):
+        n, label, ell, tile = (np.array([r[x] for r in unit], np.int64) for x in ("n", "label", "ell", "tile"))
+        minor = np.array([r["minor"] for r in unit])
+        at = np.repeat(np.arange(len(unit)), [len(r["prefix"]) for r in unit])
+        tokens, inv = np.unique(np.concatenate([np.array(r["prefix"], np.int64) for r in unit]), return_inverse=True)
+        has = np.zeros((len(unit), len(tokens)), np.uint8)
+        has[at, inv] = 1
+        long = np.isin(tokens, np.unique(np.concatenate([np.array(r["long"], np.int64) for r in unit]))).astype(np.uint8)
+        here = np.searchsorted(tokens, tok)
+        odd = np.array([r["odd"] for r in unit], np.int64).view(np.uint64)
+        rest = np.maximum(0, least_overlap(n, percent) - ell)
+        dense = has.astype(np.float32)
+        for x in range(0, len(unit), 512):
+            i = np.arange(x, min(x + 512, len(unit)))
+            shared = dense[i] @ dense.T
+            need = -(-percent * (n[i, None] + n) // (100 + percent))
+            ok = (i[:, None] < np.arange(len(unit))) & (label[i, None] != label) & (minor[i, None] | minor) & (100 * np.minimum(n[i, None], n) >= percent * np.maximum(n[i, None], n))
+            ok &= shared + np.maximum(rest[i, None], rest) >= need
+            if lo != hi:
+                ok &= tile[i, None] != tile
+            a, b = np.nonzero(ok)
+            for y in range(0, len(a), 20_000):
+                p, q = i[a[y : y + 20_000]], b[y : y + 20_000]
+                first = (has[p] & has[q] & long).argmax(1) == here  # each pair once: at the least of the long lists that it shares
+                p, q = p[first], q[first]
+                good = np.bitwise_count(odd[p] ^ odd[q]).sum(1, dtype=np.int64) <= (n[p] + n[q]) * (100 - percent) // (100 + percent)
+                yield from ((max(unit[j]["v"], unit[k]["v"]), min(unit[j]["v"], unit[k]["v"])) for j, k in zip(p[good].tolist(), q[good].tolist(), strict=True))
+
+    def run(batches):
+        now, unit, out = None, [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if now != (key := (r["tok"], r["lo"], r["hi"])):
+                    if len(unit) > 1:
+                        out += pairs(*now, unit)
+                    now, unit = key, []
+                unit.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in out], pa.int64()) for j in (0, 1)], ["a", "b"])
+            out = []
+        if len(unit) > 1:
+            out = list(pairs(*now, unit))
+            yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in out], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+    return rows.repartition(n, "tok", "lo", "hi").sortWithinPartitions("tok", "lo", "hi").mapInArrow(run, "a long, b long")
+
+
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, most: int = 6) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (the smallest id that links reach).
 
     Two rows link when 100 * intersection >= ``percent`` * union of their shingle sets. ``most``: the largest L.
@@ -173,38 +323,45 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, most: int = 4) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stored(_sets(docs, k, percent, most))
     full = sets.filter("n > 0 and doc_id is not null")
-    reps = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "ell", "light", "prefix")).alias("r")).select("r.*").withColumnRenamed("doc_id", "v")
-    rows = reps.select("v", "n", "ell", "light", F.posexplode("prefix").alias("pos", "tok")).select(
-        "tok", F.when(F.col("pos") < F.col("light"), 0).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(SALTS))).cast("int").alias("salt"), "v", "n", "ell", "pos"
+    reps = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "light", "prefix")).alias("r")).select("r.*").withColumnRenamed("doc_id", "v")
+    rows = reps.select("v", "n", "light", F.posexplode("prefix").alias("pos", "tok")).select(
+        "tok", F.when(F.col("pos") < F.col("light"), 0).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(SALTS))).cast("int").alias("salt"), "v", "n", "pos"
     )
     same = Window.partitionBy("tok", "salt")
-    posts = stored(
-        rows.withColumn("lists", F.count("*").over(same)).withColumn("lead", F.min(F.struct("v", "n")).over(same))
-        .filter((F.col("lists") > 1) | (F.col("salt") > 0))
-        .select("tok", "v", "n", "ell", "pos", F.col("lead.v").alias("lead"), F.col("lead.n").alias("lead_n"))
-    )
+    rows = rows.withColumn("lists", F.count("*").over(same)).withColumn("lead", F.min(F.struct("v", "n")).over(same)).filter((F.col("lists") > 1) | (F.col("salt") > 0))
+    rows = rows.select("tok", "salt", "v", "n", "pos", "lists", F.col("lead.v").alias("lead"), F.col("lead.n").alias("lead_n"))
+    dealt = stored(rows)
+    parts = dealt.filter("salt > 0")  # the parts of a salted list have its whole length
+    parts = parts.drop("lists").join(parts.groupBy("tok").agg(F.count("*").alias("lists")), "tok")
+    posts = stored(dealt.filter("salt = 0").unionByName(parts).drop("salt"))
 
     near = (F.least("n", "lead_n") * 100) >= (F.greatest("n", "lead_n") * percent)
     first = posts.filter((F.col("v") != F.col("lead")) & near).groupBy(F.col("v").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("shared")).filter("shared >= 2").select("a", "b")
     first = stored(first)
-    star = stored(_linked(first, docs, k, percent))
+    star = stored(_linked(first, sets, docs, k, percent))
     one = star.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label"))
     up = one.select(F.col("v").alias("label"), F.col("label").alias("up"))
     labels = stored(one.join(up, "label", "left").select("v", F.coalesce("up", "label").alias("label")))
-
-    tagged = posts.select("tok", "v", "n", "ell", "pos").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    mixed = tagged.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("v", "label")).alias("m")).filter("lo <> hi").select("tok", F.col("m.label").alias("major"))
-    open_ = stored(tagged.join(mixed, "tok"))
-    x, y = open_.filter("label <> major").alias("x"), open_.alias("y")
-    c = F.col
-    later = (c("x.n") > c("y.n")) | ((c("x.n") == c("y.n")) & (c("x.v") > c("y.v")))  # x is the larger of the two
-    pick = lambda name, big: F.when(later == F.lit(big), c(f"x.{name}")).otherwise(c(f"y.{name}"))
-    nb, ns, ell = pick("n", True), pick("n", False), pick("ell", True)
-    rule = (ns * 100 >= nb * percent) & (pick("pos", True) < nb - F.ceil(nb * percent / 100) + ell) & (pick("pos", False) < ns - F.ceil(ns * (2 * percent) / (100 + percent)) + ell)
-    met = x.join(y, (c("x.tok") == c("y.tok")) & (c("x.label") != c("y.label")) & ((c("y.label") == c("y.major")) | (c("x.v") < c("y.v"))) & rule)
-    met = met.groupBy(F.greatest("x.v", "y.v").alias("a"), F.least("x.v", "y.v").alias("b"), ell.alias("ell")).agg(F.count("*").alias("shared")).filter("shared >= ell").select("a", "b")
     done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    late = stored(_linked(met.join(done, ["a", "b"], "left_anti"), docs, k, percent))
+    for k_round in range(ROUNDS):
+        pairs = _more_leaders(posts.filter(F.col("lists") > LONG), labels, percent, k_round)
+        pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
+        new = stored(_linked(pairs, sets, docs, k, percent))
+        if not new.limit(1).count():
+            break
+        star, done = star.unionByName(new), done.unionByName(pairs)
+        labels = components(star).select("v", F.col("c").alias("label"))
+
+    a = F.ceil(F.col("n") * percent / 100)
+    reads = posts.groupBy("v").agg(F.first("n").alias("n"), *[F.sum(F.when(F.col("pos") < F.col("n") - a + ell, F.col("lists") - 1).otherwise(0)).alias(f"r{ell}") for ell in range(1, most + 1)])
+    lengths = reads.select("v", choose_length(F.col("n"), [F.col(f"r{ell}") for ell in range(1, most + 1)], percent).alias("ell"))
+    used = stored(posts.join(lengths, "v").filter(F.col("pos") < F.col("n") - a + F.col("ell")).select("tok", "v", "n", "ell", "lists"))
+    sketches = sets.select(F.col("doc_id").alias("v"), "odd")
+    short = _mixed(used.filter(F.col("lists") <= LONG), labels)
+    long = _mixed(used.filter(F.col("lists") > LONG), labels)
+    arrays = used.groupBy("v").agg(F.collect_list("tok").alias("prefix"), F.collect_list(F.when(F.col("lists") > LONG, F.col("tok"))).alias("long"))
+    met = _short_lists(short.join(sketches, "v"), percent).unionByName(_tiles(long.join(sketches, "v").join(arrays, "v"), percent)).distinct()
+    late = stored(_linked(met.join(done, ["a", "b"], "left_anti"), sets, docs, k, percent))
 
     # The graph of labels: all links of both kinds with each end moved to its label.
     of = lambda x: labels.select(F.col("v").alias(x), F.col("label").alias(f"l{x}"))

@@ -92,7 +92,7 @@ SQL: dict[str, str] = {
 with t as (
   select conv_id, turn, role, coalesce(text, '') text from conversations
   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e as (select *, length(text) + (length(text) - length(translate(text, '\<[', ''))) + length(role) + (length(role) - length(translate(role, '\<[', ''))) + 11 as chars from t),
+e as (select *, length(text) + (length(text) - length(translate(text, '\<[|', ''))) + length(role) + (length(role) - length(translate(role, '\<[|', ''))) + 11 as chars from t),
 f as (select *, coalesce(sum(chars) over (partition by conv_id order by turn, role, text rows between unbounded preceding and 1 preceding), 0) before from e)
 select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
