@@ -13,8 +13,8 @@ from panelworks.llm.queries import SHARES, TOTAL
 LEAST_LANG_SCORE = 0.4
 #: Lines found in this many documents lose all but their first occurrence.
 LINE_DOCS = 10
-#: A document is contaminated if windows of this many words hold at least this many of its words, or this share of them.
-WINDOW, HIT_WORDS, HIT_SHARE = 10, 20, 0.5
+#: A document is contaminated if it holds this many consecutive words of a benchmark item, or a shorter item whole.
+WINDOW = 10
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,14 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of the benchmark go."""
-    found = decontam.summary(decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=WINDOW))
-    bad = stored(found.filter((F.col("n_hit") >= HIT_WORDS) | (F.col("n_hit") > F.col("n_words") * HIT_SHARE)).filter("doc_id is not null").select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold any ``WINDOW`` consecutive words of a benchmark item, or an item of fewer words whole, go; op 5 calls the same ones contaminated.
+
+    Each row is judged by itself, also one of several with the same id or with none.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = decontam.matches(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=WINDOW)
+    bad = stored(decontam.summary(found).filter("contaminated").select(F.col("doc_id").alias("_row")))
+    return rows.join(bad, "_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,29 @@ def test_near_copies_leave_one(stages):
     assert {r[0] for r in after.select("doc_id").collect()} == want
 
 
+def test_decontamination_acts_on_what_it_finds(spark, tmp_path):
+    import corpus_pipeline
+
+    item = [f"item{i}" for i in range(15)]
+    spark.createDataFrame([("long", " ".join(item)), ("short", "three word item")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    own = " ".join(f"own{i}" for i in range(100))
+    rows = [
+        (1, f"{own} {' '.join(item)} {own}"),  # an item of 10-19 words, whole
+        (2, f"{own} {' '.join(item[2:12])}"),  # ten words of it
+        (3, f"{own} {' '.join(item[2:11])}"),  # nine
+        (4, f"{own} Three word, item. {own}"),  # an item of fewer words than a window
+        (5, f"{own} three word"),
+        (None, f"{own} {' '.join(item)}"),
+        (None, own),
+        (6, f"{own} {' '.join(item)}"),
+        (6, own),
+        (7, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[i] for i in (2, 4, 6, 8, 9)], key=str)
+
+
 @pytest.mark.parametrize("name", ["op5_decontamination", "op8_line_dedup", "op9_chat"])
 def test_sql(spark, name):
     import duckdb
