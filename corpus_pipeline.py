@@ -11,8 +11,8 @@ from panelworks.llm.queries import SHARES, TOTAL
 
 #: A language is rejected where no letter was found, or where another is about as likely.
 LEAST_LANG_SCORE = 0.4
-#: Lines found in this many documents lose all but their first occurrence.
-LINE_DOCS = 10
+#: Lines found in this many documents lose all but their first occurrence: long ones (10 words or 50 code points), short ones.
+LONG_LINE_DOCS, LINE_DOCS = 2, 10
 #: A document is contaminated if it holds this many consecutive words of a benchmark item, or a shorter item whole.
 WINDOW = 10
 
@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in the first of them only; a text of such lines alone goes whole."""
-    maps = linededup.bitmaps(docs, min_docs=LINE_DOCS, keep="first")
+    """Long lines that any two documents share, and short ones that many share, stay in the first of them only; a text of such lines alone goes whole."""
+    maps = linededup.bitmaps(docs, min_docs=LINE_DOCS, keep="first", long_docs=LONG_LINE_DOCS)
     out = linededup.with_bitmaps(docs, maps, "_dropped").withColumn("_kept", F.array_join(linededup.kept_lines(F.col("text"), F.col("_dropped")), "\n"))
     out = out.filter(F.col("_dropped").isNull() | (F.btrim("_kept", F.lit(linededup.SPACE)) != ""))
     text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.col("_kept"))

@@ -6,7 +6,8 @@ sorted within partitions by document and position, so that the rows of a key sta
 too many rows for one partition, they are dealt over several by a salt, and its parts are summed.
 
 ``keep="first"`` keeps the first occurrence of a key that is found in ``min_docs`` documents or more;
-``keep="none"`` keeps no occurrence of it.
+``keep="none"`` keeps no occurrence of it. With ``long_docs``, lines of ``LONG_WORDS`` words or ``LONG_CHARS`` code points are
+measured by that number of documents instead.
 
 Defined results: a NULL text is one empty line; keys shorter than ``min_chars`` code points stay; a repeated row
 (same id and text) counts as one document and gets the same bitmap; lines of one id in several rows with other texts
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from panelworks.llm.common import lower_ascii, stored
 
 SPACE = " \t\n\x0b\f\r"
+#: A key is long from this many words on, or (scripts without blanks) this many code points.
+LONG_WORDS, LONG_CHARS = 10, 50
 
 
 def lines_of(text: Column) -> Column:
@@ -31,22 +34,26 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(SPACE)))
 
 
-def _rows(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row for each distinct key of a row of ``docs``: two hashes of the key, the document, its text's hash, (word, bits) of the positions."""
+def is_long(key: Column) -> Column:
+    return (F.length(key) >= LONG_CHARS) | (F.size(F.split(key, f"[{SPACE}]+")) >= LONG_WORDS)
+
+
+def _rows(docs: DataFrame, min_chars: int, long: bool) -> DataFrame:
+    """One row for each distinct key of a row of ``docs``: two hashes of the key, the document, its text's hash, (word, bits) of the positions; whether the key is long, if asked."""
     key = line_key(F.col("line"))
     lines = (
         docs.filter("doc_id is not null")
         .select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
         .select("doc_id", "text_hash", "pos", key.alias("key"))
         .filter(F.length("key") >= min_chars)
-        .select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+        .select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), *([is_long(F.col("key")).alias("long")] if long else []))
     )
     return lines
 
 
-def bitmaps(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: str = "first", hot_share: float = 0.002, salts: int = 64) -> DataFrame:
+def bitmaps(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: str = "first", long_docs: int | None = None, hot_share: float = 0.002, salts: int = 64) -> DataFrame:
     """(doc_id, text_hash, dropped): by word of 64 lines, the bits of the lines to drop. Words and documents without any are left out."""
-    rows = stored(_rows(docs, min_chars))
+    rows = stored(_rows(docs, min_chars, long_docs is not None))
     # Counts by a small hash of the key find keys, in at most 1/hot_share buckets, that one partition should not hold whole.
     buckets = 65_536
     bucket = F.pmod("h1", F.lit(buckets))
@@ -65,7 +72,7 @@ def bitmaps(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep: str =
         parts = seen.filter(bucket.isin(hot)).groupBy("h1", "h2", "salt").agg(F.first("docs").alias("d"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("f"))
         whole = parts.groupBy("h1", "h2").agg(F.sum("d").alias("all_docs"), F.min("f").alias("f"))
         seen = seen.join(whole, ["h1", "h2"], "left").withColumn("docs", F.coalesce("all_docs", "docs")).withColumn("head", F.when(F.col("f").isNotNull(), F.struct("doc_id", "text_hash", "pos") == F.col("f")).otherwise(F.col("head")))
-    drop = F.col("docs") >= min_docs
+    drop = F.col("docs") >= (min_docs if long_docs is None else F.when(F.col("long"), long_docs).otherwise(min_docs))
     if keep == "first":
         drop = drop & ~F.col("head")
     elif keep != "none":

@@ -42,6 +42,22 @@ def test_near_copies_leave_one(stages):
     assert {r[0] for r in after.select("doc_id").collect()} == want
 
 
+def test_repeated_passages_leave_one(spark):
+    import corpus_pipeline
+
+    words = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    passage, ten, nine, glyphs = words(60, "p"), words(10, "t"), words(9, "s"), "\u5b57" * 50
+    assert len(nine) < 50
+    shared = [passage, f" {ten.upper()} ", ten, nine, glyphs]
+    rows = [(i, "\n".join([f"own {i}", *shared])) for i in (1, 2, 3)] + [(10 + i, f"own {10 + i}\nshort line") for i in range(10)] + [(30, passage), (None, passage)]
+    out = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = {r["doc_id"]: r["text"].split("\n") for r in out.collect()}
+    assert got[1] == ["own 1", passage, f" {ten.upper()} ", nine, glyphs]
+    assert got[2] == ["own 2", nine] and got[3] == ["own 3", nine]  # a short line needs 10 documents
+    assert 30 not in got and got[None] == [passage]
+    assert [got[10 + i] for i in range(10)] == [["own 10", "short line"]] + [[f"own {10 + i}"] for i in range(1, 10)]
+
+
 def test_decontamination_acts_on_what_it_finds(spark, tmp_path):
     import corpus_pipeline
 
