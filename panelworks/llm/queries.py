@@ -76,7 +76,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
     turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
-    return chat.digests(stored(chat.pieces(turns)))
+    return chat.digests(chat.pieces(turns))
 
 
 def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,6 +225,31 @@ def test_chat(spark):
     assert chat.digests(chat.pieces(turns.limit(0))).count() == 0
 
 
+def test_chat_examples_are_written(spark, monkeypatch):
+    rows = [(1, i, "assistant" if i % 3 == 2 else "user", f"turn {i} " + "xy<" * (i % 7)) for i in range(40)] + [(2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "user", "none"), (None, 0, "assistant", "y" * 150), (None, 1, "assistant", None)]
+    made = chat.pieces(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    monkeypatch.setattr(chat, "PART_CHARS", 100)
+    written = []
+    monkeypatch.setattr(chat, "stored", lambda df, **k: written.append(df) or df)
+    digest = {r["conv_id"]: r for r in chat.digests(made).collect()}
+    got: dict = {}
+    for r in sorted(written[1].collect(), key=lambda r: r["part"]):  # the examples are what the query writes and reads
+        got.setdefault((r["conv_id"], r["turn"]), []).append(r)
+    want = {(r["conv_id"], r["turn"]): r for r in chat.expanded(made).collect()}
+    assert got.keys() == want.keys() and len(got[1, 38]) > 5
+    for k, w in want.items():
+        *context, last = got[k]
+        ahead = sum(len(r["text"]) for r in context)
+        assert "".join(r["text"] for r in got[k]) == w["text"]
+        assert (ahead + last["loss_start"], ahead + last["loss_end"]) == (w["loss_start"], w["loss_end"])
+        assert all(r["loss_end"] == 0 and r["context_end"] == len(r["text"]) for r in context)
+    for c, d in digest.items():
+        mine = [w for (i, _), w in sorted(want.items(), key=lambda x: x[0][1]) if i == c]
+        trained = "".join(chat.unescape(w["text"][w["loss_start"] : w["loss_end"]]) for w in mine)
+        assert d["n_examples"] == len(mine) and d["loss_sha256"] == hashlib.sha256(trained.encode()).hexdigest()
+        assert d["context_chars"] == sum(len(w["text"][: w["loss_start"]]) - len("<|assistant|>") for w in mine)
+
+
 def brute_ctw(train: list[bytes], text: bytes, depth: int) -> float:
     """Bit by bit from the definition, with a dictionary of nodes."""
     import math
