@@ -17,8 +17,10 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import LOWER, UPPER, bottom_k, stored
+from panelworks.llm.common import LOWER, UPPER, stored
 
+#: Rows with the block mark that make a combination of tokens a candidate, whatever the size of the table.
+LEAST_ROWS = 5
 BLOCK, ALLOW = "block", "allow"
 MARK = "=block"
 
@@ -41,13 +43,17 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(all_))
 
 
-def mine(labelled: DataFrame, support: float = 0.01, confidence: float = 0.5, max_rows: int = 50_000, longest: int = 4) -> DataFrame:
-    """Rules (rule_id, tokens, confidence, support, rarest) from ``labelled`` (url, blocked boolean, key): at most ``max_rows`` keys.
+def mine(labelled: DataFrame, support: float | None = None, confidence: float = 0.5, least_rows: int = LEAST_ROWS, longest: int = 4) -> DataFrame:
+    """Rules (rule_id, tokens, confidence, support, rarest) from all rows of ``labelled`` (url, blocked boolean, key).
 
-    Their number is bounded by the support: a rule's tokens are in that share of the blocked and other rows at least.
+    A rule's tokens stand together with the block mark in ``least_rows`` rows, or in the share ``support`` of the rows if that is given. Rules that
+    a shorter one makes needless go, so of the many combinations of a host that is always blocked few stay.
     """
-    rows = bottom_k(labelled.filter("url is not null and blocked is not null and key is not null"), "key", max_rows)
+    rows = labelled.filter("url is not null and blocked is not null and key is not null")
     rows = stored(rows.select(F.concat(tokens_of(F.col("url")), F.when(F.col("blocked"), F.array(F.lit(MARK))).otherwise(F.array().cast("array<string>"))).alias("items")).filter(F.size("items") > 0))
+    if support is None:
+        # Half a row less, so that the share times the rows, rounded up again, is the count.
+        support = min(1.0, (least_rows - 0.5) / max(1, rows.count()))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
     found = model.associationRules.filter(F.array_contains("consequent", MARK) & (F.size("antecedent") <= longest))
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")

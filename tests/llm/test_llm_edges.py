@@ -177,6 +177,15 @@ def test_urls_mined(spark):
     assert got == {i: "block" if i % 4 == 0 else "allow" for i, _ in rows}
 
 
+def test_urls_mined_in_the_long_tail(spark):
+    # One hot host; another, blocked each time, has 6 of 2006 labelled rows: 0.3 %. A third has 4 rows.
+    rows = [(i, f"http://hot.example/p{i}") for i in range(2000)] + [(3000 + i, f"http://rare.example/p{i}") for i in range(7)] + [(4000 + i, f"http://single.example/p{i}") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = pages.select("page_id", (F.col("page_id") >= 3000).alias("blocked")).filter("page_id not in (3006, 4004)")
+    got = {r["page_id"]: r["verdict"] for r in urlrules.judge(pages, labels, []).collect()}
+    assert got == {i: "block" if 3000 <= i < 4000 else "allow" for i, _ in rows}
+
+
 def brute_lines(rows, least, keep):
     count, first = {}, {}
     for i, t in rows:
