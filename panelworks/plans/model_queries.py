@@ -312,13 +312,18 @@ def _mv_sql() -> str:
 MV = _mv_sql() + ", cp as (select dt, k, least(greatest(w, -0.3), 0.3) w from raw), gr as (select *, sum(abs(w)) over (partition by dt) g from cp), mv as (select mu.asset, mu.dt, mu.beta, case when g > 1.5 then w * 1.5 / g else w end w from gr join mu using (dt, k))"
 
 
+def full_dates(mu, cov):
+    """Rows of ``mu`` and ``cov`` of the dates on which all assets of ``mu`` have a forecast, and all their pairs a covariance."""
+    n = mu.agg(F.countDistinct("asset")).first()[0]
+    mu = A.complete_dates(mu, n)
+    whole = cov.groupBy("dt").agg(F.count("*").alias("n")).filter(F.col("n") == n * (n + 1) // 2).select("dt")
+    return mu.join(whole, "dt", "left_semi"), cov.join(whole, "dt", "left_semi")
+
+
 def full_fridays(spark, d):
     """Momentum as forecast on Fridays that have all assets, and the covariances of those dates."""
     f = W.features(panel(spark, d)).filter(is_rebalance_day(F.col("dt")))
-    mu = A.complete_dates(f.select("asset", "dt", F.col("momentum").alias("mu"), F.col("beta_mkt").alias("beta")), N)
-    cov = friday_cov(spark, d)
-    whole = cov.groupBy("dt").agg(F.count("*").alias("n")).filter(F.col("n") == N * (N + 1) // 2).select("dt")
-    return mu.join(whole, "dt", "left_semi"), cov.join(whole, "dt", "left_semi")
+    return full_dates(f.select("asset", "dt", F.col("momentum").alias("mu"), F.col("beta_mkt").alias("beta")), friday_cov(spark, d))
 
 
 def mv(spark, d):
@@ -374,9 +379,13 @@ def o6_blend(spark, d):
 
 
 def weekly(spark, d):
-    f = W.features(panel(spark, d))
-    mu, cov = full_fridays(spark, d)
-    return weights.weekly_weights(f, mu, cov), f
+    """Daily weights of the books ``ridge`` and ``stacked``, each by its own forecasts of every Friday, and the features."""
+    f, cov, books = W.features(panel(spark, d)), friday_cov(spark, d), None
+    ridge = alpha.walk_forward_ridge(f, only_rebalance=True).select("asset", "dt", F.col("yhat").alias("mu"))
+    for name, mu in (("ridge", ridge), ("stacked", alpha.stacked(f).select("asset", "dt", "mu"))):
+        one = weights.weekly_weights(f, *full_dates(mu.filter("mu is not null"), cov), book=name)
+        books = one if books is None else books.unionByName(one)
+    return books, f
 
 
 @query()
@@ -429,9 +438,9 @@ def n5_ridge_backtest(spark, d):
 
 @query()
 def n5_weekly_backtest(spark, d):
-    """Weekly book: weights to profit, costs on Fridays, to its performance, beside equal weights held."""
+    """The ridge and the stacked weekly book: weights to profit, costs on Fridays, to their performance, beside equal weights held."""
     w, f = weekly(spark, d)
-    net = backtest.portfolio_pnl(w, f, cost_day=4).select(F.lit("weekly").alias("strategy"), "dt", F.col("net").alias("ret"))
+    net = backtest.portfolio_pnl(w, f, cost_day=4).select(F.col("book_id").alias("strategy"), "dt", F.col("net").alias("ret"))
     hold = backtest.equal_weight_hold(f).select(F.lit("equal").alias("strategy"), "dt", "ret")
     return out(A.performance(net.unionByName(hold), ["strategy"]), 6, ("strategy",))
 

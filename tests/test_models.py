@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.panel import FEATURES, S, Series
@@ -199,3 +200,27 @@ def test_adf(spark):
 
 def test_series_keys():
     assert S == Series("asset", "dt")
+
+
+def test_weekly_books_follow_the_forecasts(spark, monkeypatch):
+    from panelworks.functions import panel as P
+    from panelworks.plans import model_queries as m
+
+    # Seven assets, two years of dates: no number of assets is given.
+    rng, start = np.random.default_rng(5), DAY
+    days = [t for t in (start + dt.timedelta(days=i) for i in range(620)) if t.weekday() < 5]
+    rows = [(f"a{k}", t, float(p), float(v)) for k in range(7) for v_ in [rng.normal(0, 0.01, len(days))] for t, p, v in zip(days, 100 * np.cumprod(1 + v_), v_, strict=True)]
+    frame = spark.createDataFrame(rows, "asset string, dt date, price double, ret double").withColumn("mkt_ret", F.avg("ret").over(Window.partitionBy("dt"))).persist()
+    monkeypatch.setattr(m, "panel", lambda *_: frame)
+    seen = {}
+    made = m.weights.weekly_weights
+    monkeypatch.setattr(m.weights, "weekly_weights", lambda f, mu, cov, book: seen.setdefault(book, mu) is None or made(f, mu, cov, book=book))
+    got = {(r["book_id"], r["asset"], r["dt"]): r["w"] for r in m.o7_weekly_weights(spark, "").collect()}
+    f = P.features(frame)
+    want = {"ridge": (m.alpha.walk_forward_ridge(f), "yhat"), "stacked": (m.alpha.stacked(f), "mu")}
+    for book, (all_, name) in want.items():
+        mu = {(r["asset"], r["dt"]): r["mu"] for r in seen[book].collect()}
+        full = {(r["asset"], r["dt"]): r[name] for r in all_.collect()}
+        assert len(mu) >= 7 * 20 and all(v == pytest.approx(full[k], abs=1e-12) for k, v in mu.items())
+        assert any(w for (b, _, _), w in got.items() if b == book)
+    assert {r["strategy"] for r in m.n5_weekly_backtest(spark, "").collect()} == {"ridge", "stacked", "equal"}
