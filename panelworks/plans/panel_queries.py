@@ -412,7 +412,7 @@ def x2_ljung_box_p(spark, d):
 def x3_adf(spark, d):
     from panelworks.operators.series import adf
 
-    return out(adf(panel(spark, d), value="ret", s=W.S, max_lag=12), 6, ("asset", "lags", "n_obs"))
+    return out(adf(panel(spark, d), value="ret", s=W.S), 6, ("asset", "lags", "n_obs"))
 
 
 @query(

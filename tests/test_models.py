@@ -224,3 +224,17 @@ def test_weekly_books_follow_the_forecasts(spark, monkeypatch):
         assert len(mu) >= 7 * 20 and all(v == pytest.approx(full[k], abs=1e-12) for k, v in mu.items())
         assert any(w for (b, _, _), w in got.items() if b == book)
     assert {r["strategy"] for r in m.n5_weekly_backtest(spark, "").collect()} == {"ridge", "stacked", "equal"}
+
+
+def test_x3_lags_go_by_length(spark, monkeypatch):
+    from panelworks.plans import panel_queries as q
+
+    # A memory of 20 rows in a series of 2,400, where the rule allows 27 lags; the short series is allowed 12.
+    rng, n = np.random.default_rng(3), 2400
+    v = rng.normal(size=n)
+    for i in range(20, n):
+        v[i] += 0.6 * v[i - 20]
+    rows = [(k, DAY + dt.timedelta(days=i), float(x)) for k, part in (("long", v), ("short", v[:100])) for i, x in enumerate(part)]
+    monkeypatch.setattr(q, "panel", lambda *_: spark.createDataFrame(rows, "asset string, dt date, ret double"))
+    got = {r["asset"]: r["lags"] for r in q.x3_adf(spark, "").collect()}
+    assert 12 < got["long"] <= 27 and got["short"] <= 12
