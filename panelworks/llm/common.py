@@ -18,12 +18,13 @@ LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
+    On one machine, as in tests, a temporary folder takes the place of a missing setting; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/panelworks-{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -49,8 +50,17 @@ def lower_ascii(col: Column) -> Column:
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
-def bottom_k(df: DataFrame, key: str, k: int) -> DataFrame:
-    """The rows whose hashed key is among the ``k`` smallest: a sample of a bounded number of keys that is the same in each run."""
-    h = F.xxhash64(F.col(key))
-    top = df.select(h.alias("h")).distinct().orderBy("h").limit(k).agg(F.max("h").alias("h")).first()["h"]
-    return df.filter(h <= F.lit(top)) if top is not None else df.limit(0)
+def bottom_k(df: DataFrame, k: int, *keys: str) -> DataFrame:
+    """At most ``k`` rows, those with the smallest hash of ``keys``; of rows with equal keys one. The sample is the same in each run."""
+    name = fresh("h", df)
+    df = df.withColumn(name, F.xxhash64(*keys))
+    top = df.select(name).distinct().orderBy(name).limit(k).agg(F.max(name)).first()[0]
+    return df.filter(F.col(name) <= F.lit(top)).dropDuplicates([name]).drop(name) if top is not None else df.limit(0).drop(name)
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that no table has, whatever the case of its letters."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -5,7 +5,7 @@ scored by its longest character n-grams that are; only where none of a length is
 ones are looked up. The sums of all words, as a mean, decide the language.
 
 Defined results: NULL, empty or letterless text is ``und`` with score 0.0; ties between languages go to
-the first in sorted order; if nothing can be learned (no labelled text) every text is ``und``. Repeated
+the first in sorted order; if nothing can be learned (no labelled text) every text is ``und``. Very long texts are read whole. Repeated
 rows get equal results; other columns of the input are never read.
 """
 
@@ -17,22 +17,55 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import bottom_k
+from panelworks.llm.common import bottom_k, stored
 
 UND = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
 
+class LogTable:
+    """Log frequencies by language of hashed strings: sorted keys and a matrix, eight bytes and four a language for each."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.keys, self.logs = keys, logs
+
+    @classmethod
+    def of(cls, values: dict[str, tuple[float, ...]], n_langs: int) -> LogTable:
+        keys = np.array([key_of(x) for x in values], np.int64)
+        order = np.argsort(keys)
+        return cls(keys[order], np.array(list(values.values()), np.float32).reshape(len(values), n_langs)[order] if values else np.zeros((0, n_langs), np.float32))
+
+    def find(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each string, and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(strings), np.int64), np.zeros(len(strings), bool)
+        keys = np.array([key_of(x) for x in strings], np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+
+def key_of(x: str) -> int:
+    """What ``xxhash64`` of Spark gives for a string."""
+    h = xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42)
+    return h - 2**64 if h >= 2**63 else h
+
+
 @dataclass(frozen=True)
 class LangModel:
     langs: list[str]
-    words: dict[str, tuple[float, ...]]  # log frequency in each language
-    grams: dict[str, tuple[float, ...]]  # of "^word$" pieces, lengths 1..max_n
+    words: LogTable  # these two also as dict[str, tuple[float, ...]]
+    grams: LogTable  # of "^word$" pieces, lengths 1..max_n
     max_n: int
 
+    def __post_init__(self):
+        for name in ("words", "grams"):
+            if isinstance(table := getattr(self, name), dict):
+                object.__setattr__(self, name, LogTable.of(table, len(self.langs)))
+
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
@@ -72,26 +105,31 @@ def _gram_counts(max_n: int):
     return run
 
 
-def _log_table(counts: DataFrame, langs: list[str], keep: int, smoothing: float) -> dict[str, tuple[float, ...]]:
-    """The ``keep`` most frequent entries, each with its log frequency by language."""
-    wide = counts.groupBy("word").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)])
-    rows = wide.orderBy(F.desc("total"), "word").limit(keep).collect()  # at most ``keep`` rows
-    size = np.array([[r[f"c{i}"] for i in range(len(langs))] for r in rows], float).reshape(len(rows), len(langs))
-    logs = np.log(size + smoothing) - np.log(size.sum(0) + smoothing * max(1, len(rows)))
-    return {r["word"]: tuple(x) for r, x in zip(rows, logs.tolist(), strict=True)}
+def _log_table(counts: DataFrame, langs: list[str], smoothing: float) -> LogTable:
+    """Each entry's log frequency by language. What comes to the driver is packed columns: a key and a count a language for each entry."""
+    wide = counts.groupBy(F.xxhash64("word").alias("key")).agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("float").alias(f"c{i}") for i, x in enumerate(langs)])
+    got = wide.toArrow()
+    keys = got.column("key").to_numpy()
+    order = np.argsort(keys)
+    size = np.zeros((len(keys), len(langs)), np.float32)
+    for i in range(len(langs)):
+        size[:, i] = got.column(f"c{i}").to_numpy()[order]
+    total = size.sum(0, dtype=np.float64)
+    return LogTable(keys[order], np.log(size + np.float32(smoothing)) - np.log(total + smoothing * max(1, len(keys))).astype(np.float32))
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 20_000, max_words: int = 100_000, max_grams: int = 100_000, max_n: int = 4, smoothing: float = 0.5) -> LangModel:
-    """Learn from at most ``max_rows`` labelled rows (those with the smallest hashed key), counted on Spark.
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 20_000, max_n: int = 4, smoothing: float = 0.5) -> LangModel:
+    """Learn from at most ``max_rows`` labelled rows (those with the smallest hash of key and text), counted on Spark.
 
-    The model holds at most ``max_words`` words and ``max_grams`` n-grams, so its broadcast is bounded.
+    All words and n-grams of these rows are kept: ``max_rows`` is what bounds the model and its broadcast.
     """
-    rows = bottom_k(train.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null"), "k", max_rows)
-    counts = rows.select("text", "lang").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    rows = bottom_k(train.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null"), max_rows, "k", "text")
+    counts = stored(rows.select("text", "lang").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    words = _log_table(counts, langs, max_words, smoothing)
-    grams = _log_table(counts.mapInArrow(_gram_counts(max_n), "lang string, word string, n long"), langs, max_grams, smoothing)
-    counts.unpersist()
+    if not langs:
+        return LangModel([], {}, {}, max_n)
+    words = _log_table(counts, langs, smoothing)
+    grams = _log_table(counts.mapInArrow(_gram_counts(max_n), "lang string, word string, n long"), langs, smoothing)
     return LangModel(langs, words, grams, max_n)
 
 
@@ -104,12 +142,14 @@ class Scorer:
         self.table = np.zeros((1024, max(1, len(model.langs))))
 
     def vector(self, word: str) -> np.ndarray:
-        if (known := self.model.words.get(word)) is not None:
-            return np.array(known)
-        for n in range(self.model.max_n, 0, -1):
-            found = [g for p in pieces(word, n) if (g := self.model.grams.get(p)) is not None]
-            if found:
-                return np.mean(found, axis=0)
+        m = self.model
+        at, known = m.words.find([word])
+        if known[0]:
+            return m.words.logs[at[0]].astype(np.float64)
+        for n in range(m.max_n, 0, -1):
+            at, known = m.grams.find(pieces(word, n))
+            if known.any():
+                return m.grams.logs[at[known]].mean(0, dtype=np.float64)
         return np.zeros(self.table.shape[1])
 
     def rows(self, words: list[str]) -> np.ndarray:
