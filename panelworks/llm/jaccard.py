@@ -5,16 +5,19 @@ the wanted Jaccard similarity share at least L shingles among the first n - a +
 holds for each L. A document whose first shingles others hold too takes a larger L: a longer prefix, but a partner must share L
 shingles of it before the pair is verified. L minimises the cost of reading lists and verifying candidates, estimated from the lists' lengths.
 
+The order is by the number of sets that hold a shingle. One shuffle by shingle counts them, and sends on those that several sets hold; a second one by set
+sorts them. A set of which fewer than a shingles are held by others has no partner and goes. Shingles so common that their list would be too much for a task (by
+counts of all shingles under a hash of 20 bits) are not shuffled to be counted; they stand last in the order, by that count. A set that a task has met is not sent again.
+
 Equal sets are one class from the start. Of the classes that share a prefix shingle the first is its leader; classes are verified
 against their leaders first, where lists are long against some more leaders, and what is connected then needs no further pair. For all
 other pairs of a list, in tiles of bounded size, what both prefixes share and what can follow bounds the overlap; so do
 sketches of 512 bits, the parities of how many shingles fall into each, which bound the shingles that only one of two sets has. Those that the bounds leave are verified on
-whole texts; so no link between components is lost, and a group of near copies gives pairs in proportion to its size, not to its square.
-
-Frequencies for the order come from counts of all shingles by a hash of 20 bits: any order is correct, they only make it a good one.
+whole sets; so no link between components is lost, and a group of near copies gives pairs in proportion to its size, not to its square.
 
 Defined results: texts that are NULL, empty or without words have an empty set and are linked with nothing; fewer words than k are
-one shingle; rows with NULL id keep their own row with a NULL component; rows that share an id are one node. Other columns are never read.
+one shingle; very long texts are whole sets like others; rows with NULL id keep their own row with a NULL component; rows that share an id are one node. Ties in the order go by the
+shingle's hash, ties between leaders by id. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -32,14 +35,19 @@ from panelworks.llm.common import LOWER_TABLE, stored
 from panelworks.llm.graph import components
 
 BITS = 20
-SALTS = 16
+#: A shingle is common if its bucket of the 2**BITS has more rows than this, and than so many times the mean.
+COMMON, TIMES = 2_000, 4
 #: Bits of the parity sketch of a set.
 ODD = 512
 TILE = 2048
+#: Rows that are verified against one leader in a task.
+GROUP = 512
 #: Lists longer than this get more leaders before their pairs are looked at: so many a round, on so many lists of a document.
 LONG, LEADERS, LISTS, ROUNDS = 64, 8, 3, 2
 #: Ids that are sent to all executors at most.
 SENT_IDS = 500_000
+#: Entries of lists that a tile expands at once.
+STEP = 4_000_000
 
 
 class WordIds(dict):
@@ -118,15 +126,42 @@ def least_overlap_as_smaller(n, percent: int):
     return -(-2 * percent * n // (100 + percent))
 
 
-def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Counts of all documents' shingles by the first bits of their hash: an array of fixed size."""
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """For each row: n, a 128-bit hash of its set, its parity sketch, and the set, sorted."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("odd", pa.list_(pa.int64())), ("toks", pa.list_(pa.int64()))])
+
+    def run(batches):
+        ids = WordIds()
+        for b in batches:
+            for row, texts in lots(b, 1):
+                flat, ends = batch_sets(texts, k, ids)
+                starts = np.concatenate([[0], ends[:-1]])
+                n = ends - starts
+                doc = np.repeat(np.arange(len(n)), n)
+                odd = np.bincount(doc * ODD + (flat % np.uint64(ODD)).astype(np.int64), minlength=len(n) * ODD).astype(np.uint8) & 1
+                odd = np.packbits(odd).view(np.int64)
+                raw = flat.tobytes()
+                both = np.frombuffer(b"".join(hashlib.blake2b(raw[8 * x : 8 * z], digest_size=16).digest() for x, z in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64).reshape(-1, 2)
+                lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
+                cols = [pa.array(n), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), lists(np.arange(len(n) + 1) * (ODD // 64), odd), lists(np.concatenate([[0], ends]), flat.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(n)), *cols], schema=kinds)
+
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, odd array<long>, toks array<long>")
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values and lengths of a list column of an Arrow batch."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def _sketch(sets: DataFrame) -> np.ndarray:
+    """Counts of all shingles by the first bits of their hash: an array of fixed size."""
     parts, width = 64, (1 << BITS) // 64
 
     def count(batches):
-        ids, total = WordIds(), np.zeros(1 << BITS, np.int64)
+        total = np.zeros(1 << BITS, np.int64)
         for b in batches:
-            for _, texts in lots(b, 0):
-                total += np.bincount((batch_sets(texts, k, ids)[0] >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+            total += np.bincount((_lists(b.column(0))[0].view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
         rows = total.reshape(parts, width)
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "counts"])
 
@@ -139,60 +174,139 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
 
     kind = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect()  # 64 rows of 128 KB
+    rows = sets.select("toks").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect()  # 64 rows of 128 KB
     out = np.zeros((parts, width), np.int64)
     for r in rows:
         out[r["part"]] += np.frombuffer(r["counts"], np.int64)
     return out.reshape(-1)
 
 
-def choose_length(n: Column, reads: list[Column], percent: int) -> Column:
-    """L of least estimated cost. ``reads[L - 1]``: other entries in the lists of the prefix for L, each read once; what is left for verification, on n shingles
-    each, is at most an L-th of them."""
-    a = F.ceil(n * percent / 100)
-    costs = F.array(*[F.when(F.lit(ell) <= F.greatest(a, F.lit(1)), F.least(n, n - a + ell) + read + 0.1 * n * read / ell).otherwise(float("inf")) for ell, read in enumerate(reads, 1)])
-    return F.array_position(costs, F.array_min(costs)).cast("int")
+_ROW = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("rank", pa.int64())])
+#: Ranks of rows: a set's own row, a shingle to be counted, then counts of sets, then counts of common shingles.
+OWN, OPEN, LAST = -1, 0, 1 << 40
 
 
-def _sets(docs: DataFrame, k: int, percent: int, most: int) -> DataFrame:
-    """For each row: n, a 128-bit hash of its set, how many of the prefix's shingles are light, and the longest prefix."""
-    spark = docs.sparkSession
-    sketch = _sketch(docs, k)
-    shared = spark.sparkContext.broadcast((sketch.astype(np.float64), float(2 * sketch.mean() + 8)))
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("light", pa.int32()), ("prefix", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
+def _entries(sets: DataFrame, percent: int, most: int) -> DataFrame:
+    """Rows (k1, k2, rank) of each distinct set: its own (set, number of shingles that are not common); each shingle that is not common (shingle, set); of common ones the first
+    (set, shingle, count) that can be in its prefix. A set that the task has met before is left out."""
+    sketch = _sketch(sets)
+    shared = sets.sparkSession.sparkContext.broadcast((sketch, max(COMMON, TIMES * int(sketch.mean()))))
 
     def run(batches):
-        ids, (counts, noise) = WordIds(), shared.value
+        seen: set[int] = set()
+        counts, top = shared.value
         for b in batches:
-            for row, texts in lots(b, 1):
-                flat, ends = batch_sets(texts, k, ids)
-                starts = np.concatenate([[0], ends[:-1]])
-                n = ends - starts
-                doc = np.repeat(np.arange(len(n)), n)
-                odd = np.bincount(doc * ODD + (flat % np.uint64(ODD)).astype(np.int64), minlength=len(n) * ODD).astype(np.uint8) & 1
-                odd = np.packbits(odd).view(np.int64)
-                # How many others hold a shingle: what its bucket's count exceeds the noise by. Rare ones come first, by hash.
-                more = np.maximum(0, counts[(flat >> np.uint64(64 - BITS)).astype(np.int64)] - noise)
-                level = np.log2(1 + more).astype(np.int8)
-                size = np.minimum(n, n - least_overlap(n, percent) + most)
-                s1, s2, light, parts = [], [], [], []
-                for a, z, m in zip(starts.tolist(), ends.tolist(), size.tolist(), strict=True):
-                    s = flat[a:z]
-                    x, y = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
-                    s1.append(x), s2.append(y)
-                    some = level[a:z]
-                    if some.any():
-                        o = np.argsort(some, kind="stable")[:m]
-                        parts.append(s[o])
-                        light.append(int((some[o] < 10).sum()))
-                    else:
-                        parts.append(s[:m])
-                        light.append(m)
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
-                cols = [pa.array(c, t) for c, t in ((n, pa.int64()), (s1, pa.int64()), (s2, pa.int64()), (light, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(n)), *cols, prefix, pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (ODD // 64), pa.int32()), pa.array(odd))], schema=kinds)
-
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, light int, prefix array<long>, odd array<long>")
+            if len(seen) > 1_000_000:
+                seen.clear()
+            new = []
+            for i, s in enumerate(b.column(0).to_pylist()):
+                if s not in seen:
+                    seen.add(s)
+                    new.append(i)
+            b = b.take(pa.array(new, pa.int64()))
+            flat, n = _lists(b.column(1))
+            sid, doc = b.column(0).to_numpy(), np.repeat(np.arange(len(n)), n)
+            rank = counts[(flat.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)]
+            common = rank > top
+            rare = np.bincount(doc, ~common, len(n)).astype(np.int64)
+            cols = [[sid, rare, np.full(len(n), OWN)], [flat[~common], sid[doc[~common]], np.full(int((~common).sum()), OPEN)]]
+            room = np.maximum(0, np.minimum(n, n - least_overlap(n, percent) + most) - rare)
+            at = np.flatnonzero(common & (room[doc] > 0))
+            if len(at):
+                at = at[np.lexsort((flat[at], rank[at], doc[at]))]
+                d = doc[at]
+                first = np.arange(len(at)) - np.searchsorted(d, d)
+                at = at[first < room[d]]
+                cols.append([sid[doc[at]], flat[at], LAST + rank[at]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([c[j] for c in cols]).astype(np.int64)) for j in range(3)], schema=_ROW)
+
+    return sets.select("s1", "toks").mapInArrow(run, "k1 long, k2 long, rank long")
+
+
+def _runs(batches):
+    """Batches cut so that the rows of one k1 are together; only one key's rows are held back."""
+    kept = None
+    for b in batches:
+        cols = [b.column(j).to_numpy() for j in range(3)]
+        if kept is not None:
+            cols = [np.concatenate([x, y]) for x, y in zip(kept, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        cut = np.searchsorted(cols[0], cols[0][-1])  # sorted by k1
+        kept = [c[cut:] for c in cols]
+        if cut:
+            yield [c[:cut] for c in cols]
+    if kept is not None and len(kept[0]):
+        yield kept
+
+
+def _counted(entries: DataFrame) -> DataFrame:
+    """Rows (set, shingle, rank) with the number of sets for each shingle that several hold, and the other rows as they came."""
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        for key, other, rank in _runs(batches):
+            todo = rank == OPEN
+            tok, sid = key[todo], other[todo]
+            again = np.concatenate([[False], (tok[1:] == tok[:-1]) & (sid[1:] == sid[:-1])]) if len(tok) else np.zeros(0, bool)  # sent by several tasks
+            tok, sid = tok[~again], sid[~again]
+            first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
+            many = np.repeat(np.diff(np.append(first, len(tok))), np.diff(np.append(first, len(tok))))
+            use = many > 1
+            rest = ~todo
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ((sid[use], key[rest]), (tok[use], other[rest]), (many[use], rank[rest]))], schema=_ROW)
+
+    return entries.repartition(n, "k1").sortWithinPartitions("k1", "k2").mapInArrow(run, "k1 long, k2 long, rank long")
+
+
+def choose_length(n: int, a: int, pos: np.ndarray, lists: np.ndarray, most: int) -> int:
+    """L of least estimated cost, of a set of n with overlaps of a or more whose shared shingles stand at ``pos`` in the order. Each other entry of the prefix's lists is read once;
+    what is left for verification, on n shingles each, is at most an L-th of them."""
+    best, length = float("inf"), 1
+    for ell in range(1, min(most, max(a, 1)) + 1):
+        size = min(n, n - a + ell)
+        read = float((lists[: np.searchsorted(pos, size)] - 1).sum())
+        if (cost := size + read + 0.1 * n * read / ell) < best:
+            best, length = cost, ell
+    return length
+
+
+def _prefixes(counted: DataFrame, sizes: DataFrame, percent: int, most: int) -> DataFrame:
+    """(v, n, ell, toks): of each class that can have a partner, L and the shingles of its prefix that others hold."""
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = pa.schema([("v", pa.int64()), ("n", pa.int64()), ("ell", pa.int32()), ("toks", pa.list_(pa.int64()))])
+    SIZE, ID = OWN - 2, OWN - 1  # a class' size and id come as rows of the same shape
+
+    def run(batches):
+        for key, other, rank in _runs(batches):
+            edges = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
+            out: list[tuple] = []
+            for x, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                r = rank[x:z]
+                head = int(np.searchsorted(r, 0))  # rows of ranks below 0 come first
+                own = {int(q): int(o) for q, o in zip(r[:head], other[x : x + head], strict=True) if q in (SIZE, OWN)}
+                if SIZE not in own or OWN not in own:
+                    continue
+                n, rare = own[SIZE], own[OWN]
+                a = max(1, least_overlap(n, percent))
+                toks, lists = other[x + head : z], r[head:]
+                same = np.concatenate([[False], (toks[1:] == toks[:-1]) & (lists[1:] == lists[:-1])]) if len(toks) else np.zeros(0, bool)
+                toks, lists = toks[~same], lists[~same]  # a common shingle that several tasks sent
+                known = int((lists < LAST).sum())
+                if known + n - rare < a:
+                    continue
+                pos = np.concatenate([np.arange(rare - known, rare), np.arange(rare, rare + len(toks) - known)])
+                lists = np.where(lists < LAST, lists, lists - LAST)
+                ell = choose_length(n, a, pos, lists, most)
+                use = toks[: np.searchsorted(pos, min(n, n - a + ell))]
+                if len(use):
+                    out += [(int(o), n, ell, use) for q, o in zip(r[:head], other[x : x + head], strict=True) if q == ID]
+            if out:
+                at = np.concatenate([[0], np.cumsum([len(o[3]) for o in out])])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([o[3] for o in out])))], schema=kinds)
+
+    own = sizes.select(F.col("s1").alias("k1"), F.inline(F.array(F.struct(F.col("n").alias("k2"), F.lit(SIZE).cast("long").alias("rank")), F.struct(F.col("v").alias("k2"), F.lit(ID).cast("long").alias("rank")))))
+    return counted.unionByName(own).repartition(parts, "k1").sortWithinPartitions("k1", "rank", "k2").mapInArrow(run, "v long, n long, ell int, toks array<long>")
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -205,29 +319,49 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (differ <= F.floor((nx + ny) * (100 - percent) / (100 + percent)))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) of ids whose whole texts have the similarity."""
-    x, y = sets.select("doc_id", "n", "odd").alias("x"), sets.select("doc_id", "n", "odd").alias("y")
-    near = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id"))
+def _linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) of ids whose sets have the similarity. ``b`` is what many pairs share: its set goes once to each group of ``GROUP`` rows or so."""
+    x, y = reps.alias("x"), reps.alias("y")
+    near = pairs.join(x, F.col("a") == F.col("x.v")).join(y, F.col("b") == F.col("y.v"))
     pairs = stored(near.filter(_may_link("x", "y", percent)).select("a", "b").distinct())
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    # A list of ids of a checked size goes out to all, so that other sets are not shuffled; a longer one is joined by a shuffle.
+    sets = sets.filter("n > 0").join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "s1", "s2"]).select("doc_id", "toks")
+    rows = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("part")).join(sets, F.col("a") == F.col("doc_id")).select("b", "part", "a", "toks")
+    heads = groups.join(sets, F.col("b") == F.col("doc_id")).select("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "toks")
 
     def run(batches):
-        ids, last = WordIds(), (None, None)
+        key, leaders = None, []
         for batch in batches:
-            ok = []
-            for b, ta, tb in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if last[0] != (b, key := hash(tb.as_py())):
-                    last = ((b, key), shingles(tb.as_py(), k, ids))
-                x, y = shingles(ta.as_py(), k, ids), last[1]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    # A list of ids of a checked size goes out to all, so that other texts are not shuffled; a longer one is joined by a shuffle.
-    docs = docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
-    side = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+            b, part, a = (batch.column(j).to_pylist() for j in range(3))
+            flat, n = _lists(batch.column(3))
+            ends = np.cumsum(n)
+            out: list[tuple] = []
+            x = 0
+            while x < len(b):
+                if (b[x], part[x]) != key:
+                    key, leaders = (b[x], part[x]), []
+                z = x + 1
+                while z < len(b) and (b[z], part[z]) == key and (a[z] is None) == (a[x] is None):
+                    z += 1
+                if a[x] is None:  # several if rows share the id
+                    leaders += [flat[ends[j] - n[j] : ends[j]] for j in range(x, z)]
+                else:
+                    own, ok = flat[ends[x] - n[x] : ends[z - 1]], np.zeros(z - x, bool)
+                    doc = np.repeat(np.arange(z - x), n[x:z])
+                    for lead in leaders:
+                        s = lead.view(np.uint64)
+                        at = np.minimum(np.searchsorted(s, own.view(np.uint64)), len(s) - 1)
+                        both = np.bincount(doc, lead[at] == own, z - x).astype(np.int64)
+                        ok |= 100 * both >= percent * (n[x:z] + len(lead) - both)
+                    out += [(a[x + j], key[0]) for j in np.flatnonzero(ok).tolist()]
+                x = z
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+    both = rows.unionByName(heads).repartition(parts, "b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -272,28 +406,38 @@ def _tiles(rows: DataFrame, percent: int) -> DataFrame:
     def pairs(tok: int, lo: int, hi: int, unit: list[dict]):
         n, label, ell, tile = (np.array([r[x] for r in unit], np.int64) for x in ("n", "label", "ell", "tile"))
         minor = np.array([r["minor"] for r in unit])
-        at = np.repeat(np.arange(len(unit)), [len(r["prefix"]) for r in unit])
-        tokens, inv = np.unique(np.concatenate([np.array(r["prefix"], np.int64) for r in unit]), return_inverse=True)
-        has = np.zeros((len(unit), len(tokens)), np.uint8)
-        has[at, inv] = 1
-        long = np.isin(tokens, np.unique(np.concatenate([np.array(r["long"], np.int64) for r in unit]))).astype(np.uint8)
-        here = np.searchsorted(tokens, tok)
         odd = np.array([r["odd"] for r in unit], np.int64).view(np.uint64)
-        rest = np.maximum(0, least_overlap(n, percent) - ell)
-        dense = has.astype(np.float32)
-        for x in range(0, len(unit), 512):
-            i = np.arange(x, min(x + 512, len(unit)))
-            shared = dense[i] @ dense.T
+        size, rest = len(unit), np.maximum(0, least_overlap(n, percent) - ell)
+        at = np.repeat(np.arange(size), [len(r["prefix"]) for r in unit])
+        tokens, inv = np.unique(np.concatenate([np.array(r["prefix"], np.int64) for r in unit]), return_inverse=True)
+        earlier = np.isin(tokens, np.unique(np.concatenate([np.array(r["long"], np.int64) for r in unit]))) & (tokens < tok)
+        order = np.argsort(inv, kind="stable")
+        members, starts = at[order], np.searchsorted(inv[order], np.arange(len(tokens) + 1))
+        many = np.diff(starts)
+        use = many[inv] > 1
+        at, inv = at[use], inv[use]  # by row
+        row = np.searchsorted(at, np.arange(size + 1))
+        for x in range(0, size, 64):
+            i = np.arange(x, min(x + 64, size))
+            # What both prefixes share, and how much of it are other long lists before this one, counted over the lists of the rows' shingles.
+            shared, before = np.zeros(len(i) * size, np.int64), np.zeros(len(i) * size, np.int64)
+            rows, toks = at[row[x] : row[i[-1] + 1]] - x, inv[row[x] : row[i[-1] + 1]]
+            lots = np.cumsum(many[toks]) // STEP
+            for lot in np.split(np.arange(len(toks)), np.flatnonzero(np.diff(lots)) + 1) if len(toks) else []:
+                t = toks[lot]
+                each = np.arange(many[t].sum()) - np.repeat(np.cumsum(many[t]) - many[t], many[t])
+                cell = np.repeat(rows[lot], many[t]) * size + members[np.repeat(starts[t], many[t]) + each]
+                shared += np.bincount(cell, minlength=len(shared))
+                before += np.bincount(cell[np.repeat(earlier[t], many[t])], minlength=len(before))
+            shared, before = shared.reshape(-1, size), before.reshape(-1, size)
             need = -(-percent * (n[i, None] + n) // (100 + percent))
-            ok = (i[:, None] < np.arange(len(unit))) & (label[i, None] != label) & (minor[i, None] | minor) & (100 * np.minimum(n[i, None], n) >= percent * np.maximum(n[i, None], n))
-            ok &= shared + np.maximum(rest[i, None], rest) >= need
+            ok = (i[:, None] < np.arange(size)) & (label[i, None] != label) & (minor[i, None] | minor) & (100 * np.minimum(n[i, None], n) >= percent * np.maximum(n[i, None], n))
+            ok &= (shared + np.maximum(rest[i, None], rest) >= need) & (before == 0)  # each pair once: at the first of the long lists that it shares
             if lo != hi:
                 ok &= tile[i, None] != tile
             a, b = np.nonzero(ok)
             for y in range(0, len(a), 20_000):
                 p, q = i[a[y : y + 20_000]], b[y : y + 20_000]
-                first = (has[p] & has[q] & long).argmax(1) == here  # each pair once: at the least of the long lists that it shares
-                p, q = p[first], q[first]
                 good = np.bitwise_count(odd[p] ^ odd[q]).sum(1, dtype=np.int64) <= (n[p] + n[q]) * (100 - percent) // (100 + percent)
                 yield from ((max(unit[j]["v"], unit[k]["v"]), min(unit[j]["v"], unit[k]["v"])) for j, k in zip(p[good].tolist(), q[good].tolist(), strict=True))
 
@@ -320,25 +464,18 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, most: int = 6) -> Da
 
     Two rows link when 100 * intersection >= ``percent`` * union of their shingle sets. ``most``: the largest L.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(_sets(docs, k, percent, most))
+    sets = stored(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k))
     full = sets.filter("n > 0 and doc_id is not null")
-    reps = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "light", "prefix")).alias("r")).select("r.*").withColumnRenamed("doc_id", "v")
-    rows = reps.select("v", "n", "light", F.posexplode("prefix").alias("pos", "tok")).select(
-        "tok", F.when(F.col("pos") < F.col("light"), 0).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(SALTS))).cast("int").alias("salt"), "v", "n", "pos"
-    )
-    same = Window.partitionBy("tok", "salt")
-    rows = rows.withColumn("lists", F.count("*").over(same)).withColumn("lead", F.min(F.struct("v", "n")).over(same)).filter((F.col("lists") > 1) | (F.col("salt") > 0))
-    rows = rows.select("tok", "salt", "v", "n", "pos", "lists", F.col("lead.v").alias("lead"), F.col("lead.n").alias("lead_n"))
-    dealt = stored(rows)
-    parts = dealt.filter("salt > 0")  # the parts of a salted list have its whole length
-    parts = parts.drop("lists").join(parts.groupBy("tok").agg(F.count("*").alias("lists")), "tok")
-    posts = stored(dealt.filter("salt = 0").unionByName(parts).drop("salt"))
+    reps = stored(full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "odd")).alias("r")).select("s1", "s2", F.col("r.doc_id").alias("v"), "r.n", "r.odd"))
+    used = stored(_prefixes(_counted(_entries(full, percent, most)), reps, percent, most))
+    rows = used.select("v", "n", "ell", F.posexplode("toks").alias("pos", "tok"))
+    lists = rows.groupBy("tok").agg(F.count("*").alias("lists"), F.min(F.struct("v", "n")).alias("r")).filter("lists > 1").select("tok", "lists", F.col("r.v").alias("lead"), F.col("r.n").alias("lead_n"))
+    posts = stored(rows.join(lists, "tok"))
 
     near = (F.least("n", "lead_n") * 100) >= (F.greatest("n", "lead_n") * percent)
     first = posts.filter((F.col("v") != F.col("lead")) & near).groupBy(F.col("v").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("shared")).filter("shared >= 2").select("a", "b")
     first = stored(first)
-    star = stored(_linked(first, sets, docs, k, percent))
+    star = stored(_linked(first, reps, sets, percent))
     one = star.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label"))
     up = one.select(F.col("v").alias("label"), F.col("label").alias("up"))
     labels = stored(one.join(up, "label", "left").select("v", F.coalesce("up", "label").alias("label")))
@@ -346,31 +483,29 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, most: int = 6) -> Da
     for k_round in range(ROUNDS):
         pairs = _more_leaders(posts.filter(F.col("lists") > LONG), labels, percent, k_round)
         pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
-        new = stored(_linked(pairs, sets, docs, k, percent))
+        new = stored(_linked(pairs, reps, sets, percent))
         if not new.limit(1).count():
             break
         star, done = star.unionByName(new), done.unionByName(pairs)
         labels = components(star).select("v", F.col("c").alias("label"))
 
-    a = F.ceil(F.col("n") * percent / 100)
-    reads = posts.groupBy("v").agg(F.first("n").alias("n"), *[F.sum(F.when(F.col("pos") < F.col("n") - a + ell, F.col("lists") - 1).otherwise(0)).alias(f"r{ell}") for ell in range(1, most + 1)])
-    lengths = reads.select("v", choose_length(F.col("n"), [F.col(f"r{ell}") for ell in range(1, most + 1)], percent).alias("ell"))
-    used = stored(posts.join(lengths, "v").filter(F.col("pos") < F.col("n") - a + F.col("ell")).select("tok", "v", "n", "ell", "lists"))
-    sketches = sets.select(F.col("doc_id").alias("v"), "odd")
-    short = _mixed(used.filter(F.col("lists") <= LONG), labels)
-    long = _mixed(used.filter(F.col("lists") > LONG), labels)
-    arrays = used.groupBy("v").agg(F.collect_list("tok").alias("prefix"), F.collect_list(F.when(F.col("lists") > LONG, F.col("tok"))).alias("long"))
+    sketches = reps.select("v", "odd")
+    posts = posts.select("tok", "v", "n", "ell", "lists")
+    short = _mixed(posts.filter(F.col("lists") <= LONG), labels)
+    long = _mixed(posts.filter(F.col("lists") > LONG), labels)
+    arrays = posts.groupBy("v").agg(F.collect_list("tok").alias("prefix"), F.collect_list(F.when(F.col("lists") > LONG, F.col("tok"))).alias("long"))
     met = _short_lists(short.join(sketches, "v"), percent).unionByName(_tiles(long.join(sketches, "v").join(arrays, "v"), percent)).distinct()
-    late = stored(_linked(met.join(done, ["a", "b"], "left_anti"), sets, docs, k, percent))
+    late = stored(_linked(met.join(done, ["a", "b"], "left_anti"), reps, sets, percent))
 
     # The graph of labels: all links of both kinds with each end moved to its label.
     of = lambda x: labels.select(F.col("v").alias(x), F.col("label").alias(f"l{x}"))
     links = star.unionByName(late).unionByName(_shared_ids(full)).join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
     comp = components(links)
-    node = reps.select("v").join(labels, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
-    node = node.join(comp.select(F.col("v").alias("label"), "c"), "label", "left").select("v", F.coalesce("c", "label").alias("c"))
-    keyed = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("v")).join(node.groupBy("v").agg(F.min("c").alias("c")), "v").select("s1", "s2", "c")
-    return sets.select("doc_id", "n", "s1", "s2").join(keyed, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
+    node = reps.select("s1", "s2", "v").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    keyed = node.join(comp.select(F.col("v").alias("label"), "c"), "label", "left").select("s1", "s2", F.coalesce("c", "label").alias("c"))
+    # Sets without a shingle are alone, and are not dealt by their one hash.
+    found = sets.filter("n > 0").select("doc_id", "n", "s1", "s2").join(keyed, ["s1", "s2"], "left").unionByName(sets.filter("n = 0").select("doc_id", "n", "s1", "s2", F.lit(None).cast("long").alias("c")))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
 
 
 def _shared_ids(full: DataFrame) -> DataFrame:
