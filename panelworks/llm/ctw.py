@@ -7,22 +7,22 @@ half its own estimate and half its children's, follows from the leaves up. A dec
 depths with the weights that these leave.
 
 Documents are dealt into blocks by a hash of their id. A block sends its distinct grams and words, with counts, to buckets
-(grams by their last two context bytes, so a bucket holds whole subtrees); a bucket sums the counts of all blocks, computes the
+(grams by their last three context bytes, so a bucket holds whole subtrees); a bucket sums the counts of all blocks, computes the
 probabilities of its grams, and answers each block with the values of what it holds. Nothing that grows with the corpus is
-broadcast or sent to the driver: only the nodes of depths 0 and 1, a table of fixed size, go out to all. All streams are sorted so that a task keeps one bucket's
-or one block's table at a time.
+broadcast or sent to the driver: only the nodes of depths 0 to 2, by two bytes and a node of the symbol's tree at most 2**24 rows, for
+UTF-8 text far fewer, go out to all. Blocks and buckets have their own partition each, up to ``TASKS``, then share them evenly; all streams are sorted, so that
+a task keeps one bucket's or one block's table at a time.
 
-Defined results: NULL and empty texts are the end alone; rows with NULL id are scored and learned from; repeated rows count
+Defined results: NULL and empty texts are the end alone; very long texts are scored whole; rows with NULL id are scored and learned from; repeated rows count
 as often as they stand there and get equal scores; an empty table gives an empty result. Other columns are never read.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +32,10 @@ END = 0xFF  # in no UTF-8 text; also what stands before a text
 END_KEY = 2**64 - 1
 LN10 = float(np.log(10.0))
 GRAM, WORD = 0, 1
+#: Partitions of a shuffle at most. Context bytes by which grams are dealt.
+TASKS, CUT = 10_000, 3
+#: Bytes and texts that are read at once.
+LOT_CHARS, LOT_TEXTS = 3_000_000, 60_000
 PART = "block long, bucket int, kind int, keys binary, vals binary"
 
 
@@ -39,12 +43,12 @@ PART = "block long, bucket int, kind int, keys binary, vals binary"
 
 
 def pack(a: np.ndarray) -> bytes:
-    """Eight-byte numbers, low bytes together, deflated."""
-    return zlib.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """Eight-byte numbers, bytes of a weight together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpack(b: bytes, kind=np.uint64) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(b), np.uint8)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
     return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(kind)
 
 
@@ -104,7 +108,7 @@ def read(texts: list[str | None], depth: int, ids: WordKeys) -> tuple[np.ndarray
 
 
 def bucket_of(keys: np.ndarray, kind: int, depth: int, buckets: int) -> np.ndarray:
-    top = keys >> np.uint64(8 * (depth - 1)) if kind == GRAM else keys
+    top = keys >> np.uint64(8 * (depth + 1 - min(CUT, depth))) if kind == GRAM else keys
     top = (top + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     return ((top >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
@@ -159,28 +163,25 @@ def kt(zeros, ones, one):
     return (np.where(one, ones, zeros) + 0.5) / (zeros + ones + 1.0)
 
 
-def top_nodes(rows: list) -> dict:
-    """Depths 1 and 0 from sums by (last byte, node) of depth 2: zeros, ones, weighted. Arrays of fixed size."""
-    zeros, ones, below = (np.zeros((256, 256)) for _ in range(3))
-    for r in rows:
-        zeros[r["last"], r["node"]], ones[r["last"], r["node"]], below[r["last"], r["node"]] = r["zeros"], r["ones"], r["weighted"]
-    def level(z, o, s):
-        own = log_kt(z.astype(np.int64), o.astype(np.int64))
-        return np.logaddexp(own, s) - np.log(2.0), 1 / (1 + np.exp(np.clip(s - own, -700, 700)))
-
-    weighted, w1 = level(zeros, ones, below)
-    z0, o0 = zeros.sum(0), ones.sum(0)
-    _, w0 = level(z0, o0, weighted.sum(0))
-    return {"z1": zeros, "o1": ones, "w1": w1, "z0": z0, "o0": o0, "w0": w0}
+def top_levels(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, cut: int) -> list[tuple]:
+    """(keys, zeros, ones, own weight) of depths ``cut`` - 1 to 0. ``keys``: context bytes and node of depth ``cut`` - 1, sorted; ``below``: the children's log weighted probability."""
+    out = []
+    for d in range(cut - 1, -1, -1):
+        own = log_kt(zeros.astype(np.int64), ones.astype(np.int64))
+        out.append((keys, zeros, ones, 1 / (1 + np.exp(np.clip(below - own, -700, 700)))))
+        if d:
+            weighted = np.logaddexp(own, below) - np.log(2.0)
+            keys, inv = np.unique((keys >> np.uint64(16) << np.uint64(8)) | (keys & np.uint64(255)), return_inverse=True)
+            zeros, ones, below = (np.bincount(inv, x, len(keys)) for x in (zeros, ones, weighted))
+    return out
 
 
-def log_probs(keys: np.ndarray, counts: np.ndarray, depth: int, top: dict) -> np.ndarray:
-    """log10 probability of the last byte of each gram after its context. ``keys`` hold whole subtrees of depth 2."""
-    total = np.zeros(len(keys))
-    last = (keys >> np.uint64(8 * depth)).astype(np.int64)
+def log_probs(keys: np.ndarray, counts: np.ndarray, depth: int, top: list[tuple]) -> np.ndarray:
+    """log10 probability of the last byte of each gram after its context. ``keys`` hold whole subtrees of depth ``len(top)``."""
+    total, cut = np.zeros(len(keys)), len(top)
     for bit in range(8):
         one = ((keys >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
-        levels = subtree(keys, counts, depth, 2, bit)
+        levels = subtree(keys, counts, depth, cut, bit)
         path, i = [], np.arange(len(keys))
         for _, inv, zeros, ones, _, own in levels:
             i = inv[i]
@@ -188,13 +189,28 @@ def log_probs(keys: np.ndarray, counts: np.ndarray, depth: int, top: dict) -> np
         p = path[0][1]
         for own, here in path[1:]:
             p = own * here + (1 - own) * p
-        node = nodes_of(keys, bit).astype(np.int64)
-        p = top["w1"][last, node] * kt(top["z1"][last, node], top["o1"][last, node], one) + (1 - top["w1"][last, node]) * p
-        p = top["w0"][node] * kt(top["z0"][node], top["o0"][node], one) + (1 - top["w0"][node]) * p
+        at = levels[-1][0]
+        for d, (nodes, zeros, ones, own) in zip(range(cut - 1, -1, -1), top, strict=True):
+            j = np.searchsorted(nodes, (at >> np.uint64(8 * (depth - d + 1)) << np.uint64(8)) | (at & np.uint64(255)))[i]
+            p = own[j] * kt(zeros[j], ones[j], one) + (1 - own[j]) * p
         total += np.log(p)
     return total / LN10
 
 
+def sums_of(grams: np.ndarray, n_bytes: np.ndarray, keys: np.ndarray, vals: np.ndarray, depth: int) -> np.ndarray:
+    """Sum of the values of each text's grams. Grams are looked up in sorted order, each once: tables are larger than caches."""
+    doc = np.repeat(np.arange(len(n_bytes), dtype=np.uint64), n_bytes)
+    if depth <= 5 and len(n_bytes) <= 1 << 16:  # gram and text fit one number
+        both = np.sort(grams << np.uint64(16) | doc)
+        grams, doc = both >> np.uint64(16), both & np.uint64(0xFFFF)
+    else:
+        order = np.argsort(grams, kind="stable")
+        grams, doc = grams[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    found = vals[np.searchsorted(keys, grams[first])]
+    return np.bincount(doc.astype(np.int64), np.repeat(found, np.diff(np.append(first, len(grams)))), len(n_bytes))
+
+
 # -- Spark --------------------------------------------------------------------------------------
 
 
@@ -247,7 +263,7 @@ def _requests(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
                 texts.append(t.as_py())
                 train.append(x)
                 size += len(texts[-1] or "")
-                if size > 2_000_000:
+                if size > LOT_CHARS or len(texts) > LOT_TEXTS:
                     add(texts, train)
                     texts, train, size = [], [], 0
             add(texts, train)
@@ -275,38 +291,47 @@ def _totals(requests: DataFrame, buckets: int) -> DataFrame:
     """One row for each bucket and kind: its keys with the counts of all blocks."""
 
     def run(batches):
-        now, sums = None, []
-        out = lambda: _rows({"block": [-1], "bucket": [now[0]], "kind": [now[1]], "keys": [pack_keys(sums[0][0])], "vals": [pack(sums[0][1])]}, _PART)
+        now, sums, late, size = None, [], [], 0
+
+        def out():
+            keys, counts = merge(sums + late)
+            return _rows({"block": [-1], "bucket": [now[0]], "kind": [now[1]], "keys": [pack_keys(keys)], "vals": [pack(counts)]}, _PART)
+
         for key, lot in _by_bucket(batches):
-            if key != now and now is not None:
-                yield out()
-                sums = []
-            now = key
-            sums = [merge(sums + [(unpack_keys(r["keys"]), unpack(r["vals"], np.int64)) for r in lot])]
+            if key != now:
+                if now is not None:
+                    yield out()
+                now, sums, late, size = key, [], [], 0
+            for r in lot:
+                late.append((unpack_keys(r["keys"]), unpack(r["vals"], np.int64)))
+                size += len(late[-1][0])
+            if size > 1_000_000 + (len(sums[0][0]) if sums else 0):  # as much as there is: no key is merged more often than the table doubles
+                sums, late, size = [merge(sums + late)], [], 0
         if now is not None:
             yield out()
 
-    return requests.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, PART)
+    return requests.repartitionById(min(buckets, TASKS), F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(run, PART)
 
 
 def _summaries(totals: DataFrame, depth: int) -> DataFrame:
-    """Of each bucket's words: their number of tokens and types; of its grams: nodes of depth 2 summed by last byte and node."""
-    schema = pa.schema([("kind", pa.int32()), ("last", pa.int32()), ("node", pa.int32()), ("zeros", pa.float64()), ("ones", pa.float64()), ("weighted", pa.float64())])
+    """Of each bucket's words: their number of tokens and types; of its grams: nodes of depth ``CUT`` summed by their parent."""
+    cut = min(CUT, depth)
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("weighted", pa.float64())])
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 keys, counts = unpack_keys(r["keys"]), unpack(r["vals"], np.int64)
                 if r["kind"] == WORD:
-                    yield _rows({"kind": [WORD], "last": [0], "node": [0], "zeros": [float(counts.sum())], "ones": [float((counts > 0).sum())], "weighted": [0.0]}, schema)
+                    yield _rows({"kind": [WORD], "key": [0], "zeros": [float(counts.sum())], "ones": [float((counts > 0).sum())], "weighted": [0.0]}, schema)
                     continue
                 for bit in range(8):
-                    at, _, zeros, ones, weighted, _ = subtree(keys, counts, depth, 2, bit)[-1]
-                    last, node = (at >> np.uint64(8 * depth)).astype(np.int32), (at & np.uint64(255)).astype(np.int32)
-                    yield _rows({"kind": np.full(len(at), GRAM, np.int32), "last": last, "node": node, "zeros": zeros.astype(float), "ones": ones.astype(float), "weighted": weighted}, schema)
+                    at, _, zeros, ones, weighted, _ = subtree(keys, counts, depth, cut, bit)[-1]
+                    up, inv = np.unique((at >> np.uint64(8 * (depth - cut + 2)) << np.uint64(8)) | (at & np.uint64(255)), return_inverse=True)
+                    yield _rows({"kind": np.full(len(up), GRAM, np.int32), "key": up.astype(np.int64)} | {n: np.bincount(inv, x, len(up)) for n, x in (("zeros", zeros), ("ones", ones), ("weighted", weighted))}, schema)
 
-    rows = totals.mapInArrow(run, "kind int, last int, node int, zeros double, ones double, weighted double")
-    return rows.groupBy("kind", "last", "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted"))
+    rows = totals.mapInArrow(run, "kind int, key long, zeros double, ones double, weighted double")
+    return rows.groupBy("kind", "key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted"))
 
 
 def _answers(requests: DataFrame, totals: DataFrame, buckets: int, depth: int, top) -> DataFrame:
@@ -330,7 +355,7 @@ def _answers(requests: DataFrame, totals: DataFrame, buckets: int, depth: int, t
                 yield _rows(cols, _PART)
 
     both = totals.unionByName(requests.withColumn("vals", F.lit(b"")))
-    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "block").mapInArrow(run, PART)
+    return both.repartitionById(min(buckets, TASKS), F.col("bucket")).sortWithinPartitions("bucket", "kind", "block").mapInArrow(run, PART)
 
 
 def scores(docs: DataFrame, train, depth: int = 4, block_chars: int = 24_000_000) -> DataFrame:
@@ -345,11 +370,14 @@ def scores(docs: DataFrame, train, depth: int = 4, block_chars: int = 24_000_000
     blocks = max(1, -(-int(size) // block_chars))
     buckets = int(min(4096, max(16, blocks)))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("long").alias("block"), "doc_id", "text", "train")
-    requests = stored(_requests(dealt.repartition(blocks, "block").sortWithinPartitions("block"), depth, buckets))
+    by_block = lambda df: df.repartitionById(min(blocks, TASKS), F.col("block").cast("int"))
+    requests = stored(_requests(by_block(dealt).sortWithinPartitions("block"), depth, buckets))
     totals = stored(_totals(requests, buckets))
-    found = _summaries(totals, depth).collect()  # at most 256 * 255 + 1 rows
-    tokens, types = next(((r["zeros"], r["ones"]) for r in found if r["kind"] == WORD), (0.0, 0.0))
-    top = spark.sparkContext.broadcast(top_nodes([r for r in found if r["kind"] == GRAM]))
+    found = _summaries(totals, depth).toArrow().sort_by([("kind", "ascending"), ("key", "ascending")])  # columns of at most 2**24 + 1 rows
+    kind, key, zeros, ones, below = (found.column(n).to_numpy() for n in ("kind", "key", "zeros", "ones", "weighted"))
+    tokens, types = float(zeros[kind == WORD].sum()), float(ones[kind == WORD].sum())
+    gram = kind == GRAM
+    top = spark.sparkContext.broadcast(top_levels(key[gram].astype(np.uint64), zeros[gram], ones[gram], below[gram], min(CUT, depth)))
     answers = _answers(requests, totals, buckets, depth, top)
     kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     norm = tokens + 0.1 * (types + 1)
@@ -365,8 +393,9 @@ def scores(docs: DataFrame, train, depth: int = 4, block_chars: int = 24_000_000
                     table[kind] = k[o], v[o]
             grams, n_bytes, words, n_words = read(texts, depth, ids)
             by = lambda n: np.concatenate([[0], np.cumsum(n)[:-1]])
-            p = np.add.reduceat(table[GRAM][1][np.searchsorted(table[GRAM][0], grams)], by(n_bytes))
-            c = table[WORD][1][np.searchsorted(table[WORD][0], words)]
+            p = sums_of(grams, n_bytes, *table[GRAM], depth)
+            some, inv = np.unique(words, return_inverse=True)
+            c = table[WORD][1][np.searchsorted(table[WORD][0], some)][inv]
             base = np.add.reduceat(np.log10((c + 0.1) / norm), by(n_words))
             known = np.add.reduceat((c > 0).astype(np.int64), by(n_words))
             return _rows({"doc_id": rows, "n_bytes": n_bytes - 1, "n_tokens": n_words, "n_known": known, "base_score": base, "score": p}, kinds)
@@ -385,7 +414,7 @@ def scores(docs: DataFrame, train, depth: int = 4, block_chars: int = 24_000_000
                 rows.append(b.column(5)[j].as_py())
                 texts.append(b.column(6)[j].as_py())
                 size += len(texts[-1] or "")
-                if size > 2_000_000:
+                if size > LOT_CHARS or len(texts) > LOT_TEXTS:
                     yield score(rows, texts)
                     rows, texts, size = [], [], 0
             if rows:
@@ -394,6 +423,6 @@ def scores(docs: DataFrame, train, depth: int = 4, block_chars: int = 24_000_000
     none = lambda kind: F.lit(None).cast(kind)
     left = answers.select("block", F.lit(True).alias("first"), "kind", "keys", "vals", none("long").alias("doc_id"), none("string").alias("text"))
     right = dealt.select("block", F.lit(False).alias("first"), none("int").alias("kind"), none("binary").alias("keys"), none("binary").alias("vals"), "doc_id", "text")
-    both = left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", F.desc("first"))
+    both = by_block(left.unionByName(right)).sortWithinPartitions("block", F.desc("first"))
     out = both.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(int(tokens)).cast("long"))
