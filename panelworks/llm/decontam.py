@@ -1,15 +1,17 @@
 """Benchmark decontamination with a positional inverted index.
 
-Training texts are indexed in shards: for each term of a shard the sorted positions where it stands. The index is
-stored, one row for each shard. A test item is cut into windows of consecutive words. In each shard a window starts at the
-postings of its rarest term there; the lists of the next rarest terms, moved by their offset in the window, are
+Training texts are indexed in shards, all their words: for each term of a shard the sorted positions where it stands. The index is
+stored, one row for each shard. A test item is cut into windows of consecutive words. In each shard the windows of which it has all terms start at the
+postings of their rarest term there; the lists of the next rarest terms, moved by their offset in the window, are
 intersected with what is left, so most windows end at an empty list. What is left are exact phrases. With a
 slack, the postings of the window's rarest terms need only be within that many words of their place: proximity.
 
-The items go out in blocks of bounded size, the index is read once for each block.
+Items are turned into term sequences by Spark, long ones in pieces that overlap by a window, and go out in blocks of bounded size,
+eight bytes a word; the index is read once for each block.
 
 Defined results: NULL and empty texts have no words and no matches; an item without words matches nothing; an item with fewer words
-than a window is one window; repeated rows each get a result; equal items with other ids each match. Other columns are never read.
+than a window is one window; very long texts are indexed whole, in one shard; repeated rows each get a result; equal items with other ids each match, rows that share an item's id count as
+one item. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -44,16 +46,12 @@ class TermIds(dict):
         return h
 
 
-def _shard(ids: list, words: list[np.ndarray], keep: np.ndarray | None) -> dict:
+def _shard(ids: list, words: list[np.ndarray]) -> dict:
     lengths = np.array([len(w) for w in words], np.int64)
     # A gap of one between texts keeps phrases from running over their ends.
     start = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
     term = np.concatenate(words) if len(words) else np.zeros(0, np.int64)
     at = np.arange(len(term)) + np.repeat(np.arange(len(lengths)), lengths)
-    if keep is not None and len(term):
-        i = np.minimum(np.searchsorted(keep, term), len(keep) - 1) if len(keep) else np.zeros(len(term), int)
-        known = keep[i] == term if len(keep) else np.zeros(len(term), bool)
-        term, at = term[known], at[known]
     order = np.argsort(term, kind="stable")
     terms, first = np.unique(term[order], return_index=True)
     ends = np.append(first[1:], len(term)).astype(np.int32) if len(terms) else np.zeros(0, np.int32)
@@ -61,13 +59,8 @@ def _shard(ids: list, words: list[np.ndarray], keep: np.ndarray | None) -> dict:
     return {"row_ids": ids, "lengths": lengths.tolist(), "terms": terms.astype(np.int64).tobytes(), "ends": ends.tobytes(), "positions": at[order].astype(np.int32).tobytes()}
 
 
-def build_index(docs: DataFrame, keep: np.ndarray | None = None, shard_words: int = 500_000) -> DataFrame:
-    """The stored index of ``docs`` (doc_id, text): a row for each shard of about ``shard_words`` words.
-
-    ``keep``: sorted term ids to index, of bounded number; None: all.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(keep)
+def build_index(docs: DataFrame, shard_words: int = 500_000) -> DataFrame:
+    """The stored index of ``docs`` (doc_id, text): a row for each shard of about ``shard_words`` words."""
     kinds = pa.schema([("row_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("terms", pa.binary()), ("ends", pa.binary()), ("positions", pa.binary())])
 
     def run(batches):
@@ -75,7 +68,7 @@ def build_index(docs: DataFrame, keep: np.ndarray | None = None, shard_words: in
         ids, words, size = [], [], 0
 
         def out():
-            return pa.RecordBatch.from_pylist([_shard(ids, words, shared.value)], kinds)
+            return pa.RecordBatch.from_pylist([_shard(ids, words)], kinds)
 
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -89,7 +82,7 @@ def build_index(docs: DataFrame, keep: np.ndarray | None = None, shard_words: in
         if ids:
             yield out()
 
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEX))
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEX), compression="zstd")
 
 
 @dataclass(frozen=True)
@@ -102,16 +95,62 @@ class Windows:
     names: list[str]
 
 
-def windows_of(items: list[tuple[str, str]], size: int) -> Windows:
-    known, rows, sizes, item = TermIds(), [], [], []
-    for k, (_, text) in enumerate(items):
-        w = [known[x] for x in words_of(text)]
-        for j in range(max(1, len(w) - size + 1) if w else 0):
-            part = w[j : j + size]
-            rows.append(part + [-1] * (size - len(part)))
-            sizes.append(len(part))
-            item.append(k)
-    return Windows(np.array(rows, np.int64).reshape(len(rows), size), np.array(sizes, np.int64), np.array(item, np.int64), [str(i) for i, _ in items])
+@dataclass(frozen=True)
+class Sequences:
+    """Term sequences of a block of items, one after another: eight bytes a word."""
+
+    terms: np.ndarray
+    starts: np.ndarray
+    item: np.ndarray
+    names: list[str]
+    window: int
+
+    def windows(self, known: np.ndarray, lot: int = 100_000):
+        """Windows of which ``known``, the sorted terms of a shard, has every term, in lots of bounded size."""
+        if not len(self.terms) or not len(known):
+            return
+        there = known[np.minimum(np.searchsorted(known, self.terms), len(known) - 1)] == self.terms
+        missing = np.concatenate([[0], np.cumsum(~there)])
+        ends = np.append(self.starts[1:], len(self.terms))
+        size = np.minimum(self.window, ends - self.starts)  # of the windows of a sequence
+        many = ends - self.starts - size + 1
+        for x in range(0, len(many), lot):
+            seq = np.repeat(np.arange(x, min(x + lot, len(many))), many[x : x + lot])
+            at = self.starts[seq] + np.arange(len(seq)) - np.repeat(np.cumsum(many[x : x + lot]) - many[x : x + lot], many[x : x + lot])
+            full = missing[at + size[seq]] == missing[at]
+            seq, at = seq[full], at[full]
+            for y in range(0, len(at), lot):
+                s, a = seq[y : y + lot], at[y : y + lot]
+                step = np.arange(self.window)
+                rows = np.where(step < size[s, None], self.terms[np.minimum(a[:, None] + step, len(self.terms) - 1)], -1)
+                yield Windows(rows, size[s], self.item[s], self.names)
+
+
+def sequences(items: DataFrame, window: int, piece: int = 50_000) -> DataFrame:
+    """(item_id, seq): the items' term sequences, in pieces of ``piece`` words that overlap, so that each window stands whole in one of them."""
+
+    def run(batches):
+        known = TermIds()
+        for b in batches:
+            names, seqs = [], []
+            for name, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                w = words_of(text.as_py())
+                h = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
+                for x in range(0, max(1, len(h) - window + 1) if len(h) else 0, piece):
+                    names.append(name)
+                    seqs.append(h[x : x + piece + window - 1].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(seqs, pa.binary())], ["item_id", "seq"])
+
+    return stored(items.mapInArrow(run, "item_id string, seq binary").distinct())
+
+
+def _block(pieces: DataFrame, window: int) -> Sequences:
+    got = pieces.toArrow().to_pydict()
+    names = sorted(set(got["item_id"]))
+    number = {x: i for i, x in enumerate(names)}
+    rows = sorted(zip(got["item_id"], got["seq"], strict=True))
+    size = np.array([len(q) // 8 for _, q in rows], np.int64)
+    return Sequences(np.frombuffer(b"".join(q for _, q in rows), np.int64), np.cumsum(size) - size, np.array([number[i] for i, _ in rows], np.int64), names, window)
 
 
 def _near(positions: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray, slack: int) -> np.ndarray:
@@ -162,17 +201,20 @@ def search(shard: dict, win: Windows, slack: int = 0, rarest: int | None = None)
     return np.concatenate(out_w), np.concatenate(out_p)
 
 
-def _spans(shard: dict, win: Windows, slack: int, rarest: int | None) -> list[list[dict]]:
+def _spans(shard: dict, block: Sequences, slack: int, rarest: int | None) -> list[list[dict]]:
     """For each text of the shard its spans by item; touching ones of an item are one."""
     lengths = np.array(shard["lengths"], np.int64)
     start = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
     out: list[list[dict]] = [[] for _ in lengths]
-    w, p = search(shard, win, slack, rarest)
-    if len(w):
+    found = []
+    for win in block.windows(np.frombuffer(shard["terms"], np.int64)):
+        w, p = search(shard, win, slack, rarest)
+        found.append((p, win.sizes[w], win.item[w]))
+    p, size, item = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    if len(p):
         row = np.searchsorted(start, np.maximum(p, 0), "right") - 1
         a = np.maximum(p - start[row], 0)
-        b = np.minimum(p - start[row] + win.sizes[w], lengths[row])
-        item = win.item[w]
+        b = np.minimum(p - start[row] + size, lengths[row])
         o = np.lexsort((b, a, item, row))
         row, item, a, b = row[o], item[o], a[o], b[o]
         last = None
@@ -180,7 +222,7 @@ def _spans(shard: dict, win: Windows, slack: int, rarest: int | None) -> list[li
             if last and last[0] == (r, k) and x <= last[1]["end"]:
                 last[1]["end"] = max(last[1]["end"], y)
             else:
-                last = ((r, k), {"item_id": win.names[k], "start": x, "end": y})
+                last = ((r, k), {"item_id": block.names[k], "start": x, "end": y})
                 out[r].append(last[1])
     return out
 
@@ -189,18 +231,18 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, slack: int = 0,
     """For each row of ``docs`` (doc_id, text): doc_id, n_words and the spans of words that windows of ``items`` (item_id, text) match.
 
     ``slack`` 0 gives exact phrases; more gives proximity, of the ``rarest`` terms of a window if set.
-    Items are read in blocks of at most ``block_chars`` characters (or one item), so what is broadcast is bounded.
+    Items go out in blocks of about ``block_chars`` characters, pieces of long items dealt by a hash of their terms, so what is collected and broadcast is bounded.
     """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    pieces = sequences(items, window)
     blocks = max(1, -(-int(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
-    part = lambda k: [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
-    first = windows_of(part(0), window)
-    index = build_index(docs, np.unique(first.terms[first.terms >= 0]) if blocks == 1 else None)
+    part = lambda k: _block(pieces.filter(F.pmod(F.xxhash64("seq", "item_id"), F.lit(blocks)) == k), window)
+    index = build_index(docs)
     kinds = pa.schema([("shard", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
 
-    def searched(win: Windows) -> DataFrame:
-        shared = spark.sparkContext.broadcast(win)
+    def searched(block: Sequences) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches):
             for b in batches:
@@ -212,10 +254,10 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, slack: int = 0,
 
         return index.mapInArrow(run, f"shard long, row int, doc_id long, n_words long, spans array<{SPAN}>")
 
-    out = searched(first)
+    out = searched(part(0))
     if blocks > 1:
         for k in range(1, blocks):
-            out = out.unionByName(searched(windows_of(part(k), window)))
+            out = out.unionByName(searched(part(k)))
         out = out.groupBy("shard", "row", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return out.select("doc_id", "n_words", "spans")
 

@@ -8,7 +8,8 @@ read back by range, shard by shard in order of offset.
 Shards lie in a folder that driver and executors share, in any store with an address that pyarrow's file systems know. A task that runs twice writes
 another shard; only what its last run returned is referred to, as the rows are written before they are used.
 
-Defined results: a NULL text is an empty one, which is one row of samples; equal texts share one medium; rows with NULL id keep their row; an empty
+Defined results: a NULL text is an empty one, which is one row of samples; equal texts share one medium; a very long text is one medium, written and read
+whole; of several copies of a content the first by shard and offset counts; rows with NULL id keep their row; an empty
 table gives an empty result and no shard. Other columns are never read.
 """
 
@@ -132,7 +133,18 @@ def write_media(docs: DataFrame, folder: str, shard_bytes: int = 256_000_000) ->
 
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, n_bytes long, {REF}"))
     one = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("r")).select("digest", "r.*")
-    return rows.select("doc_id", "n_bytes", "digest").join(one, "digest")
+    return attached(rows.select("doc_id", "n_bytes", "digest"), one)
+
+
+def attached(rows: DataFrame, info: DataFrame, most_hot: int = 10_000, hot_rows: int = 1_000) -> DataFrame:
+    """``rows`` joined with ``info``, one row for each digest. What belongs to digests of very many rows is sent to all: such rows are not brought together.
+
+    A digest is hot if it has more than ``hot_rows`` rows and more than one in ``most_hot``, so there are ``most_hot`` at most.
+    """
+    least = max(hot_rows, rows.count() // most_hot)
+    hot = F.broadcast(stored(rows.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("digest")))
+    many = rows.join(F.broadcast(info.join(hot, "digest", "left_semi")), "digest")
+    return many.unionByName(rows.join(hot, "digest", "left_anti").join(info.join(hot, "digest", "left_anti"), "digest"))
 
 
 def _ranges(folder: str, call):

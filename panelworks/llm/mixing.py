@@ -7,7 +7,8 @@ documents' lengths, with the inverse of the domains' Gram matrix as weights, the
 A document's rate is an expression in its probabilities and the residuals of the steps so far: nothing is joined, no lineage grows.
 
 Defined results: NULL and empty texts have 0 tokens and get the rate of their probabilities, which adds no tokens; without labelled rows all
-belong to the first domain; a domain without any probability keeps its target unmet; an empty table gives an empty result; repeated
+belong to the first domain; a domain without any probability keeps its target unmet, and targets that no rates reach end at the least squares; a fit that has not
+settled after the steps allowed is an error; very long texts count whole; an empty table gives an empty result; repeated
 rows each get the same rate. Other columns are never read.
 """
 
@@ -23,10 +24,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import bottom_k, stored
+from panelworks.llm.common import bottom_k, fresh, stored
 
-WORDS = "_mix_words"
-FEATURES = "_mix_features"
+WORDS = "mix_words"
+FEATURES = "mix_features"
 
 
 @dataclass(frozen=True)
@@ -40,24 +41,25 @@ class Domains:
 
     def with_posteriors(self, df: DataFrame, text: str = "text", n: str = "n_tokens", p: str = "posterior") -> DataFrame:
         """``df`` with its texts' word counts and an array of probabilities by domain."""
-        df = _words(df, text).withColumn(n, F.size(WORDS).cast("long"))
+        words, features, prob, raw = (fresh(x, df) for x in (WORDS, FEATURES, "mix_p", "mix_raw"))
+        df = _words(df, text, words).withColumn(n, F.size(words).cast("long"))
         if self.model is None:
             one = self.known[0] if self.known else self.names[0]
-            return df.withColumn(p, F.array(*[F.lit(float(x == one)) for x in self.names])).drop(WORDS)
-        out = HashingTF(numFeatures=self.features, binary=True, inputCol=WORDS, outputCol=FEATURES).transform(df)
-        model = self.model.setFeaturesCol(FEATURES).setProbabilityCol("_mix_p").setRawPredictionCol("_mix_raw").setPredictionCol("")
-        out = model.transform(out).withColumn("_mix_p", vector_to_array("_mix_p"))
-        return out.withColumn(p, F.array(*[F.col("_mix_p")[self.known.index(x)] if x in self.known else F.lit(0.0) for x in self.names])).drop(WORDS, FEATURES, "_mix_p", "_mix_raw")
+            return df.withColumn(p, F.array(*[F.lit(float(x == one)) for x in self.names])).drop(words)
+        out = HashingTF(numFeatures=self.features, binary=True, inputCol=words, outputCol=features).transform(df)
+        model = self.model.setFeaturesCol(features).setProbabilityCol(prob).setRawPredictionCol(raw).setPredictionCol("")
+        out = model.transform(out).withColumn(prob, vector_to_array(prob))
+        return out.withColumn(p, F.array(*[F.col(prob)[self.known.index(x)] if x in self.known else F.lit(0.0) for x in self.names])).drop(words, features, prob, raw)
 
 
-def _words(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn(WORDS, F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+def _words(df: DataFrame, text: str, words: str = WORDS) -> DataFrame:
+    return df.withColumn(words, F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, names: Sequence[str], max_rows: int = 20_000, features: int = 1 << 15, steps: int = 25, l2: float = 0.002) -> Domains:
     """Learn from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, domain) names: at most ``max_rows`` ids, sent out as a broadcast."""
     known = labels.filter(F.col("domain").isin(list(names)) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    some = F.broadcast(bottom_k(known, "doc_id", max_rows))
+    some = F.broadcast(bottom_k(known, max_rows, "doc_id"))
     rows = docs.select("doc_id", "text").join(some, "doc_id").select("text", "domain")
     rows = stored(HashingTF(numFeatures=features, binary=True, inputCol=WORDS, outputCol=FEATURES).transform(_words(rows, "text")).select("domain", FEATURES))
     found = {r["domain"] for r in rows.select("domain").distinct().collect()}
@@ -93,8 +95,12 @@ def _rate(steps: list[list[float]], p: str) -> Column:
     return r
 
 
-def fit_rates(rows: DataFrame, names: Sequence[str], shares: dict[str, float], total: float = 1.0, n: str = "n_tokens", p: str = "posterior", most: int = 40, tolerance: float = 1e-6) -> Rates:
-    """Fit rates to ``rows`` (tokens, probabilities). Targets: ``shares`` of ``total`` times the tokens of all rows."""
+def fit_rates(rows: DataFrame, names: Sequence[str], shares: dict[str, float], total: float = 1.0, n: str = "n_tokens", p: str = "posterior", most: int = 100, tolerance: float = 1e-6) -> Rates:
+    """Fit rates to ``rows`` (tokens, probabilities). Targets: ``shares`` of ``total`` times the tokens of all rows.
+
+    The fit has settled when the targets are met to ``tolerance`` of all tokens, or the sums of a step are those of the one before to a hundredth of that.
+    A fit that hasn't after ``most`` steps raises an error.
+    """
     k = len(names)
     at = [F.col(p)[d] for d in range(k)]
     first = rows.agg(F.sum(n).alias("all"), *[F.sum(F.col(n) * at[a] * at[b]).alias(f"g{a}_{b}") for a in range(k) for b in range(a, k)]).first()
@@ -104,13 +110,18 @@ def fit_rates(rows: DataFrame, names: Sequence[str], shares: dict[str, float], t
     targets = np.array([shares.get(x, 0.0) / weight * total * size for x in names])
     inverse = np.linalg.pinv(gram + np.eye(k) * 1e-9 * max(size, 1.0))
     steps: list[list[float]] = []
+    before = None
     while True:
         r = _rate(steps, p)
-        got = rows.withColumn("_r", r).agg(*[F.sum(F.col(n) * at[d] * F.col("_r")).alias(f"s{d}") for d in range(k)]).first()
+        got = rows.agg(*[F.sum(F.col(n) * at[d] * r).alias(f"s{d}") for d in range(k)]).first()
         sums = np.array([float(x or 0) for x in got])
         move = inverse @ (sums - targets)
-        if size == 0 or len(steps) >= most or np.abs(sums - targets).max() <= tolerance * size or np.abs(move).max() < 1e-9:
+        settled = before is not None and np.abs(sums - before).max() <= 0.01 * tolerance * size
+        if size == 0 or settled or np.abs(sums - targets).max() <= tolerance * size or np.abs(move).max() < 1e-9:
             return Rates(list(names), targets.tolist(), sums.tolist(), steps)
+        if len(steps) >= most:
+            raise RuntimeError(f"rates have not settled after {most} steps: {dict(zip(names, sums.tolist(), strict=True))} tokens for {dict(zip(names, targets.tolist(), strict=True))}")
+        before = sums
         steps.append(move.tolist())
 
 

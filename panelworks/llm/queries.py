@@ -49,8 +49,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = media.media_folder(spark)
     refs = stored(media.write_media(_table(spark, sf_dir, "documents"), folder))
-    heads, whole = media.metadata(refs, folder), media.features(refs, folder)
-    out = refs.join(whole, "digest").join(heads, "digest")
+    info = stored(media.features(refs, folder).join(media.metadata(refs, folder), "digest"))
+    out = media.attached(refs, info)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bits")
 
 

@@ -6,7 +6,8 @@ needless, become rules. An index from a rule's rarest token to the rule finds ca
 all its tokens are in the url. Fixed rules of hosts and paths come first.
 
 Defined results: a NULL url, or one without ``://``, has an empty host and path and no tokens, matches no rule and is allowed; without labelled rows, or if no
-rule is good enough, nothing is blocked but by fixed rules; repeated rows each get a verdict. Other columns are never read.
+rule is good enough, nothing is blocked but by fixed rules; very long urls are read whole; of several rules that fit the surest counts, of equally sure ones it makes no
+difference; repeated rows each get a verdict. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(all_))
 
 
-def mine(labelled: DataFrame, support: float | None = None, confidence: float = 0.5, least_rows: int = LEAST_ROWS, longest: int = 4) -> DataFrame:
+def mine(labelled: DataFrame, support: float | None = None, confidence: float = 0.5, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Rules (rule_id, tokens, confidence, support, rarest) from all rows of ``labelled`` (url, blocked boolean, key).
 
     A rule's tokens stand together with the block mark in ``least_rows`` rows, or in the share ``support`` of the rows if that is given. Rules that
@@ -55,7 +56,7 @@ def mine(labelled: DataFrame, support: float | None = None, confidence: float =
         # Half a row less, so that the share times the rows, rounded up again, is the count.
         support = min(1.0, (least_rows - 0.5) / max(1, rows.count()))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
-    found = model.associationRules.filter(F.array_contains("consequent", MARK) & (F.size("antecedent") <= longest))
+    found = model.associationRules.filter(F.array_contains("consequent", MARK))
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rules = stored(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.xxhash64("tokens")))
     short = rules.select(F.col("tokens").alias("less"), F.col("confidence").alias("c"), F.size("tokens").alias("n"))
@@ -92,7 +93,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     mined = stored(mine(pages.join(known, "page_id").select("url", "blocked", F.col("page_id").alias("key")), **limits))
     sure = fired(pages.select("url").filter("url is not null").distinct(), mined)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    out = pages.join(sure, "url", "left").select("page_id", host.alias("host"), path.alias("path"), "confidence")
+    # Rows without a url are met by no rule and are not dealt by their one key.
+    out = pages.filter("url is not null").join(sure, "url", "left").unionByName(pages.filter("url is null").withColumn("confidence", F.lit(None).cast("double")))
+    out = out.select("page_id", host.alias("host"), path.alias("path"), "confidence")
     out = out.withColumn("f", fixed(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce("f.verdict", F.when(F.col("confidence").isNotNull(), BLOCK).otherwise(ALLOW))
     return out.select("page_id", "host", "path", F.col("f.rule").alias("rule"), verdict.alias("verdict"), "confidence")
