@@ -10,7 +10,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from panelworks.functions.panel import FEATURES, S, Series, forward
 from panelworks.functions.scalar import complete, dead_zone, is_rebalance_day
 from panelworks.operators.linear import coordinate_descent, ridge_forecast, square
 from panelworks.operators.stats import expanding_folds
+from panelworks.sources.shared import checkpointed
 
 
 def _array(col: pd.Series) -> np.ndarray:
@@ -120,10 +122,15 @@ def stack(folds: np.ndarray, history: np.ndarray, at: np.ndarray, d: int, ridge_
     return ybar + (meta * (base - pbar)).sum(1), meta
 
 
+#: Rows before a row that make a stack.
+SHORT = 120
+
+
 def stacked(features: DataFrame, x: Sequence[str] = FEATURES, window: int = 252, k: int = 5, min_train: int = 252, ridge_alpha: float = 5.0, lasso_alpha: float = 0.0005, meta_alpha: float = 1.0, bound: float = 0.004, least: float = 0.0005, s: Series = S, only_rebalance: bool = True) -> DataFrame:
     """(key, order, mu, meta_ridge, meta_lasso, raw): a meta-ridge on out-of-fold predictions of the last ``window`` rows blends a ridge and a lasso refit on all rows before.
 
-    Features are taken about the first row's, so sums don't cancel; fold sums are differences of running sums at fixed lags.
+    Features are taken about the first row's, so sums don't cancel; fold sums are differences of running sums at fixed lags. With ``min_train`` below ``window``,
+    rows with fewer rows before them than ``window`` use what there is; ``SHORT`` rows are the least that makes a stack.
     """
     d, test = len(x), window // (k + 1)
     lags = [window - (window - k * test), *[(k - 1 - j) * test for j in range(k)]]  # of the first test row, and of each fold's end
@@ -133,11 +140,18 @@ def stacked(features: DataFrame, x: Sequence[str] = FEATURES, window: int = 252,
     before = s.rows(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_p", F.array(*[F.coalesce(F.sum(v).over(before), F.lit(0.0)) for v in _sums(x)]))
     rows = rows.withColumns({f"_p{j}": F.lag("_p", lag).over(s.all()) for j, lag in enumerate([window, *lags]) if lag})
-    rows = rows.filter((F.col("_i") >= max(min_train, window)) & F.col("_y").isNotNull())
-    if only_rebalance:
-        rows = rows.filter(is_rebalance_day(F.col(s.order)))
     names = [f"_p{j}" if lag else "_p" for j, lag in enumerate([window, *lags])]
-    rows = rows.select(s.key, s.order, "_p", *[n for n in names if n != "_p"], F.array(*[F.col(f"_z{j}") for j in range(d)]).alias("_x"))
+    ends = [n for n in names if n != "_p"]
+    at = F.array(*[F.col(f"_z{j}") for j in range(d)]).alias("_x")
+    wanted = F.col("_y").isNotNull() & (is_rebalance_day(F.col(s.order)) if only_rebalance else F.lit(True))
+    full = rows.filter((F.col("_i") >= max(min_train, window)) & wanted).select(s.key, s.order, "_p", *ends, at)
+    if min_train < window:
+        # The first rows of a series: their folds' ends lie at lags of their own, so they look into the list of running sums, ``window`` at most.
+        early = rows.filter(F.col("_i") < window).withColumn("_h", F.collect_list("_p").over(first)).filter((F.col("_i") >= max(min_train, SHORT)) & wanted)
+        size = F.floor(F.col("_i") / (k + 1)).cast("int")
+        picks = [F.lit(0), *[F.col("_i") - (k - j) * size for j in range(k)]]
+        full = full.unionByName(early.select(s.key, s.order, "_p", *[F.element_at("_h", (i + 1).cast("int")).alias(n) for n, i in zip(ends, picks, strict=True)], at))
+    rows = full
 
     def run(frames):
         for f in frames:
@@ -193,18 +207,74 @@ def tree_out_of_fold(features: DataFrame, x: Sequence[str] = FEATURES, k: int =
     """(key, order, fold, y, p_forest, p_boost): forest and boosted trees fit for each fold on the pooled panel, with the series' number as a feature."""
     rows = complete(features.withColumn("_y", forward("ret", 1, s)), [*x, "_y"])
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(s.key).orderBy(F.desc(s.order)))).filter(F.col("_r") <= window)
-    rows = expanding_folds(rows, k, s).withColumn("_key", F.pmod(F.xxhash64(s.key), F.lit(1009)).cast("double"))
-    rows = VectorAssembler(inputCols=[*x, "_key"], outputCol="_f").transform(rows).select(s.key, s.order, "fold", F.col("_y").alias("y"), "_f").persist()
-    rf = RandomForestRegressor(featuresCol="_f", labelCol="y", predictionCol="p_forest", seed=seed, **({"maxDepth": 4, "numTrees": 150} | (forest or {})))
-    gb = GBTRegressor(featuresCol="_f", labelCol="y", predictionCol="p_boost", seed=seed, **({"maxDepth": 2, "maxIter": 200, "stepSize": 0.05} | (boosting or {})))
+    rows = expanding_folds(rows, k, s)
+    rows = _assembled(rows, x, s).transform(rows).select(s.key, s.order, "fold", F.col("_y").alias("y"), "_f").persist()
+    rf, gb = _trees(forest, boosting, seed)
     out = None
     for i in range(k):
         train = rows.filter(F.coalesce("fold", F.lit(-1)) < i)
         got = gb.fit(train).transform(rf.fit(train).transform(rows.filter(F.col("fold") == i))).drop("_f")
         out = got if out is None else out.unionByName(got)
+    out = checkpointed(out)
+    rows.unpersist()
     return out
 
 
+def _assembled(rows: DataFrame, x: Sequence[str], s: Series) -> PipelineModel:
+    """Features and the series' number, by the order of the names, as one vector ``_f``."""
+    number = StringIndexer(inputCol=s.key, outputCol="_key", stringOrderType="alphabetAsc", handleInvalid="keep")
+    return Pipeline(stages=[number, VectorAssembler(inputCols=[*x, "_key"], outputCol="_f")]).fit(rows)
+
+
+def _trees(forest: dict | None, boosting: dict | None, seed: int):
+    rf = RandomForestRegressor(featuresCol="_f", labelCol="y", predictionCol="p_forest", seed=seed, **({"maxDepth": 4, "numTrees": 150} | (forest or {})))
+    gb = GBTRegressor(featuresCol="_f", labelCol="y", predictionCol="p_boost", seed=seed, **({"maxDepth": 2, "maxIter": 200, "stepSize": 0.05} | (boosting or {})))
+    return rf, gb
+
+
+BASES = ["p_ridge", "p_lasso", "p_forest", "p_boost"]
+
+
+def stacked_with_trees(features: DataFrame, x: Sequence[str] = FEATURES, window: int = 252, k: int = 5, ridge_alpha: float = 5.0, lasso_alpha: float = 0.0005, meta_alpha: float = 1.0, bound: float = 0.004, least: float = 0.0005, forest: dict | None = None, boosting: dict | None = None, seed: int = 0, s: Series = S) -> DataFrame:
+    """(key, mu, raw, n, the four base forecasts): a forecast for the last row of each series.
+
+    A meta-ridge by series on the out-of-fold predictions of ridge, lasso, forest and boosted trees blends their forecasts after a refit: the linear ones on the series' own rows,
+    the trees on the pooled panel.
+    """
+    linear_ = out_of_fold(features, x, window, k, ridge_alpha, lasso_alpha, s)
+    both = linear_.join(tree_out_of_fold(features, x, k, window, forest, boosting, seed, s).drop("y", "fold"), [s.key, s.order])
+    d, m = len(x), len(BASES)
+    cross = [F.covar_pop(a, b) for i, a in enumerate(BASES) for b in BASES[i:]]
+    metas = both.groupBy(s.key).agg(F.count("*").alias("_n"), F.array(*[F.avg(b) for b in BASES]).alias("_pm"), F.avg("y").alias("_ym"), F.array(*cross).alias("_pc"), F.array(*[F.covar_pop(b, "y") for b in BASES]).alias("_py"))
+    rows = complete(features.withColumn("_y", forward("ret", 1, s)), x)
+    known = rows.filter(F.col("_y").isNotNull())
+    assembled = _assembled(rows, x, s)
+    train = assembled.transform(known).select("_f", F.col("_y").alias("y")).persist()
+    rf, gb = _trees(forest, boosting, seed)
+    now = rows.withColumn("_r", F.row_number().over(Window.partitionBy(s.key).orderBy(F.desc(s.order)))).filter(F.col("_r") == 1)
+    now = gb.fit(train).transform(rf.fit(train).transform(assembled.transform(now))).select(s.key, F.array(*[F.col(c).cast("double") for c in x]).alias("_x"), "p_forest", "p_boost")
+    train.unpersist()
+    centre = known.groupBy(s.key).agg(*[F.avg(c).alias(f"_a{j}") for j, c in enumerate(x)])
+    shifted = known.join(centre, s.key).withColumns({f"_z{j}": F.col(c) - F.col(f"_a{j}") for j, c in enumerate(x)})
+    sums = shifted.groupBy(s.key).agg(F.array(*[F.sum(v) for v in _sums(x)]).alias("_s"), F.array(*[F.first(f"_a{j}") for j in range(d)]).alias("_a"))
+    kinds = dict(features.dtypes)
+
+    def blend(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            at, trees = _array(f["_x"]) - _array(f["_a"]), f[["p_forest", "p_boost"]].to_numpy(float)
+            a, w = linear_models(_moments(_array(f["_s"]), d), ridge_alpha, lasso_alpha)
+            base = np.column_stack([a + (w * at[:, None, :]).sum(-1), trees])
+            n = f["_n"].to_numpy(float)
+            meta = np.linalg.solve(n[:, None, None] * square(_array(f["_pc"]), m) + meta_alpha * np.eye(m), (n[:, None] * _array(f["_py"]))[..., None])[..., 0]
+            raw = f["_ym"].to_numpy(float) + (meta * (base - _array(f["_pm"]))).sum(1)
+            yield pd.DataFrame({s.key: f[s.key], "raw": raw, "n": f["_n"], **{b: base[:, j] for j, b in enumerate(BASES)}})
+
+    out = metas.join(now, s.key).join(sums, s.key).mapInPandas(blend, f"{s.key} {kinds[s.key]}, raw double, n long, " + ", ".join(f"{b} double" for b in BASES))
+    return out.withColumn("mu", dead_zone(F.col("raw"), bound, least))
+
+
 Model = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 

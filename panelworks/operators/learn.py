@@ -5,53 +5,66 @@ Rows stay on Spark; each step is one aggregation, and only vectors of as many nu
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.functions.scalar import linear, sigmoid
 from panelworks.operators.linear import gram, square
-from panelworks.operators.stats import log_loss
+from panelworks.operators.stats import batch_of, log_loss
+from panelworks.sources.shared import checkpointed
+
+
+def gram_of_vectors(df: DataFrame, x: str = "x") -> DataFrame:
+    """(i, j, v), counted from 1: sums of the products of the components of a column of equally long vectors. Each task sends one matrix."""
+
+    def run(batches):
+        total = None
+        for b in batches:
+            a = _matrix(b.column(0))
+            total = a.T @ a if total is None else total + a.T @ a
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(i.reshape(-1) + 1), pa.array(j.reshape(-1) + 1), pa.array(total.reshape(-1))], ["i", "j", "v"])
+
+    rows = df.filter(F.size(x) > 0).select(F.col(x).cast("array<double>").alias("x")).mapInArrow(run, "i long, j long, v double")
+    return rows.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def power_iteration(a: DataFrame, max_iter: int = 5000, tol: float = 1e-10) -> tuple[float, DataFrame]:
     """Dominant eigenvalue and (i, x) of a square matrix in long form (i, j, v).
 
     A step is a join and a sum by row, so the matrix may be sparse and of any size; each step's vector is checkpointed, so that plans
-    stay short and a lost executor costs little. Stops when ||A x - lambda x|| is below ``tol``. Starts from equal components.
+    stay short and a lost executor costs little. Stops when ||A x - lambda x|| is below ``tol`` times lambda (or 1). Starts from equal components.
     """
     a = a.select("i", "j", "v").repartition("j").persist()
     n = a.agg(F.countDistinct("i")).first()[0]
-    x = a.select(F.col("i").alias("j")).distinct().withColumn("x", F.lit(1.0 / n**0.5))
+    x = a.select(F.col("i").alias("j")).distinct().withColumn("x", F.lit(1.0 / max(n, 1) ** 0.5))
     lam = 0.0
     for _ in range(max_iter):
         y = a.join(x, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
-        both = _checkpointed(x.join(y, x["j"] == y["i"], "left").select("j", "x", F.coalesce("y", F.lit(0.0)).alias("y")))
+        both = checkpointed(x.join(y, x["j"] == y["i"], "left").select("j", "x", F.coalesce("y", F.lit(0.0)).alias("y")))
         m = both.agg(F.sum(F.col("x") * F.col("y")).alias("lam"), F.sum(F.col("y") * F.col("y")).alias("yy")).first()
-        lam, size = m["lam"], (m["yy"] or 0.0) ** 0.5
+        lam, size = m["lam"] or 0.0, (m["yy"] or 0.0) ** 0.5
         if size == 0:
             break
-        # ||A x - lam x||^2 = y.y - lam^2 for a unit x.
-        done = max(m["yy"] - lam * lam, 0.0) ** 0.5 < tol
+        # Summed from the residuals themselves: the difference of y.y and lam^2 would lose them.
+        off = both.agg(F.sum((F.col("y") - lam * F.col("x")) ** 2)).first()[0] ** 0.5
         x = both.select("j", (F.col("y") / size).alias("x"))
-        if done:
+        if off < tol * max(1.0, abs(lam)):
             break
     a.unpersist()
     return lam, x.select(F.col("j").alias("i"), "x")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        # The cluster's folder; on one machine, where the setting is absent, a temporary one.
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def _margin(x: Sequence[str], w: np.ndarray) -> Column:
     return linear(x, [float(b) for b in w[1:]], float(w[0]))
 
@@ -127,7 +140,7 @@ def train_minibatch(df: DataFrame, x: Sequence[str], y: str, row_id: str, optimi
     state, t, losses = optimizer.start(len(w)), 0, []
     batches = max(1, -(-n // batch_size))
     for epoch in range(1, epochs + 1):
-        dealt = df.withColumn("batch", F.pmod(F.xxhash64(F.col(row_id), F.lit(epoch)), F.lit(batches))).repartition("batch").persist()
+        dealt = df.withColumn("batch", batch_of(row_id, epoch, batches)).repartition("batch").persist()
         for b in range(batches):
             g, _, rows = _gradient(dealt.filter(F.col("batch") == b), x, y, w, l2)
             if rows:
@@ -154,44 +167,65 @@ def assign(df: DataFrame, centres: np.ndarray, x: str = "x") -> DataFrame:
     return df.withColumn("_near", F.array_min(all_)).withColumns({"label": F.col("_near.label"), "d2": F.col("_near.d2")}).drop("_near")
 
 
-def update(assigned: DataFrame, centres: np.ndarray, x: str = "x", row_id: str = "row_id", seed: int = 0) -> np.ndarray:
-    """Means of the assigned rows; a centre without rows takes a row chosen by a hash."""
-    d = centres.shape[1]
-    rows = assigned.groupBy("label").agg(F.array(*[F.avg(F.col(x)[j]) for j in range(d)]).alias("c")).collect()  # one row for each centre
-    new = centres.copy()
-    seen = set()
+def lloyd_sums(df: DataFrame, centres: np.ndarray, x: str = "x") -> list:
+    """One row for each centre that has rows: label, n, sums (of the components), squares (of the norms), cost (squared distances). One pass; each task sends a row for each centre."""
+    own = (centres * centres).sum(1)
+
+    def run(batches):
+        k, d = centres.shape
+        n, sums, squares, cost = np.zeros(k, np.int64), np.zeros((k, d)), np.zeros(k), np.zeros(k)
+        for b in batches:
+            a = _matrix(b.column(0))
+            norm = (a * a).sum(1)
+            d2 = norm[:, None] - 2 * (a @ centres.T) + own
+            label = d2.argmin(1)
+            n += np.bincount(label, minlength=k)
+            sums += (label[None, :] == np.arange(k)[:, None]).astype(float) @ a
+            squares += np.bincount(label, norm, k)
+            cost += np.bincount(label, np.maximum(d2[np.arange(len(a)), label], 0), k)
+        yield pa.RecordBatch.from_pydict({"label": np.arange(k, dtype=np.int32), "n": n, "sums": list(sums), "squares": squares, "cost": cost})
+
+    rows = df.select(x).mapInArrow(run, "label int, n long, sums array<double>, squares double, cost double")
+    total = lambda c: F.sum(c).alias(c)
+    return rows.groupBy("label").agg(total("n"), F.array(*[F.sum(F.col("sums")[j]) for j in range(centres.shape[1])]).alias("sums"), total("squares"), total("cost")).filter("n > 0").collect()
+
+
+def update(rows: list, centres: np.ndarray, df: DataFrame, x: str = "x", row_id: str = "row_id", seed: int = 0) -> np.ndarray:
+    """Means by label of ``lloyd_sums``; a centre without rows takes a row of ``df`` chosen by a hash."""
+    new, seen = centres.copy(), set()
     for r in rows:
-        new[r["label"]] = r["c"]
+        new[r["label"]] = np.array(r["sums"]) / r["n"]
         seen.add(r["label"])
     empty = [k for k in range(len(centres)) if k not in seen]
     if empty:
-        for k, r in zip(empty, assigned.orderBy(F.xxhash64(row_id, F.lit(seed))).limit(len(empty)).select(x).collect(), strict=False):
+        for k, r in zip(empty, df.orderBy(F.xxhash64(row_id, F.lit(seed))).limit(len(empty)).select(x).collect(), strict=False):
             new[k] = r[0]
     return new
 
 
-def inertia(assigned: DataFrame) -> float:
-    return assigned.agg(F.sum("d2")).first()[0] or 0.0
+def inertia(rows: list) -> float:
+    """About the centres that ``lloyd_sums`` was given."""
+    return float(sum(r["cost"] for r in rows))
 
 
 def kmeans(df: DataFrame, centres: np.ndarray, x: str = "x", row_id: str = "row_id", max_iter: int = 200, tol: float = 1e-6) -> tuple[np.ndarray, float, int]:
     """Lloyd's iterations from given centres: (centres, inertia, steps). Stops when both inertia and centres stand still.
 
-    The inertia about new centres comes from moments: sum of squares of a label's rows less n times the square of their mean.
+    A step is one pass. The inertia about new centres comes from its moments: sum of squares of a label's rows less n times the square of their mean.
     """
-    df = df.select(row_id, F.transform(x, lambda v: v.cast("double")).alias(x)).persist()
+    df = df.filter(F.size(x) > 0).select(row_id, F.transform(x, lambda v: v.cast("double")).alias(x)).persist()
     centres, last = np.array(centres, float), float("inf")
     step = 0
     for step in range(1, max_iter + 1):
-        near = assign(df, centres, x)
-        new = update(near, centres, x, row_id, step)
-        now = near.select(F.sum(F.element_at(F.array(*[distance2(F.col(x), c) for c in new]), F.col("label") + 1)).alias("s")).first()["s"]
+        rows = lloyd_sums(df, centres, x)
+        new = update(rows, centres, df, x, row_id, step)
+        now = float(sum(r["squares"] - r["n"] * (new[r["label"]] ** 2).sum() for r in rows))
         shift = float(np.linalg.norm(new - centres))
         centres = new
         if abs(last - now) < tol and shift < tol**0.5:
             break
         last = now
-    out = inertia(assign(df, centres, x))
+    out = inertia(lloyd_sums(df, centres, x))
     df.unpersist()
     return centres, out, step
 

@@ -174,10 +174,16 @@ def expanding_folds(df: DataFrame, k: int, s: Series = S) -> DataFrame:
     return rows.withColumn("fold", F.when((F.col("i") >= first) & (test > 0), F.floor((F.col("i") - first) / test)).cast("int"))
 
 
+def batch_of(row_id: str, epoch: int, batches: int) -> Column:
+    """Number of a row's batch: a hash of id and epoch that other engines have too."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(epoch)))), 1, 8), 16, 10).cast("long")
+    return F.pmod(h, F.lit(batches)).cast("int")
+
+
 def mini_batches(df: DataFrame, row_id: str, size: int, epoch: int, n: int | None = None) -> DataFrame:
     """``batch``: rows dealt by a hash of id and epoch into batches of about ``size``."""
     n = df.count() if n is None else n
-    return df.withColumn("batch", F.pmod(F.xxhash64(F.col(row_id), F.lit(epoch)), F.lit(max(1, -(-n // size)))).cast("int"))
+    return df.withColumn("batch", batch_of(row_id, epoch, max(1, -(-n // size))))
 
 
 def eligible(df: DataFrame, warm_up: int = 252, least: int = 60, value: str = "ret", s: Series = S) -> DataFrame:

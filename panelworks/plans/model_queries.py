@@ -90,47 +90,52 @@ def m5_lasso(spark, d):
 
 # -- iterative ----------------------------------------------------------------------------------
 
-MATRIX_SQL = "e as (select vec_id, generate_subscripts(embedding, 1) as k, unnest(embedding)::double as v from embeddings), mat as (select a.k as i, b.k as j, sum(a.v * b.v) as v from e a join e b using (vec_id) group by 1, 2)"
+#: Prices in thousands, so that no column is all of the matrix.
+SCALED = ["x1 / 10", "x2 * 10", "x3 * 10", "x4 / 1000", "x5 / 10"]
+MATRIX_SQL = "g as (select unnest([" + ", ".join(f"{{'i': {i + 1}, 'j': {j + 1}, 'v': {a} * {b}}}" for i, a in enumerate(SCALED) for j, b in enumerate(SCALED)) + "]) as c from reg), mat as (select c.i as i, c.j as j, avg(c.v) as v from g group by 1, 2)"
 
 
 def matrix(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v")).select("vec_id", (F.col("k") + 1).cast("long").alias("k"), F.col("v").cast("double").alias("v"))
-    b = e.select("vec_id", F.col("k").alias("j"), F.col("v").alias("w"))
-    return e.withColumnRenamed("k", "i").join(b, "vec_id").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    """Means of the products of the regression table's columns: i, j, v."""
+    rows = regression(spark, d).select(F.array(*[F.expr(x).cast("double") for x in SCALED]).alias("x"))
+    return learn.gram_of_vectors(rows).withColumn("v", F.col("v") / rows.count())
 
 
-STEPS = 8
+#: Steps after which the iterations written in SQL stand still; Spark's stop by their own rules before.
+STEPS = 400
 
 
 @query(
-    "with "
+    REG.replace("with ", "with recursive ", 1)
+    + ", "
     + MATRIX_SQL
-    + ", x0 as (select distinct i, 1 / sqrt((select count(distinct i) from mat)) as x from mat)"
-    + "".join(f", y{k} as (select m.i, sum(v * x) y from mat m join x{k - 1} x on m.j = x.i group by 1), x{k} as (select i, y / (select sqrt(sum(y * y)) from y{k}) x from y{k})" for k in range(1, STEPS + 1))
-    + f" select x{STEPS}.i::bigint i, round(x, 6) + 0.0 as x, round((select sum(x * y) from x{STEPS - 1} join y{STEPS} using (i)), 6) + 0.0 as lam from x{STEPS}"
+    + f""", p as (select 0 it, i::bigint i, 1 / sqrt(count(*) over ()) as x, 0.0::double lam from (select distinct i from mat)
+  union all select it + 1, i, y / sqrt(sum(y * y) over ()), sqrt(sum(y * y) over ()) from (select max(it) it, m.i::bigint i, sum(v * x) y from mat m join p on m.j = p.i where it < {STEPS} group by m.i))
+select i, round(x, 6) + 0.0 as x, round(lam, 6) + 0.0 as lam from p where it = {STEPS}"""
 )
 def m1_power_iteration(spark, d):
-    lam, x = learn.power_iteration(matrix(spark, d), STEPS, 0.0)
+    """To the operator's own tolerance. The matrix has positive diagonal and leading value, so x.A x and ||A x|| agree where it stops."""
+    lam, x = learn.power_iteration(matrix(spark, d))
     return x.select("i", r(F.col("x"), 6).alias("x"), r(F.lit(float(lam)), 6).alias("lam"))
 
 
-GD = 5
-
-
 def _gd_sql() -> str:
     p = "1 / (1 + exp(-(w0 + w1 * x1 + w2 * x2)))"
-    text = "with " + CLASS_SQL + ", s0 as (select 0.0::double w0, 0.0::double w1, 0.0::double w2)"
-    for k in range(1, GD + 1):
-        text += f", t{k} as (select avg({p} - y) g0, avg(({p} - y) * x1) + min(w1) / count(*) g1, avg(({p} - y) * x2) + min(w2) / count(*) g2, -avg(y * ln({p}) + (1 - y) * ln(1 - {p})) loss from cls, s{k - 1})"
-        text += f", s{k} as (select w0 - 0.5 * g0 w0, w1 - 0.5 * g1 w1, w2 - 0.5 * g2 w2, t{k}.loss as loss from s{k - 1}, t{k})"
-    return text
+    return (
+        "with recursive "
+        + CLASS_SQL
+        + f""", s as (select 0 it, 0.0::double w0, 0.0::double w1, 0.0::double w2, null::double as loss, null::double as prior
+  union all select it + 1, w0 - 0.5 * g0, w1 - 0.5 * g1, w2 - 0.5 * g2, now, loss from (
+    select it, w0, w1, w2, loss, avg({p} - y) g0, avg(({p} - y) * x1) + w1 / count(*) g1, avg(({p} - y) * x2) + w2 / count(*) g2, -avg(y * ln({p}) + (1 - y) * ln(1 - {p})) now
+    from cls, s where it < 5000 and (prior is null or abs(prior - loss) >= 1e-7) group by it, w0, w1, w2, loss))"""
+    )
 
 
-@query(_gd_sql() + f" select round(w0, 8) + 0.0 as w0, round(w1, 8) + 0.0 as w1, round(w2, 8) + 0.0 as w2, round(loss, 8) + 0.0 as loss from s{GD}")
+@query(_gd_sql() + " select round(w0, 8) + 0.0 as w0, round(w1, 8) + 0.0 as w1, round(w2, 8) + 0.0 as w2, round(loss, 8) + 0.0 as loss, it::bigint as steps from s order by it desc limit 1")
 def m6_logistic_gd(spark, d):
     rows = classification(spark, d)
-    w, loss = learn.logistic_gd(rows, ["x1", "x2"], "y", lr=0.5, max_iter=GD, tol=0.0, l2=1.0)
-    return rows.limit(1).select(*[r(F.lit(float(x)), 8).alias(f"w{j}") for j, x in enumerate(w)], r(F.lit(float(loss[-1])), 8).alias("loss"))
+    w, loss = learn.logistic_gd(rows, ["x1", "x2"], "y", lr=0.5, l2=1.0)
+    return rows.limit(1).select(*[r(F.lit(float(x)), 8).alias(f"w{j}") for j, x in enumerate(w)], r(F.lit(float(loss[-1])), 8).alias("loss"), F.lit(len(loss)).cast("long").alias("steps"))
 
 
 @query("with " + CLASS_SQL + ", p as (select case when o.row_id % 10 < 7 then 'train' else 'test' end as split, y, 1 / (1 + exp(-(0.1 + 0.3 * x1 - 0.2 * x2))) p from cls o) select split, count(*)::bigint n, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 8) + 0.0 as loss, round(avg(cast(cast(p >= 0.5 as int) = y as double)), 8) + 0.0 as accuracy from p group by split")
@@ -139,12 +144,16 @@ def m7_evaluate(spark, d):
     return out(learn.evaluate(rows, ["x1", "x2"], "y", np.array([0.1, 0.3, -0.2])), keep=("split", "n"))
 
 
+#: Each batch of 64 rows is a job of its own, so the query runs this many epochs; the operator takes any number.
+EPOCHS = 2
+
+
 @query()
 def m8_optimizers(spark, d):
     rows = classification(spark, d)
     parts = None
     for name, opt in (("sgd", learn.sgd(0.2)), ("momentum", learn.momentum(0.15)), ("adam", learn.adam(0.05))):
-        w, loss = learn.train_minibatch(rows, ["x1", "x2"], "y", "row_id", opt, batch_size=max(64, rows.count() // 6), epochs=1)
+        w, loss = learn.train_minibatch(rows, ["x1", "x2"], "y", "row_id", opt, batch_size=64, epochs=EPOCHS)
         one = rows.limit(1).select(F.lit(name).alias("optimizer"), *[F.lit(float(x)).alias(f"w{j}") for j, x in enumerate(w)], F.lit(loss[-1]).alias("loss"))
         parts = one if parts is None else parts.unionByName(one)
     return parts
@@ -172,9 +181,19 @@ def m9_assign(spark, d):
     return learn.assign(points(spark, d).drop("label"), first_centres(spark, d)).select("row_id", "label", r(F.col("d2"), 6).alias("d2"))
 
 
-@query(_kmeans_sql(3) + " select label::bigint as label, count(*)::bigint n, round(sum(d2), 5) + 0.0 as d2 from a3 group by label")
+#: Lloyd's steps written in SQL, more than it takes to stand still.
+LLOYD = 60
+
+
+@query(
+    _kmeans_sql(-1).replace("with e as", "with recursive e as", 1)
+    + f""", lo as (select 0 it, label, k, v from c0
+  union all select a.it + 1, a.label, e.k, avg(e.v) from (select it, row_id, arg_min(label, d2) as label from (select it, row_id, c.label, sum((e.v - c.v) * (e.v - c.v)) d2 from e join lo c using (k) where it < {LLOYD} group by 1, 2, 3) group by 1, 2) a join e using (row_id) group by 1, 2, 3),
+d as (select row_id, c.label, sum((e.v - c.v) * (e.v - c.v)) d2 from e join (select * from lo where it = {LLOYD}) c using (k) group by 1, 2), b as (select row_id, arg_min(label, d2) label, min(d2) d2 from d group by 1)
+select label::bigint as label, count(*)::bigint n, round(sum(d2), 5) + 0.0 as d2 from b group by label"""
+)
 def m10_kmeans(spark, d):
-    centres, _, _ = learn.kmeans(points(spark, d).drop("label"), first_centres(spark, d), max_iter=3, tol=0.0)
+    centres, _, _ = learn.kmeans(points(spark, d).drop("label"), first_centres(spark, d))
     return learn.assign(points(spark, d).drop("label"), centres).groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"), r(F.sum("d2"), 5).alias("d2"))
 
 
@@ -234,12 +253,22 @@ def f2_out_of_fold(spark, d):
 
 @query()
 def f3_stacked(spark, d):
-    return out(alpha.stacked(W.features(panel(spark, d))).select("asset", "dt", "raw", "mu", "meta_ridge", "meta_lasso"), 8)
+    return out(alpha.stacked(W.features(panel(spark, d)), min_train=120).select("asset", "dt", "raw", "mu", "meta_ridge", "meta_lasso"), 8)
+
+
+#: Rounds of boosting in the queries; each is a few Spark jobs. The operator's default is 200.
+ROUNDS = 20
 
 
 @query()
 def f4_trees(spark, d):
-    return out(alpha.tree_out_of_fold(W.features(panel(spark, d)), k=2, forest={"numTrees": 10}, boosting={"maxIter": 5}), 8, ("asset", "fold"))
+    return out(alpha.tree_out_of_fold(W.features(panel(spark, d)), boosting={"maxIter": ROUNDS}), 8, ("asset", "fold"))
+
+
+@query()
+def f4_stack_with_trees(spark, d):
+    """Each asset's forecast for its last row: ridge, lasso, forest and boosted trees, blended by a ridge on their out-of-fold predictions."""
+    return out(alpha.stacked_with_trees(W.features(panel(spark, d)), boosting={"maxIter": ROUNDS}), 8, ("asset",))
 
 
 def _mean_model(x, y, new):
@@ -253,11 +282,13 @@ def _slope_model(x, y, new):
 
 @query(
     FEAT
-    + """, fy as (select *, lead(ret) over (partition by asset order by dt) y from feat), m as (select asset, dt, count(y) over v n, avg(y) over v mu from fy window v as (partition by asset order by dt rows between 252 preceding and 1 preceding))
-select asset, cast(dt as varchar) dt, 'mean' as model, round(case when n >= 60 then mu else 0 end, 8) + 0.0 as mu from m where isodow(dt) = 5"""
+    + """, fy as (select *, lead(ret) over (partition by asset order by dt) y from feat), m as (select asset, dt, momentum, count(y) over v n, avg(y) over v mu, regr_slope(y, momentum) over v b, regr_intercept(y, momentum) over v a from fy window v as (partition by asset order by dt rows between 252 preceding and 1 preceding)),
+f as (select * from m where isodow(dt) = 5)
+select asset, cast(dt as varchar) dt, 'mean' as model, round(case when n >= 60 then mu else 0 end, 8) + 0.0 as mu from f
+union all select asset, cast(dt as varchar) dt, 'slope', round(case when n >= 60 then a + b * momentum else 0 end, 8) + 0.0 from f"""
 )
 def f5_custom_models(spark, d):
-    return out(alpha.custom_models(W.features(panel(spark, d)), {"mean": _mean_model}), 8, ("asset", "model"))
+    return out(alpha.custom_models(W.features(panel(spark, d)), {"mean": _mean_model, "slope": _slope_model}), 8, ("asset", "model"))
 
 
 @query()
@@ -364,18 +395,38 @@ def o4_vol_target(spark, d):
     return out(weights.vol_target(weights.beta_neutral(w).select("asset", "dt", "w"), cov).select("asset", "dt", "w"), 6)
 
 
+#: Books of one job, by the cap on the sum of their weights' sizes; each book is a task of its own.
+CAPS = {"g050": 0.5, "g100": 1.0, "g150": 1.5, "g200": 2.0}
+
+
+def many_books(mu, cov):
+    """(book_id, asset, dt, w): mean-variance weights of each cap."""
+    parts = [weights.mean_variance(mu.select("asset", "dt", "mu"), cov, g, 0.3).withColumn("book_id", F.lit(name)) for name, g in CAPS.items()]
+    books = parts[0]
+    for p in parts[1:]:
+        books = books.unionByName(p)
+    return books
+
+
+def with_history(books, cov, panel_):
+    """``books`` with returns and the volatility that the covariance gives each book and date."""
+    vol = None
+    for name in CAPS:
+        one = weights.portfolio_variance(books.filter(F.col("book_id") == name), cov).select(F.lit(name).alias("book_id"), "dt", (F.sqrt(F.greatest("var", F.lit(0.0))) * 252**0.5).alias("sigma_vol"))
+        vol = one if vol is None else vol.unionByName(one)
+    return books.select("book_id", "asset", "dt", "w").join(vol, ["book_id", "dt"]).join(panel_.select("asset", "dt", "ret"), ["asset", "dt"])
+
+
 @query()
 def o5_history_vol_target(spark, d):
-    w, cov = mv(spark, d)
-    vol = weights.portfolio_variance(w, cov).select("dt", (F.sqrt(F.greatest("var", F.lit(0.0))) * 252**0.5).alias("sigma_vol"))
-    rows = w.select("asset", "dt", "w").join(vol, "dt").join(panel(spark, d).select("asset", "dt", "ret"), ["asset", "dt"]).withColumn("book_id", F.lit("hist"))
-    return out(weights.history_vol_target(rows), 6, ("book_id", "asset"))
+    mu, cov = full_fridays(spark, d)
+    return out(weights.history_vol_target(with_history(many_books(mu, cov), cov, panel(spark, d))), 6, ("book_id", "asset"))
 
 
 @query()
 def o6_blend(spark, d):
-    w, cov = mv(spark, d)
-    return out(weights.blended(w.withColumn("book_id", F.lit("blend")), cov), 6, ("book_id", "asset"))
+    mu, cov = full_fridays(spark, d)
+    return out(weights.blended(many_books(mu, cov).join(mu.select("asset", "dt", "beta"), ["asset", "dt"]), cov), 6, ("book_id", "asset"))
 
 
 def weekly(spark, d):
@@ -445,6 +496,16 @@ def n5_weekly_backtest(spark, d):
     return out(A.performance(net.unionByName(hold), ["strategy"]), 6, ("strategy",))
 
 
+@query()
+def n5_multi_asset(spark, d):
+    """Mean-variance books of several caps on daily ridge forecasts and sample covariances, scaled by their own past volatility, after costs."""
+    f = W.features(panel(spark, d))
+    mu, cov = full_dates(alpha.walk_forward_ridge(f).select("asset", "dt", F.col("yhat").alias("mu")), risk.sample_cov(panel(spark, d)))
+    w = weights.history_vol_target(with_history(many_books(mu, cov), cov, f))
+    net = backtest.portfolio_pnl(w, f).select(F.col("book_id").alias("strategy"), "dt", F.col("net").alias("ret"))
+    return out(A.performance(net, ["strategy"]), 6, ("strategy",))
+
+
 # -- B, K, L: books -----------------------------------------------------------------------------
 
 TRADES = DAILY.replace("select asset, dt, ret, coalesce(last_value", "select asset, dt, price, ret, coalesce(last_value") + ", tr as (select asset, dt, (w - p) * 1000 qty, price * (1 + sign(w - p) * 0.0001) fill_px, 0.5 fee from pw where w <> p)"
@@ -477,7 +538,9 @@ def b2_equity(spark, d):
 
 @query()
 def b3_replay(spark, d):
-    return out(book.replay(daily_book(spark, d), fed_prices(spark, d)), 6, ("book_id", "asset"))
+    rows = daily_book(spark, d)
+    books = rows.select(F.explode(F.array(*[F.struct(F.concat("book_id", F.lit(f"_{k}")).alias("book_id"), (F.col("w") * F.lit(k / 4)).alias("w")) for k in (1, 2, 4)])).alias("b"), "asset", "dt").select("b.book_id", "asset", "dt", "b.w")
+    return out(book.replay(books, fed_prices(spark, d)), 6, ("book_id", "asset"))
 
 
 @query(DAILY + ", ch as (select dt, abs(w - lag(w) over (partition by asset order by dt)) x from dw) select 'friday' book_id, cast(dt as varchar) dt, round(coalesce(sum(x), 0), 8) + 0.0 as turnover from ch group by dt")
@@ -537,3 +600,23 @@ select asset, round(delta, 6) + 0.0 as delta, side, notional + 0.0 as notional,
 def l2_order_list(spark, d):
     return out(book.order_list(live(spark, d), 500.0), 6)
 
+
+
+@query()
+def l3_live_run(spark, d):
+    """The live job as one plan: features of price levels, today's stacked forecast, covariance, long-only weights, gates, orders; written to the day's log once."""
+    from panelworks.sources import tables
+    from panelworks.sources.shared import new_folder
+
+    p = panel(spark, d)
+    mu = alpha.forecast_today(W.features(p, W.LEVEL)).withColumn("dt", F.lit(p.agg(F.max("dt")).first()[0]))
+    day = mu.select("dt").limit(1)
+    last = risk.ewma_cov(p, only_rebalance=False).groupBy("asset_a", "asset_b").agg(F.max_by("cov", "dt").alias("cov"))
+    w = weights.mean_variance_long(mu.select("asset", "dt", "mu"), last.crossJoin(F.broadcast(day)))  # one row of one date
+    held = live(spark, d).drop("w").join(w.select("asset", "dt", "w"), "asset")
+    gate = book.gates(held.select(F.lit("live").alias("book_id"), "asset", (F.col("w") * 500).alias("target"), "current", "vol"), 500.0)
+    orders = book.order_list(held, 500.0).join(w.select("asset", "dt"), "asset").withColumn("book_id", F.lit("live"))
+    path = new_folder(spark)
+    for _ in range(2):  # the second run of a day adds nothing
+        tables.append_once(orders.join(gate.select("book_id", "go"), "book_id"), path)
+    return out(spark.read.parquet(path), 6, ("book_id", "asset", "go"))

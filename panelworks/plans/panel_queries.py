@@ -371,7 +371,7 @@ def d3_expanding_folds(spark, d):
     return A.expanding_folds(event_series(spark, d), 5, W.Series("series_id", "t")).filter("fold is not null").select("series_id", F.col("t").cast("long").alias("t"), "fold")
 
 
-@query()
+@query("with " + CLASS_SQL + ", b as (select cast('0x' || substr(md5(row_id::varchar || ':1'), 1, 8) as bigint) % (select ceil(count(*) / 64)::bigint from cls) as batch from cls) select batch::int as batch, count(*)::bigint as n from b group by 1")
 def d4_mini_batches(spark, d):
     return A.mini_batches(classification(spark, d), "row_id", 64, 1).groupBy("batch").agg(F.count("*").alias("n"))
 
@@ -401,7 +401,24 @@ def x2_ljung_box(spark, d):
     return out(ljung_box(event_series(spark, d)).drop("p_value"), keep=("series_id", "lag"))
 
 
-@query()
+def _chi2_sql(lags: int) -> str:
+    """Upper tails of 1 to ``lags`` degrees of freedom of ``q``, by the same published fit of the error function."""
+    h, c = "(q / 2)", [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+    t, poly = f"(1 / (1 + sqrt({h}) / 2))", str(c[-1])
+    for a in reversed(c[:-1]):
+        poly = f"({poly} * {t} + ({a}))"
+    odd, even = f"{t} * exp(-{h} + {poly})", "0"
+    text, term_o, term_e = "", f"exp(-{h}) * sqrt({h}) / 0.8862269254527580", f"exp(-{h})"
+    for k in range(1, lags + 1):
+        if k % 2 == 0:
+            even, term_e = f"{even} + {term_e}", f"{term_e} * {h} / {k // 2}"
+        text += f" when lag = {k} then {even if k % 2 == 0 else odd}"
+        if k % 2:
+            odd, term_o = f"{odd} + {term_o}", f"{term_o} * {h} / {k // 2 + 1.5}"
+    return f"case{text} end"
+
+
+@query(_acf_sql(10) + ", lb as (select series_id, lag, n * (n + 2) * sum(acf * acf / (n - lag)) over (partition by series_id order by lag) as q from acf) select series_id, lag, round(q, 6) + 0.0 as q, round(" + _chi2_sql(10) + ", 6) + 0.0 as p_value from lb")
 def x2_ljung_box_p(spark, d):
     from panelworks.operators.series import ljung_box
 

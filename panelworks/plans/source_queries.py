@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from panelworks.functions import panel as W
@@ -14,15 +11,10 @@ from panelworks.plans.panel_queries import FEAT, PAN, out
 from panelworks.plans.registry import query
 from panelworks.sources import tables
 from panelworks.sources.fixtures import panel, prices, table
+from panelworks.sources.shared import new_folder as folder
 from panelworks.streaming import bars
 
 
-def folder(spark) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def put_bars(spark, d) -> str:
     path = folder(spark)
     prices(spark, d).withColumnRenamed("price", "close").write.parquet(path)
@@ -36,7 +28,10 @@ def s1_read_bars(spark, d):
 
 @query(FEAT + " select asset, cast(dt as varchar) dt, round(momentum, 8) + 0.0 as momentum from feat")
 def s2_load_or_build(spark, d):
-    return out(tables.load_or_build_features(spark, folder(spark), panel(spark, d)).select("asset", "dt", "momentum"))
+    """Built where nothing is stored, stored, and loaded; what comes back is what was loaded."""
+    path, rows = folder(spark), panel(spark, d)
+    tables.write_features(tables.load_or_build_features(spark, path, rows), path)
+    return out(tables.load_or_build_features(spark, path, rows.limit(0)).select("asset", "dt", "momentum"))
 
 
 @query(FEAT + " select asset, cast(dt as varchar) dt, round(volatility, 8) + 0.0 as volatility from feat")
@@ -46,22 +41,37 @@ def s4_write_features(spark, d):
     return out(spark.read.parquet(path).select("asset", "dt", "volatility"))
 
 
-@query(M.POS + " select 'friday' book_id, cast(dt as varchar) dt, round(equity, 4) + 0.0 as equity from eq")
+RISK_SQL = (
+    M.POS
+    + """, rr as (select dt, coalesce(equity / lag(equity) over (order by dt) - 1, 0) ret from eq), ps as (select dt, sum(shares * price * coalesce(ret, 0)) pnl, sum(shares * price) exposure, sum(shares * price * coalesce(ret, 0)) filter (asset = 'SMALL') small from gd group by dt)
+select 'friday' book_id, cast(eq.dt as varchar) dt, round(equity, 4) + 0.0 as equity, round(rr.ret, 6) + 0.0 as ret, round(pnl, 4) + 0.0 as pnl, round(exposure, 4) + 0.0 as exposure, round(coalesce(small, 0), 4) + 0.0 as small_pnl
+from eq join rr using (dt) join ps using (dt)"""
+)
+
+
+@query(RISK_SQL)
 def s5_risk_tables(spark, d):
+    """All four tables are written and read back: equity, the risk series' return, sums over the columns of profit and exposure, one asset's column."""
     path, rows = folder(spark), M.held(spark, d)
     e = book.equity(M.trades(spark, d), M.fed_prices(spark, d)).select("book_id", "dt", "equity")
     names = [r["asset"] for r in rows.select("asset").distinct().orderBy("asset").collect()]  # the universe
     tables.write_risk_tables(path, e, risk.risk_series(e, risk.turnover(M.daily_book(spark, d))), risk.attribution(rows), risk.exposures(rows), names)
-    return out(spark.read.parquet(f"{path}/equity"), 4, ("book_id",))
+    eq, ts, pnl, ex = (spark.read.parquet(f"{path}/{t}") for t in ("equity", "risk_timeseries", "pnl_by_asset", "exposures"))
+    total = lambda name: sum((F.col(f"`{a}`") for a in names), F.lit(0.0)).alias(name)
+    small = F.col("SMALL") if "SMALL" in names else F.lit(0.0)
+    rows = eq.join(ts.select("book_id", "dt", F.round("ret", 6).alias("ret")), ["book_id", "dt"]).join(pnl.select("book_id", "dt", total("pnl"), small.alias("small_pnl")), ["book_id", "dt"]).join(ex.select("book_id", "dt", total("exposure")), ["book_id", "dt"])
+    return out(rows, 4, ("book_id", "ret"))
 
 
 @query(M.TRADES + " select 'friday' book_id, asset, cast(dt as varchar) dt, round(qty, 6) + 0.0 as qty from tr")
 def s6_daily_logs(spark, d):
-    """Written twice: the second run changes nothing."""
-    path, rows = folder(spark), M.trades(spark, d)
+    """Written twice, as appended rows and as snapshots by day: the second run changes nothing. What comes back stands in both."""
+    path, rows = folder(spark), M.trades(spark, d).select("book_id", "asset", "dt", "qty")
     for _ in range(2):
-        tables.append_once(rows.select("book_id", "asset", "dt", "qty"), path)
-    return out(spark.read.parquet(path), 6, ("book_id", "asset"))
+        tables.append_once(rows, f"{path}/log")
+        tables.write_daily(rows, f"{path}/days")
+    days = spark.read.parquet(f"{path}/days")
+    return out(spark.read.parquet(f"{path}/log").join(days.select("book_id", "asset", F.col("dt").cast("date").alias("dt"), F.col("qty").alias("again")), ["book_id", "asset", "dt"], "full").filter("qty = again").drop("again"), 6, ("book_id", "asset"))
 
 
 EVENTS = """with b as (select event_type as asset, cast(ts as date) as dt, avg(value) as price from events group by 1, 2),
