@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.functions.panel import S, Series, change, prior
-from panelworks.functions.scalar import clip, is_rebalance_day, nonzero, reversion_position, smooth_position
+from panelworks.functions.scalar import clip, is_rebalance_day, reversion_position, smooth_position
 
 
 def asset_pnl(df: DataFrame, w: str = "w", ret: str = "ret", bps: float = 5.0, s: Series = S) -> DataFrame:
@@ -47,7 +47,3 @@ def forecast_pnl(forecasts: DataFrame, bps: float = 5.0) -> DataFrame:
     """(strategy, asset, dt, ret) of ``forecasts`` (asset, dt, ret, yhat), sized smoothly; a row without a forecast is flat."""
     rows = asset_pnl(forecasts.withColumn("w", F.coalesce(smooth_position(F.col("yhat")), F.lit(0.0))), bps=bps)
     return rows.select(F.lit("ridge").alias("strategy"), "asset", "dt", F.col("net").alias("ret"))
-
-
-def mean_or_null(x):
-    return F.sum(x) / nonzero(F.count(x).cast("double"))

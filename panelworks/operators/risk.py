@@ -32,12 +32,22 @@ def sample_cov(panel: DataFrame, n: int = 60, ridge: float = 1e-4, only_rebalanc
 
 
 def ewma_cov(panel: DataFrame, lam: float = 0.94, n: int = 252, ridge: float = 1e-6, only_rebalance: bool = True) -> DataFrame:
-    """(asset_a, asset_b, dt, cov): S <- lam S + (1 - lam) r r' over the ``n`` rows before, from 0, plus ``ridge`` on the diagonal."""
-    rows = return_pairs(panel).withColumn("h", F.collect_list(F.col("ra") * F.col("rb")).over(_before(n)))
+    """(asset_a, asset_b, dt, cov): S <- lam S + (1 - lam) r r' over the ``n`` rows before, from 0, plus ``ridge`` on the diagonal.
+
+    A pair's rows are cut into blocks of ``n``; the last ``n`` rows lie in two of them. Running sums within a block, weighted from its first row on, give both parts, so
+    a row costs the same whatever ``n`` is.
+    """
+    pair = Window.partitionBy("asset_a", "asset_b").orderBy("dt")
+    rows = return_pairs(panel).withColumn("_i", F.row_number().over(pair) - 1).withColumns({"_m": (F.col("_i") % n).cast("double"), "_b": F.floor(F.col("_i") / n)})
+    block = Window.partitionBy("asset_a", "asset_b", "_b").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_u", F.sum(F.col("ra") * F.col("rb") * F.pow(F.lit(lam), -F.col("_m"))).over(block))
+    whole = F.last(F.when(F.col("_m") == n - 1, F.col("_u")), ignorenulls=True).over(pair.rowsBetween(Window.unboundedPreceding, -1))
+    older = F.coalesce(whole, F.lit(0.0)) - F.coalesce(F.lag("_u", n).over(pair), F.lit(0.0))
+    rows = rows.withColumn("_s", (1 - lam) * (F.pow(F.lit(lam), F.col("_m")) * F.col("_u") + F.pow(F.lit(lam), F.col("_m") + n) * older))
+    rows = rows.withColumn("_s", F.coalesce(F.lag("_s").over(pair), F.lit(0.0)))
     if only_rebalance:
         rows = rows.filter(is_rebalance_day(F.col("dt")))
-    cov = F.aggregate("h", F.lit(0.0), lambda acc, x: acc * lam + x * (1 - lam))
-    return rows.select("asset_a", "asset_b", "dt", (cov + F.when(F.col("asset_a") == F.col("asset_b"), ridge).otherwise(0.0)).alias("cov"))
+    return rows.select("asset_a", "asset_b", "dt", (F.col("_s") + F.when(F.col("asset_a") == F.col("asset_b"), ridge).otherwise(0.0)).alias("cov"))
 
 
 def turnover(weights: DataFrame, books: Sequence[str] = ("book_id",)) -> DataFrame:

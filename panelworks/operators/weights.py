@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.panel import ANNUAL, Series, carried
-from panelworks.functions.scalar import clip, nonzero
+from panelworks.functions.scalar import clip
 
 
 def per_date(mu: DataFrame, cov: DataFrame) -> DataFrame:
@@ -168,7 +168,3 @@ def weekly_weights(features: DataFrame, forecasts: DataFrame, cov: DataFrame, bo
     raw = mean_variance(forecasts.select("dt", "asset", "mu"), cov, gross_cap, asset_cap)
     raw = raw.join(features.select("dt", "asset", F.col("beta_mkt").alias("beta")), ["dt", "asset"], "left").withColumn("book_id", F.lit(book))
     return daily(blended(raw, cov, blend, asset_cap, gross_cap, target), features)
-
-
-def ratio(a, b):
-    return F.col(a) / nonzero(F.col(b))
