@@ -5,15 +5,17 @@ the wanted Jaccard similarity share at least L shingles among the first n - a +
 holds for each L. A document whose first shingles others hold too takes a larger L: a longer prefix, but a partner must share L
 shingles of it before the pair is verified. L minimises the cost of reading lists and verifying candidates, estimated from the lists' lengths.
 
-The order is by the number of sets that hold a shingle. One shuffle by shingle counts them, and sends on those that several sets hold; a second one by set
-sorts them. A set of which fewer than a shingles are held by others has no partner and goes. Shingles so common that their list would be too much for a task (by
-counts of all shingles under a hash of 20 bits) are not shuffled to be counted; they stand last in the order, by that count. A set that a task has met is not sent again.
+The order is by the number of sets that hold a shingle. Texts are read in lots; a lot sends its shingles, packed, to buckets by hash; a bucket counts the sets of each and answers
+the lots with the counts of those that several sets hold; a lot then sorts its sets' shingles. A set of which fewer than a shingles are held by others has no partner and goes. Shingles so
+common that their list would be too much for a task (by counts of all shingles under a hash of 20 bits) are not sent to be counted; they stand last in the order, by that count. A set
+that a task has met is not sent again; copies that several tasks sent only make a count larger. Candidates are found by the first 48 bits of a shingle's hash, so that some pairs too
+many are verified, and none too few.
 
 Equal sets are one class from the start. Of the classes that share a prefix shingle the first is its leader; classes are verified
 against their leaders first, where lists are long against some more leaders, and what is connected then needs no further pair. For all
 other pairs of a list, in tiles of bounded size, what both prefixes share and what can follow bounds the overlap; so do
 sketches of 512 bits, the parities of how many shingles fall into each, which bound the shingles that only one of two sets has. Those that the bounds leave are verified on
-whole sets; so no link between components is lost, and a group of near copies gives pairs in proportion to its size, not to its square.
+whole texts; so no link between components is lost, and a group of near copies gives pairs in proportion to its size, not to its square.
 
 Defined results: texts that are NULL, empty or without words have an empty set and are linked with nothing; fewer words than k are
 one shingle; very long texts are whole sets like others; rows with NULL id keep their own row with a NULL component; rows that share an id are one node. Ties in the order go by the
@@ -28,6 +30,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +39,10 @@ from panelworks.llm.common import LOWER_TABLE, stored
 from panelworks.llm.graph import components
 
 BITS = 20
+#: Bits of a shingle's hash by which candidates are found.
+KEY_BITS = 48
+#: Shingles that a bucket counts at once; where that makes more than ``MANY`` buckets, up to ``LARGE``, so that a lot's row for a bucket stays worth its while. Partitions of a shuffle at most.
+BUCKET, MANY, LARGE, TASKS = 1_500_000, 4096, 32_000_000, 10_000
 #: A shingle is common if its bucket of the 2**BITS has more rows than this, and than so many times the mean.
 COMMON, TIMES = 2_000, 4
 #: Bits of the parity sketch of a set.
@@ -54,7 +62,7 @@ class WordIds(dict):
     """64-bit hash of a word; what it holds is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -126,187 +134,225 @@ def least_overlap_as_smaller(n, percent: int):
     return -(-2 * percent * n // (100 + percent))
 
 
+def pack(a: np.ndarray) -> bytes:
+    """Eight-byte numbers, bytes of a weight together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(np.int64)
+
+
+def _hashes(flat: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Rows of ``size`` numbers: a hash of each set."""
+    raw, starts = flat.tobytes(), np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    digests = (hashlib.blake2b(raw[8 * x : 8 * z], digest_size=16).digest() for x, z in zip(starts.tolist(), ends.tolist(), strict=True))
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)[:, :size].copy()
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """For each row: n, a 128-bit hash of its set, its parity sketch, and the set, sorted."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("odd", pa.list_(pa.int64())), ("toks", pa.list_(pa.int64()))])
+    """For each row: n, a 128-bit hash of its set and its parity sketch; and for each task, in rows with a ``part``, counts of all its shingles by the first bits of their hash."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("odd", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        ids = WordIds()
+        ids, total = WordIds(), np.zeros(1 << BITS, np.int64)
         for b in batches:
             for row, texts in lots(b, 1):
                 flat, ends = batch_sets(texts, k, ids)
-                starts = np.concatenate([[0], ends[:-1]])
-                n = ends - starts
+                n = np.diff(ends, prepend=0)
                 doc = np.repeat(np.arange(len(n)), n)
+                total += np.bincount((flat >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
                 odd = np.bincount(doc * ODD + (flat % np.uint64(ODD)).astype(np.int64), minlength=len(n) * ODD).astype(np.uint8) & 1
-                odd = np.packbits(odd).view(np.int64)
-                raw = flat.tobytes()
-                both = np.frombuffer(b"".join(hashlib.blake2b(raw[8 * x : 8 * z], digest_size=16).digest() for x, z in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64).reshape(-1, 2)
-                lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
-                cols = [pa.array(n), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), lists(np.arange(len(n) + 1) * (ODD // 64), odd), lists(np.concatenate([[0], ends]), flat.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(n)), *cols], schema=kinds)
+                odd = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (ODD // 64), pa.int32()), pa.array(np.packbits(odd).view(np.int64)))
+                both = _hashes(flat, ends, 2)
+                none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(n)), pa.array(n, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), odd, *none], schema=kinds)
+        rows = total.reshape(PARTS, -1)
+        yield pa.RecordBatch.from_pydict({c: [None] * PARTS for c in kinds.names[:5]} | {"part": list(range(PARTS)), "counts": [pack(r) for r in rows]}, kinds)
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, odd array<long>, toks array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, odd array<long>, part int, counts binary")
 
 
-def _lists(column) -> tuple[np.ndarray, np.ndarray]:
-    """Flat values and lengths of a list column of an Arrow batch."""
-    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+#: Rows in which counts of shingles are sent.
+PARTS = 64
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
     """Counts of all shingles by the first bits of their hash: an array of fixed size."""
-    parts, width = 64, (1 << BITS) // 64
-
-    def count(batches):
-        total = np.zeros(1 << BITS, np.int64)
-        for b in batches:
-            total += np.bincount((_lists(b.column(0))[0].view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
-        rows = total.reshape(parts, width)
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for i, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                c = np.frombuffer(c.as_py(), np.int64)
+                c = unpack(c.as_py())
                 sums[i] = sums[i] + c if i in sums else c
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(s) for s in sums.values()], pa.binary())], ["part", "counts"])
 
-    kind = "part int, counts binary"
-    rows = sets.select("toks").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect()  # 64 rows of 128 KB
-    out = np.zeros((parts, width), np.int64)
+    rows = sets.filter("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary").collect()  # PARTS rows of 128 KB at most
+    out = np.zeros((PARTS, (1 << BITS) // PARTS), np.int64)
     for r in rows:
-        out[r["part"]] += np.frombuffer(r["counts"], np.int64)
+        out[r["part"]] += unpack(r["counts"])
     return out.reshape(-1)
 
 
-_ROW = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("rank", pa.int64())])
-#: Ranks of rows: a set's own row, a shingle to be counted, then counts of sets, then counts of common shingles.
-OWN, OPEN, LAST = -1, 0, 1 << 40
+#: Kinds of packed rows of a lot: its sets (hash, size, number of shingles that are not common); shingles to be counted; common ones with counts of their bucket; counted ones.
+OWN, OPEN, COMMON_ROW, COUNTED = 0, 1, 2, 3
+_ROW = pa.schema([("bucket", pa.int32()), ("lot", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("toks", pa.binary()), ("vals", pa.binary())])
+ROW = "bucket int, lot long, kind int, docs binary, toks binary, vals binary"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*cols[:3], *([pack(x) for x in c] for c in cols[3:])], _ROW, strict=True)], schema=_ROW)
 
 
-def _entries(sets: DataFrame, percent: int, most: int) -> DataFrame:
-    """Rows (k1, k2, rank) of each distinct set: its own (set, number of shingles that are not common); each shingle that is not common (shingle, set); of common ones the first
-    (set, shingle, count) that can be in its prefix. A set that the task has met before is left out."""
-    sketch = _sketch(sets)
-    shared = sets.sparkSession.sparkContext.broadcast((sketch, max(COMMON, TIMES * int(sketch.mean()))))
+def _entries(docs: DataFrame, k: int, percent: int, most: int, counts: np.ndarray, buckets: int) -> DataFrame:
+    """The packed rows of each lot of ``docs`` (doc_id, text). A set that the task has met before is left out."""
+    top = max(COMMON, TIMES * int(counts.mean()))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    # Lots grow with the number of buckets, so that what a lot sends to one stays worth a row.
+    chars = int(min(128_000_000, max(4_000_000, 600 * buckets)))
 
     def run(batches):
-        seen: set[int] = set()
-        counts, top = shared.value
+        ids, seen, task, made = WordIds(), set(), TaskContext.get().partitionId(), 0
         for b in batches:
             if len(seen) > 1_000_000:
                 seen.clear()
-            new = []
-            for i, s in enumerate(b.column(0).to_pylist()):
-                if s not in seen:
-                    seen.add(s)
-                    new.append(i)
-            b = b.take(pa.array(new, pa.int64()))
-            flat, n = _lists(b.column(1))
-            sid, doc = b.column(0).to_numpy(), np.repeat(np.arange(len(n)), n)
-            rank = counts[(flat.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)]
-            common = rank > top
-            rare = np.bincount(doc, ~common, len(n)).astype(np.int64)
-            cols = [[sid, rare, np.full(len(n), OWN)], [flat[~common], sid[doc[~common]], np.full(int((~common).sum()), OPEN)]]
-            room = np.maximum(0, np.minimum(n, n - least_overlap(n, percent) + most) - rare)
-            at = np.flatnonzero(common & (room[doc] > 0))
-            if len(at):
-                at = at[np.lexsort((flat[at], rank[at], doc[at]))]
-                d = doc[at]
-                first = np.arange(len(at)) - np.searchsorted(d, d)
-                at = at[first < room[d]]
-                cols.append([sid[doc[at]], flat[at], LAST + rank[at]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([c[j] for c in cols]).astype(np.int64)) for j in range(3)], schema=_ROW)
-
-    return sets.select("s1", "toks").mapInArrow(run, "k1 long, k2 long, rank long")
-
-
-def _runs(batches):
-    """Batches cut so that the rows of one k1 are together; only one key's rows are held back."""
-    kept = None
-    for b in batches:
-        cols = [b.column(j).to_numpy() for j in range(3)]
-        if kept is not None:
-            cols = [np.concatenate([x, y]) for x, y in zip(kept, cols, strict=True)]
-        if not len(cols[0]):
-            continue
-        cut = np.searchsorted(cols[0], cols[0][-1])  # sorted by k1
-        kept = [c[cut:] for c in cols]
-        if cut:
-            yield [c[:cut] for c in cols]
-    if kept is not None and len(kept[0]):
-        yield kept
-
-
-def _counted(entries: DataFrame) -> DataFrame:
-    """Rows (set, shingle, rank) with the number of sets for each shingle that several hold, and the other rows as they came."""
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            for _, texts in lots(b, 0, chars):
+                flat, ends = batch_sets(texts, k, ids)
+                sid, n = _hashes(flat, ends, 1)[:, 0], np.diff(ends, prepend=0)
+                new = np.zeros(len(n), bool)
+                for i, x in enumerate(sid.tolist()):
+                    if x not in seen and n[i]:
+                        seen.add(x)
+                        new[i] = True
+                flat = flat[np.repeat(new, n)]
+                sid, n = sid[new], n[new]
+                if not len(n):
+                    continue
+                doc = np.repeat(np.arange(len(n)), n)
+                rank = shared.value[(flat >> np.uint64(64 - BITS)).astype(np.int64)]
+                key = (flat >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+                common = rank > top
+                rare = np.bincount(doc, ~common, len(n)).astype(np.int64)
+                # The same lot if the task runs again: by its place and by what it holds.
+                lot = xxhash.xxh3_64_intdigest(sid.tobytes(), seed=(task << 24) + made) >> 1
+                made += 1
+                yield _packed([(lot % buckets, lot, OWN, sid, n, rare)])
+                room = np.maximum(0, np.minimum(n, n - least_overlap(n, percent) + most) - rare)
+                at = np.flatnonzero(common & (room[doc] > 0))
+                if len(at):
+                    at = at[np.lexsort((key[at], rank[at], doc[at]))]
+                    d = doc[at]
+                    at = at[np.arange(len(at)) - np.searchsorted(d, d) < room[d]]
+                    yield _packed([(lot % buckets, lot, COMMON_ROW, doc[at], key[at], rank[at])])
+                key, doc = key[~common], doc[~common]
+                bucket = ((key >> (KEY_BITS - 32)) * buckets) >> 32  # a range of hashes, so their first bits are the bucket's
+                order = np.argsort(bucket, kind="stable")  # within a bucket by set, then hash
+                key, doc = key[order], doc[order]
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)) if buckets < len(key) else None
+                if cuts is None:
+                    some, cuts = np.unique(bucket[order], return_index=True)
+                    cuts = np.append(cuts, len(key))
+                else:
+                    some = np.arange(buckets)
+                none = np.zeros(0, np.int64)
+                rows = [(int(x), lot, OPEN, doc[y:z], key[y:z], none) for x, y, z in zip(some.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if z > y]
+                for x in range(0, len(rows), 1000):
+                    yield _packed(rows[x : x + 1000])
+
+    return docs.select("text").mapInArrow(run, ROW)
+
+
+def _counted(entries: DataFrame, buckets: int) -> DataFrame:
+    """The rows of ``entries`` with, in place of shingles to be counted, those that several sets hold and their number. A task holds one bucket at a time."""
+
+    def count(rows: list[dict]):
+        tok = np.concatenate([unpack(r["toks"]) for r in rows])
+        order = np.argsort(tok)
+        first = np.flatnonzero(np.diff(tok[order], prepend=-1))
+        size = np.diff(np.append(first, len(tok))).astype(np.int32)
+        many = np.empty(len(tok), np.int32)
+        many[order] = np.repeat(size, size)
+        del order, first, size
+        out, x = [], 0
+        for r in rows:
+            d = unpack(r["docs"])
+            m, t = many[x : x + len(d)], tok[x : x + len(d)]
+            x += len(d)
+            if (use := m > 1).any():
+                out.append((r["bucket"], r["lot"], COUNTED, d[use], t[use], m[use].astype(np.int64)))
+        return _packed(out)
 
     def run(batches):
-        for key, other, rank in _runs(batches):
-            todo = rank == OPEN
-            tok, sid = key[todo], other[todo]
-            again = np.concatenate([[False], (tok[1:] == tok[:-1]) & (sid[1:] == sid[:-1])]) if len(tok) else np.zeros(0, bool)  # sent by several tasks
-            tok, sid = tok[~again], sid[~again]
-            first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
-            many = np.repeat(np.diff(np.append(first, len(tok))), np.diff(np.append(first, len(tok))))
-            use = many > 1
-            rest = ~todo
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ((sid[use], key[rest]), (tok[use], other[rest]), (many[use], rank[rest]))], schema=_ROW)
-
-    return entries.repartition(n, "k1").sortWithinPartitions("k1", "k2").mapInArrow(run, "k1 long, k2 long, rank long")
-
-
-def choose_length(n: int, a: int, pos: np.ndarray, lists: np.ndarray, most: int) -> int:
-    """L of least estimated cost, of a set of n with overlaps of a or more whose shared shingles stand at ``pos`` in the order. Each other entry of the prefix's lists is read once;
-    what is left for verification, on n shingles each, is at most an L-th of them."""
-    best, length = float("inf"), 1
-    for ell in range(1, min(most, max(a, 1)) + 1):
-        size = min(n, n - a + ell)
-        read = float((lists[: np.searchsorted(pos, size)] - 1).sum())
-        if (cost := size + read + 0.1 * n * read / ell) < best:
-            best, length = cost, ell
-    return length
-
-
-def _prefixes(counted: DataFrame, sizes: DataFrame, percent: int, most: int) -> DataFrame:
-    """(v, n, ell, toks): of each class that can have a partner, L and the shingles of its prefix that others hold."""
+        now, held = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["bucket"] != now:
+                    if held:
+                        yield count(held)
+                    now, held = r["bucket"], []
+                if r["kind"] == OPEN:
+                    held.append(r)
+                else:
+                    yield pa.RecordBatch.from_pylist([r], _ROW)
+        if held:
+            yield count(held)
+
+    return entries.repartitionById(min(buckets, TASKS), F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, ROW)
+
+
+def choose_length(n: np.ndarray, a: np.ndarray, doc: np.ndarray, pos: np.ndarray, lists: np.ndarray, most: int) -> np.ndarray:
+    """L of least estimated cost, of sets of n with overlaps of a or more whose shared shingles (of ``doc``) stand at ``pos`` in the order. Each other entry of the prefix's lists is
+    read once; what is left for verification, on n shingles each, is at most an L-th of them."""
+    costs = []
+    for ell in range(1, most + 1):
+        size = np.minimum(n, n - a + ell)
+        read = np.bincount(doc, np.where(pos < size[doc], lists - 1, 0), len(n))
+        costs.append(np.where(ell <= np.maximum(a, 1), size + read + 0.1 * n * read / ell, np.inf))
+    return np.argmin(costs, axis=0) + 1
+
+
+def _prefixes(counted: DataFrame, percent: int, most: int) -> DataFrame:
+    """(s1, n, ell, toks): of each set that can have a partner, L and the shingles of its prefix that others hold. A task holds one lot at a time."""
     parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = pa.schema([("v", pa.int64()), ("n", pa.int64()), ("ell", pa.int32()), ("toks", pa.list_(pa.int64()))])
-    SIZE, ID = OWN - 2, OWN - 1  # a class' size and id come as rows of the same shape
+    kinds = pa.schema([("s1", pa.int64()), ("n", pa.int64()), ("ell", pa.int32()), ("toks", pa.list_(pa.int64()))])
+
+    def lot_of(rows: list[dict]):
+        sid, n, rare = next((unpack(r["docs"]), unpack(r["toks"]), unpack(r["vals"])) for r in rows if r["kind"] == OWN)
+        got = [r for r in rows if r["kind"] != OWN]
+        if not got:
+            return None
+        doc, tok, val = (np.concatenate([unpack(r[c]) for r in got]) for c in ("docs", "toks", "vals"))
+        last = np.repeat([r["kind"] == COMMON_ROW for r in got], [len(unpack(r["docs"])) for r in got])
+        a = np.maximum(1, least_overlap(n, percent))
+        known = np.bincount(doc, ~last, len(n)).astype(np.int64)
+        keep = (known + n - rare >= a)[doc]
+        doc, tok, val, last = doc[keep], tok[keep], val[keep], last[keep]
+        o = np.lexsort((tok, val, last, doc))
+        doc, tok, val = doc[o], tok[o], val[o]
+        pos = np.arange(len(doc)) - np.searchsorted(doc, doc) + (rare - known)[doc]
+        ell = choose_length(n, a, doc, pos, val, most)
+        use = pos < np.minimum(n, n - a + ell)[doc]
+        doc, tok = doc[use], tok[use]
+        some, cuts = np.unique(doc, return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(doc)), pa.int32()), pa.array(tok))
+        return pa.RecordBatch.from_arrays([pa.array(sid[some]), pa.array(n[some]), pa.array(ell[some], pa.int32()), lists], schema=kinds)
 
     def run(batches):
-        for key, other, rank in _runs(batches):
-            edges = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-            out: list[tuple] = []
-            for x, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                r = rank[x:z]
-                head = int(np.searchsorted(r, 0))  # rows of ranks below 0 come first
-                own = {int(q): int(o) for q, o in zip(r[:head], other[x : x + head], strict=True) if q in (SIZE, OWN)}
-                if SIZE not in own or OWN not in own:
-                    continue
-                n, rare = own[SIZE], own[OWN]
-                a = max(1, least_overlap(n, percent))
-                toks, lists = other[x + head : z], r[head:]
-                same = np.concatenate([[False], (toks[1:] == toks[:-1]) & (lists[1:] == lists[:-1])]) if len(toks) else np.zeros(0, bool)
-                toks, lists = toks[~same], lists[~same]  # a common shingle that several tasks sent
-                known = int((lists < LAST).sum())
-                if known + n - rare < a:
-                    continue
-                pos = np.concatenate([np.arange(rare - known, rare), np.arange(rare, rare + len(toks) - known)])
-                lists = np.where(lists < LAST, lists, lists - LAST)
-                ell = choose_length(n, a, pos, lists, most)
-                use = toks[: np.searchsorted(pos, min(n, n - a + ell))]
-                if len(use):
-                    out += [(int(o), n, ell, use) for q, o in zip(r[:head], other[x : x + head], strict=True) if q == ID]
-            if out:
-                at = np.concatenate([[0], np.cumsum([len(o[3]) for o in out])])
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([o[3] for o in out])))], schema=kinds)
+        now, held = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["lot"] != now:
+                    if held and (out := lot_of(held)) is not None:
+                        yield out
+                    now, held = r["lot"], []
+                held.append(r)
+        if held and (out := lot_of(held)) is not None:
+            yield out
 
-    own = sizes.select(F.col("s1").alias("k1"), F.inline(F.array(F.struct(F.col("n").alias("k2"), F.lit(SIZE).cast("long").alias("rank")), F.struct(F.col("v").alias("k2"), F.lit(ID).cast("long").alias("rank")))))
-    return counted.unionByName(own).repartition(parts, "k1").sortWithinPartitions("k1", "rank", "k2").mapInArrow(run, "v long, n long, ell int, toks array<long>")
+    return counted.repartition(parts, "lot").sortWithinPartitions("lot").mapInArrow(run, "s1 long, n long, ell int, toks array<long>")
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -319,46 +365,46 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (differ <= F.floor((nx + ny) * (100 - percent) / (100 + percent)))
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) of ids whose sets have the similarity. ``b`` is what many pairs share: its set goes once to each group of ``GROUP`` rows or so."""
+def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) of ids whose texts have the similarity. ``b`` is what many pairs share: its text goes once to each group of ``GROUP`` rows or so."""
     x, y = reps.alias("x"), reps.alias("y")
     near = pairs.join(x, F.col("a") == F.col("x.v")).join(y, F.col("b") == F.col("y.v"))
     pairs = stored(near.filter(_may_link("x", "y", percent)).select("a", "b").distinct())
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    # A list of ids of a checked size goes out to all, so that other sets are not shuffled; a longer one is joined by a shuffle.
-    sets = sets.filter("n > 0").join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "s1", "s2"]).select("doc_id", "toks")
-    rows = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("part")).join(sets, F.col("a") == F.col("doc_id")).select("b", "part", "a", "toks")
-    heads = groups.join(sets, F.col("b") == F.col("doc_id")).select("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "toks")
+    # A list of ids of a checked size goes out to all, so that other texts are not shuffled; a longer one is joined by a shuffle.
+    docs = docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+    rows = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("part")).join(docs, F.col("a") == F.col("doc_id")).select("b", "part", "a", "text")
+    heads = groups.join(docs, F.col("b") == F.col("doc_id")).select("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "text")
 
     def run(batches):
-        key, leaders = None, []
+        ids, key, leaders = WordIds(), None, []
         for batch in batches:
-            b, part, a = (batch.column(j).to_pylist() for j in range(3))
-            flat, n = _lists(batch.column(3))
-            ends = np.cumsum(n)
-            out: list[tuple] = []
-            x = 0
-            while x < len(b):
-                if (b[x], part[x]) != key:
-                    key, leaders = (b[x], part[x]), []
-                z = x + 1
-                while z < len(b) and (b[z], part[z]) == key and (a[z] is None) == (a[x] is None):
-                    z += 1
-                if a[x] is None:  # several if rows share the id
-                    leaders += [flat[ends[j] - n[j] : ends[j]] for j in range(x, z)]
-                else:
-                    own, ok = flat[ends[x] - n[x] : ends[z - 1]], np.zeros(z - x, bool)
-                    doc = np.repeat(np.arange(z - x), n[x:z])
-                    for lead in leaders:
-                        s = lead.view(np.uint64)
-                        at = np.minimum(np.searchsorted(s, own.view(np.uint64)), len(s) - 1)
-                        both = np.bincount(doc, lead[at] == own, z - x).astype(np.int64)
-                        ok |= 100 * both >= percent * (n[x:z] + len(lead) - both)
-                    out += [(a[x + j], key[0]) for j in np.flatnonzero(ok).tolist()]
-                x = z
-            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in (0, 1)], ["a", "b"])
+            for first, texts in lots(batch, 3):
+                b, part, a = (batch.column(j).slice(first, len(texts)).to_pylist() for j in range(3))
+                flat, ends = batch_sets(texts, k, ids)
+                n = np.diff(ends, prepend=0)
+                out: list[tuple] = []
+                x = 0
+                while x < len(b):
+                    if (b[x], part[x]) != key:
+                        key, leaders = (b[x], part[x]), []
+                    z = x + 1
+                    while z < len(b) and (b[z], part[z]) == key and (a[z] is None) == (a[x] is None):
+                        z += 1
+                    if a[x] is None:  # several if rows share the id
+                        leaders += [flat[ends[j] - n[j] : ends[j]] for j in range(x, z) if n[j]]
+                    else:
+                        own, ok = flat[ends[x] - n[x] : ends[z - 1]], np.zeros(z - x, bool)
+                        doc = np.repeat(np.arange(z - x), n[x:z])
+                        for lead in leaders:
+                            at = np.minimum(np.searchsorted(lead, own), len(lead) - 1)
+                            both = np.bincount(doc, lead[at] == own, z - x).astype(np.int64)
+                            ok |= (100 * both >= percent * (n[x:z] + len(lead) - both)) & (both > 0)
+                        out += [(a[x + j], key[0]) for j in np.flatnonzero(ok).tolist()]
+                    x = z
+                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in (0, 1)], ["a", "b"])
 
     both = rows.unionByName(heads).repartition(parts, "b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
     return both.mapInArrow(run, "a long, b long").distinct()
@@ -464,10 +510,15 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, most: int = 6) -> Da
 
     Two rows link when 100 * intersection >= ``percent`` * union of their shingle sets. ``most``: the largest L.
     """
-    sets = stored(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), k))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = stored(_sets(docs, k))
+    sets, counts = made.filter("part is null").drop("part", "counts"), _sketch(made)
     full = sets.filter("n > 0 and doc_id is not null")
     reps = stored(full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "odd")).alias("r")).select("s1", "s2", F.col("r.doc_id").alias("v"), "r.n", "r.odd"))
-    used = stored(_prefixes(_counted(_entries(full, percent, most)), reps, percent, most))
+    size = int(counts.sum())
+    buckets = max(16, min(-(-size // BUCKET), max(MANY, -(-size // LARGE))))
+    prefixes = stored(_prefixes(_counted(_entries(docs.filter("doc_id is not null"), k, percent, most, counts, buckets), buckets), percent, most))
+    used = reps.select("s1", "v").join(prefixes.dropDuplicates(["s1"]), "s1").select("v", "n", "ell", "toks")
     rows = used.select("v", "n", "ell", F.posexplode("toks").alias("pos", "tok"))
     lists = rows.groupBy("tok").agg(F.count("*").alias("lists"), F.min(F.struct("v", "n")).alias("r")).filter("lists > 1").select("tok", "lists", F.col("r.v").alias("lead"), F.col("r.n").alias("lead_n"))
     posts = stored(rows.join(lists, "tok"))
@@ -475,7 +526,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, most: int = 6) -> Da
     near = (F.least("n", "lead_n") * 100) >= (F.greatest("n", "lead_n") * percent)
     first = posts.filter((F.col("v") != F.col("lead")) & near).groupBy(F.col("v").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("shared")).filter("shared >= 2").select("a", "b")
     first = stored(first)
-    star = stored(_linked(first, reps, sets, percent))
+    star = stored(_linked(first, reps, docs, k, percent))
     one = star.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label"))
     up = one.select(F.col("v").alias("label"), F.col("label").alias("up"))
     labels = stored(one.join(up, "label", "left").select("v", F.coalesce("up", "label").alias("label")))
@@ -483,7 +534,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, most: int = 6) -> Da
     for k_round in range(ROUNDS):
         pairs = _more_leaders(posts.filter(F.col("lists") > LONG), labels, percent, k_round)
         pairs = stored(pairs.join(done, ["a", "b"], "left_anti"))
-        new = stored(_linked(pairs, reps, sets, percent))
+        new = stored(_linked(pairs, reps, docs, k, percent))
         if not new.limit(1).count():
             break
         star, done = star.unionByName(new), done.unionByName(pairs)
@@ -495,7 +546,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, most: int = 6) -> Da
     long = _mixed(posts.filter(F.col("lists") > LONG), labels)
     arrays = posts.groupBy("v").agg(F.collect_list("tok").alias("prefix"), F.collect_list(F.when(F.col("lists") > LONG, F.col("tok"))).alias("long"))
     met = _short_lists(short.join(sketches, "v"), percent).unionByName(_tiles(long.join(sketches, "v").join(arrays, "v"), percent)).distinct()
-    late = stored(_linked(met.join(done, ["a", "b"], "left_anti"), reps, sets, percent))
+    late = stored(_linked(met.join(done, ["a", "b"], "left_anti"), reps, docs, k, percent))
 
     # The graph of labels: all links of both kinds with each end moved to its label.
     of = lambda x: labels.select(F.col("v").alias(x), F.col("label").alias(f"l{x}"))
