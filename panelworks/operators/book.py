@@ -87,6 +87,7 @@ def order_list(book: DataFrame, budget: float, least: float = 0.02, limit: float
     """(asset, delta, side, notional, limit_price, qty, status) of (asset, w, current, price); orders are not sent."""
     target = F.col("w") * budget
     delta = target - F.col("current")
+    # The texts of the status.
     status = F.when(F.lit(not shorts) & (target < 0), "SKIP: long-only").when(F.abs(delta) < least * budget, "SKIP: below threshold").otherwise("ORDER")
     rows = book.select("asset", "price", delta.alias("delta"), status.alias("status"))
     live = F.col("status") == "ORDER"

@@ -300,17 +300,18 @@ def j3_aligned_series(spark, d):
     return out(wide)
 
 
-BOOK = """with t as (select p_type asset, sum(l_extendedprice) notional from lineitem join part on l_partkey = p_partkey where l_returnflag = 'A' and p_size < 40 group by 1),
-c as (select p_brand asset, sum(l_extendedprice) notional from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R' group by 1 union all select p_type, sum(l_extendedprice) from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R' and p_size > 10 group by 1),
+BOOK = """with r as (select l_returnflag flag, p_type, p_brand, p_size, l_extendedprice v from lineitem join part on l_partkey = p_partkey),
+t as (select case when flag = 'A' then p_type else p_brand end asset, sum(v) notional from r where flag <> 'R' group by 1),
+c as (select case when p_size % 2 = 0 then p_type else 'size ' || p_size end asset, sum(v) notional from r where flag = 'R' group by 1),
 u as (select coalesce(t.asset, c.asset) asset, coalesce(t.notional, 0) target, coalesce(c.notional, 0) current from t full join c on t.asset = c.asset) """
 
 
 def books(spark, d):
+    """All rows go into one of two books: returned ones are held, the others wanted; some assets are in both."""
     rows_ = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     total = F.sum("l_extendedprice").alias("notional")
-    target = rows_.filter("l_returnflag = 'A' and p_size < 40").groupBy(F.col("p_type").alias("asset")).agg(total)
-    sold = rows_.filter("l_returnflag = 'R'")
-    current = sold.groupBy(F.col("p_brand").alias("asset")).agg(total).unionByName(sold.filter("p_size > 10").groupBy(F.col("p_type").alias("asset")).agg(total))
+    target = rows_.filter("l_returnflag <> 'R'").groupBy(F.when(F.col("l_returnflag") == "A", F.col("p_type")).otherwise(F.col("p_brand")).alias("asset")).agg(total)
+    current = rows_.filter("l_returnflag = 'R'").groupBy(F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.concat(F.lit("size "), F.col("p_size"))).alias("asset")).agg(total)
     return target, current
 
 
