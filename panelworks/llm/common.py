@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,25 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that isn't needed any more back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def released(run):
+    """``run`` over Arrow batches; when it ends, its worker, which Spark uses again, gives memory back."""
+
+    def call(batches):
+        yield from run(batches)
+        release()
+
+    return call
+
+
 def remainder(col: Column | str, n: int) -> Column:
     """crc32 of the value as text, modulo ``n`` (NULL for NULL)."""
     col = F.col(col) if isinstance(col, str) else col

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import LOWER_TABLE, stored
+from panelworks.llm.common import LOWER_TABLE, released, stored
 
 END = 0xFF  # in no UTF-8 text; also what stands before a text
 END_KEY = 2**64 - 1
@@ -270,7 +270,7 @@ def _requests(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
         if block is not None:
             yield from flush()
 
-    return docs.mapInArrow(run, PART)
+    return docs.mapInArrow(released(run), PART)
 
 
 def _by_bucket(batches):
@@ -310,7 +310,7 @@ def _totals(requests: DataFrame, buckets: int) -> DataFrame:
         if now is not None:
             yield out()
 
-    return requests.repartitionById(min(buckets, TASKS), F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(run, PART)
+    return requests.repartitionById(min(buckets, TASKS), F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(released(run), PART)
 
 
 def _summaries(totals: DataFrame, depth: int) -> DataFrame:
@@ -330,7 +330,7 @@ def _summaries(totals: DataFrame, depth: int) -> DataFrame:
                     up, inv = np.unique((at >> np.uint64(8 * (depth - cut + 2)) << np.uint64(8)) | (at & np.uint64(255)), return_inverse=True)
                     yield _rows({"kind": np.full(len(up), GRAM, np.int32), "key": up.astype(np.int64)} | {n: np.bincount(inv, x, len(up)) for n, x in (("zeros", zeros), ("ones", ones), ("weighted", weighted))}, schema)
 
-    rows = totals.mapInArrow(run, "kind int, key long, zeros double, ones double, weighted double")
+    rows = totals.mapInArrow(released(run), "kind int, key long, zeros double, ones double, weighted double")
     return rows.groupBy("kind", "key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted"))
 
 
@@ -355,7 +355,7 @@ def _answers(requests: DataFrame, totals: DataFrame, buckets: int, depth: int, t
                 yield _rows(cols, _PART)
 
     both = totals.unionByName(requests.withColumn("vals", F.lit(b"")))
-    return both.repartitionById(min(buckets, TASKS), F.col("bucket")).sortWithinPartitions("bucket", "kind", "block").mapInArrow(run, PART)
+    return both.repartitionById(min(buckets, TASKS), F.col("bucket")).sortWithinPartitions("bucket", "kind", "block").mapInArrow(released(run), PART)
 
 
 def scores(docs: DataFrame, train, depth: int = 4, block_chars: int = 24_000_000) -> DataFrame:
@@ -424,5 +424,5 @@ def scores(docs: DataFrame, train, depth: int = 4, block_chars: int = 24_000_000
     left = answers.select("block", F.lit(True).alias("first"), "kind", "keys", "vals", none("long").alias("doc_id"), none("string").alias("text"))
     right = dealt.select("block", F.lit(False).alias("first"), none("int").alias("kind"), none("binary").alias("keys"), none("binary").alias("vals"), "doc_id", "text")
     both = by_block(left.unionByName(right)).sortWithinPartitions("block", F.desc("first"))
-    out = both.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double")
+    out = both.mapInArrow(released(run), "doc_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(int(tokens)).cast("long"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import stored
+from panelworks.llm.common import released, stored
 
 #: bytes.translate table: A-Z lower-cased, digits, a-z and bytes above 127 kept, all else a blank.
 TOKEN_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -82,7 +82,7 @@ def build_index(docs: DataFrame, shard_words: int = 500_000) -> DataFrame:
         if ids:
             yield out()
 
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEX), compression="zstd")
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), INDEX), compression="zstd")
 
 
 @dataclass(frozen=True)
@@ -141,7 +141,7 @@ def sequences(items: DataFrame, window: int, piece: int = 50_000) -> DataFrame:
                     seqs.append(h[x : x + piece + window - 1].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(seqs, pa.binary())], ["item_id", "seq"])
 
-    return stored(items.mapInArrow(run, "item_id string, seq binary").distinct())
+    return stored(items.mapInArrow(released(run), "item_id string, seq binary").distinct())
 
 
 def _block(pieces: DataFrame, window: int) -> Sequences:
@@ -252,7 +252,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, slack: int = 0,
                     spans = _spans(s, shared.value, slack, rarest)
                     yield pa.RecordBatch.from_arrays([pa.array([key] * len(spans), pa.int64()), pa.array(range(len(spans)), pa.int32()), pa.array(s["row_ids"], pa.int64()), pa.array(s["lengths"], pa.int64()), pa.array(spans, kinds.field("spans").type)], schema=kinds)
 
-        return index.mapInArrow(run, f"shard long, row int, doc_id long, n_words long, spans array<{SPAN}>")
+        return index.mapInArrow(released(run), f"shard long, row int, doc_id long, n_words long, spans array<{SPAN}>")
 
     out = searched(part(0))
     if blocks > 1:

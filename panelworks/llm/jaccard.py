@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import LOWER_TABLE, stored
+from panelworks.llm.common import LOWER_TABLE, release, released, stored
 from panelworks.llm.graph import components
 
 BITS = 20
@@ -51,9 +51,9 @@ TILE = 2048
 #: Rows that are verified against one leader in a task.
 GROUP = 512
 #: Lists longer than this get more leaders before their pairs are looked at: so many a round, on so many lists of a document.
-LONG, LEADERS, LISTS, ROUNDS = 64, 8, 3, 2
+LONG, LEADERS, LISTS, ROUNDS = 64, 8, 3, 1
 #: Ids that are sent to all executors at most.
-SENT_IDS = 500_000
+SENT_IDS = 200_000
 #: Entries of lists that a tile expands at once.
 STEP = 4_000_000
 
@@ -111,7 +111,7 @@ def batch_sets(texts: list[str | None], k: int, ids: WordIds) -> tuple[np.ndarra
     return out, total
 
 
-def lots(batch: pa.RecordBatch, column: int, chars: int = 4_000_000):
+def lots(batch: pa.RecordBatch, column: int, chars: int = 2_000_000):
     """(first row, texts) of parts of a batch of bounded size."""
     texts, size, start = [], 0, 0
     for i, t in enumerate(batch.column(column)):
@@ -171,7 +171,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         rows = total.reshape(PARTS, -1)
         yield pa.RecordBatch.from_pydict({c: [None] * PARTS for c in kinds.names[:5]} | {"part": list(range(PARTS)), "counts": [pack(r) for r in rows]}, kinds)
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, odd array<long>, part int, counts binary")
+    return docs.mapInArrow(released(run), "doc_id long, n long, s1 long, s2 long, odd array<long>, part int, counts binary")
 
 
 #: Rows in which counts of shingles are sent.
@@ -193,6 +193,8 @@ def _sketch(sets: DataFrame) -> np.ndarray:
     out = np.zeros((PARTS, (1 << BITS) // PARTS), np.int64)
     for r in rows:
         out[r["part"]] += unpack(r["counts"])
+    del rows
+    release()
     return out.reshape(-1)
 
 
@@ -212,7 +214,7 @@ def _entries(docs: DataFrame, k: int, percent: int, most: int, counts: np.ndarra
     top = max(COMMON, TIMES * int(counts.mean()))
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     # Lots grow with the number of buckets, so that what a lot sends to one stays worth a row.
-    chars = int(min(128_000_000, max(4_000_000, 600 * buckets)))
+    chars = int(min(128_000_000, max(2_000_000, 600 * buckets)))
 
     def run(batches):
         ids, seen, task, made = WordIds(), set(), TaskContext.get().partitionId(), 0
@@ -262,7 +264,7 @@ def _entries(docs: DataFrame, k: int, percent: int, most: int, counts: np.ndarra
                 for x in range(0, len(rows), 1000):
                     yield _packed(rows[x : x + 1000])
 
-    return docs.select("text").mapInArrow(run, ROW)
+    return docs.select("text").mapInArrow(released(run), ROW)
 
 
 def _counted(entries: DataFrame, buckets: int) -> DataFrame:
@@ -300,7 +302,7 @@ def _counted(entries: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield count(held)
 
-    return entries.repartitionById(min(buckets, TASKS), F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, ROW)
+    return entries.repartitionById(min(buckets, TASKS), F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(released(run), ROW)
 
 
 def choose_length(n: np.ndarray, a: np.ndarray, doc: np.ndarray, pos: np.ndarray, lists: np.ndarray, most: int) -> np.ndarray:
@@ -352,7 +354,7 @@ def _prefixes(counted: DataFrame, percent: int, most: int) -> DataFrame:
         if held and (out := lot_of(held)) is not None:
             yield out
 
-    return counted.repartition(parts, "lot").sortWithinPartitions("lot").mapInArrow(run, "s1 long, n long, ell int, toks array<long>")
+    return counted.repartition(parts, "lot").sortWithinPartitions("lot").mapInArrow(released(run), "s1 long, n long, ell int, toks array<long>")
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -407,7 +409,7 @@ def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent:
                 yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in (0, 1)], ["a", "b"])
 
     both = rows.unionByName(heads).repartition(parts, "b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -502,7 +504,7 @@ def _tiles(rows: DataFrame, percent: int) -> DataFrame:
             out = list(pairs(*now, unit))
             yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in out], pa.int64()) for j in (0, 1)], ["a", "b"])
 
-    return rows.repartition(n, "tok", "lo", "hi").sortWithinPartitions("tok", "lo", "hi").mapInArrow(run, "a long, b long")
+    return rows.repartition(n, "tok", "lo", "hi").sortWithinPartitions("tok", "lo", "hi").mapInArrow(released(run), "a long, b long")
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, most: int = 6) -> DataFrame:

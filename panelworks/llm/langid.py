@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import bottom_k, stored
+from panelworks.llm.common import bottom_k, release, released, stored
 
 UND = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -124,12 +124,13 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     All words and n-grams of these rows are kept: ``max_rows`` is what bounds the model and its broadcast.
     """
     rows = bottom_k(train.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null"), max_rows, "k", "text")
-    counts = stored(rows.select("text", "lang").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    counts = stored(rows.select("text", "lang").mapInArrow(released(_word_counts), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return LangModel([], {}, {}, max_n)
     words = _log_table(counts, langs, smoothing)
-    grams = _log_table(counts.mapInArrow(_gram_counts(max_n), "lang string, word string, n long"), langs, smoothing)
+    grams = _log_table(counts.mapInArrow(released(_gram_counts(max_n)), "lang string, word string, n long"), langs, smoothing)
+    release()
     return LangModel(langs, words, grams, max_n)
 
 

@@ -226,3 +226,17 @@ def test_stages_on_odd_rows(spark, odd, tmp_path):
     got = stages["mixing"](spark, odd, d)
     new = ["n_tokens", "posterior", "rate", "copies"]
     assert got.columns == [x for x in odd.columns if x not in new] + new and {type(r["rate"]) for r in got.collect()} <= {float}
+
+
+def test_very_long_urls_and_conversations(spark):
+    from panelworks.llm import chat
+
+    url = "http://spam.example.com/" + "deep/" * 20_000 + "?" + "&".join(f"k{i}=1" for i in range(5_000))
+    rows = [(i, f"http://{'spam' if i % 2 else 'fine'}.example.com/p{i}") for i in range(40)] + [(99, url), (99, url)]
+    out = urlrules.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(i, i % 2 == 1) for i in range(40)], "page_id long, blocked boolean"), [])
+    got = {r["page_id"]: r for r in out.collect()}
+    assert got[99]["verdict"] == "block" and got[99]["path"] == "/" + "deep/" * 20_000 and out.count() == 42
+    text = "a long answer </s> " * 20_000
+    turns = [(1, 0, "user", "say"), (1, 1, "assistant", text), (1, 2, "user", None), (1, 3, "assistant", text)]
+    r = chat.digests(chat.pieces(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).first()
+    assert r["loss_chars"] == 2 * len(text) and r["loss_sha256"] == hashlib.sha256((text + text).encode()).hexdigest() and r["n_examples"] == 2
