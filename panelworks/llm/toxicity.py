@@ -10,7 +10,8 @@ Terms, weights, exception phrases and the scale of the score are learned from la
 bound of its log odds, so that chance finds among rare words get no weight, however many words there are.
 
 Defined results: NULL and empty texts have no hits and get the score of a text without hits; without labelled
-rows of both classes every score is 0.0. Very long texts are folded and matched whole, in time linear in their length. Of terms that
+rows of both classes every score is 0.0. Very long texts are folded and matched whole; sorting
+what is found is the only step that takes more than their length. Of terms that
 start at one place the whole word counts, else the longest stem. Repeated rows get equal scores. Other columns are never read.
 """
 
@@ -96,8 +97,19 @@ class Matcher:
                     spared.append((a, b))
             elif stem:  # longer ones come later and replace it
                 found[a] = (a, b, stem)
-        hits = list(found.values())
-        return [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spared)] if spared else hits
+        hits = sorted(found.values())
+        if not spared:
+            return hits
+        # Of the exception phrases that begin at or before a hit the one that reaches furthest decides.
+        spared.sort()
+        kept, k, reach = [], 0, 0
+        for h in hits:
+            while k < len(spared) and spared[k][0] <= h[0]:
+                reach = max(reach, spared[k][1])
+                k += 1
+            if h[1] > reach:
+                kept.append(h)
+        return kept
 
     def features(self, text: str | None) -> tuple[int, float, float]:
         """Hits, log of their weight, log of their weight in a thousand words."""
