@@ -28,6 +28,7 @@ from panelworks.llm.common import released, stored
 
 #: bytes.translate table: A-Z lower-cased, digits, a-z and bytes above 127 kept, all else a blank.
 TOKEN_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: A shard's number comes from the row of the written index, so equal shards stay apart.
 INDEX = "row_ids array<long>, lengths array<int>, terms binary, ends binary, positions binary"
 SPAN = "struct<item_id: string, start: int, end: int>"
 
@@ -82,7 +83,8 @@ def build_index(docs: DataFrame, shard_words: int = 500_000) -> DataFrame:
         if ids:
             yield out()
 
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), INDEX), compression="zstd")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), INDEX)
+    return stored(found.withColumn("shard", F.monotonically_increasing_id()), compression="zstd")
 
 
 @dataclass(frozen=True)
@@ -227,7 +229,7 @@ def _spans(shard: dict, block: Sequences, slack: int, rarest: int | None) -> lis
     return out
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int = 10, slack: int = 0, rarest: int | None = None, block_chars: int = 20_000_000) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, window: int = 10, slack: int = 0, rarest: int | None = None, block_chars: int = 20_000_000, shard_words: int = 500_000) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_words and the spans of words that windows of ``items`` (item_id, text) match.
 
     ``slack`` 0 gives exact phrases; more gives proximity, of the ``rarest`` terms of a window if set.
@@ -238,7 +240,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, slack: int = 0,
     pieces = sequences(items, window)
     blocks = max(1, -(-int(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     part = lambda k: _block(pieces.filter(F.pmod(F.xxhash64("seq", "item_id"), F.lit(blocks)) == k), window)
-    index = build_index(docs)
+    index = build_index(docs, shard_words)
     kinds = pa.schema([("shard", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
 
     def searched(block: Sequences) -> DataFrame:
@@ -247,10 +249,9 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, slack: int = 0,
         def run(batches):
             for b in batches:
                 for k in range(b.num_rows):
-                    s = {n: b.column(j)[k].as_py() for j, n in enumerate(("row_ids", "lengths", "terms", "ends", "positions"))}
-                    key = xxhash.xxh3_64_intdigest(s["positions"] + np.array([x or 0 for x in s["row_ids"]], np.int64).tobytes()) >> 1
+                    s = {n: b.column(n)[k].as_py() for n in b.schema.names}
                     spans = _spans(s, shared.value, slack, rarest)
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(spans), pa.int64()), pa.array(range(len(spans)), pa.int32()), pa.array(s["row_ids"], pa.int64()), pa.array(s["lengths"], pa.int64()), pa.array(spans, kinds.field("spans").type)], schema=kinds)
+                    yield pa.RecordBatch.from_arrays([pa.array([s["shard"]] * len(spans), pa.int64()), pa.array(range(len(spans)), pa.int32()), pa.array(s["row_ids"], pa.int64()), pa.array(s["lengths"], pa.int64()), pa.array(spans, kinds.field("spans").type)], schema=kinds)
 
         return index.mapInArrow(released(run), f"shard long, row int, doc_id long, n_words long, spans array<{SPAN}>")
 
