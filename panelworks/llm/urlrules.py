@@ -3,7 +3,7 @@
 Urls become sets of tokens: labels of the host, segments of the path, keys of the query. FP-growth mines the combinations that stand
 together with the label ``block`` in a labelled table; those of enough support and confidence, without the ones that a shorter rule makes
 needless, become rules. An index from a rule's rarest token to the rule finds candidates; a rule fires where
-all its tokens are in the url. Fixed rules of hosts and paths come first.
+all its tokens are in the url. Fixed rules of hosts and paths come first. Tokens that never part, as the keys of a search or of a tracker, are mined as one.
 
 Defined results: a NULL url, or one without ``://``, has an empty host and path and no tokens, matches no rule and is allowed; without labelled rows, or if no
 rule is good enough, nothing is blocked but by fixed rules; very long urls are read whole; of several rules that fit the surest counts, of equally sure ones it makes no
@@ -12,6 +12,7 @@ difference; repeated rows each get a verdict. Other columns are never read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -45,33 +46,54 @@ def tokens_of(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, support: float | None = None, confidence: float = 0.5, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """Rules (rule_id, tokens, confidence, support, rarest) from all rows of ``labelled`` (url, blocked boolean, key).
+    """Rules (rule_id, tokens, any, confidence, support, rarest) from all rows of ``labelled`` (url, blocked boolean, key).
 
     A rule's tokens stand together with the block mark in ``least_rows`` rows, or in the share ``support`` of the rows if that is given. Rules that
     a shorter one makes needless go, so of the many combinations of a host that is always blocked few stay.
+
+    Tokens that stand in the same rows are mined as one, named by the first of them, and so are no combinations of their own: a rule fires where for each of its ``tokens`` one
+    of those that it stands for (``any``) is in the url. A token that is blocked each time is a rule that no longer one betters, and takes no part in combinations.
     """
     rows = labelled.filter("url is not null and blocked is not null and key is not null")
-    rows = stored(rows.select(F.concat(tokens_of(F.col("url")), F.when(F.col("blocked"), F.array(F.lit(MARK))).otherwise(F.array().cast("array<string>"))).alias("items")).filter(F.size("items") > 0))
-    if support is None:
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("r"), "blocked", tokens_of(F.col("url")).alias("items")))
+    n = rows.count()
+    least = least_rows if support is None else max(1, math.ceil(support * n))
+    each = rows.select("r", "blocked", F.explode("items").alias("name"))
+    tokens = each.groupBy("name").agg(F.count("*").alias("freq"), F.count_if("blocked").alias("marked"), F.bit_xor(F.xxhash64("r")).alias("x"), F.bit_xor(F.xxhash64("r", F.lit(1))).alias("y"))
+    alike = tokens.filter(F.col("marked") >= least).groupBy("freq", "marked", "x", "y").agg(F.sort_array(F.collect_list("name")).alias("any"))
+    classes = stored(alike.select(F.col("any")[0].alias("name"), "any", "freq", "marked"))
+    levels = [stored(classes.select(F.array("name").alias("tokens"), (F.col("marked") / F.col("freq")).alias("confidence"), "marked", F.lit(0.0).alias("best")))]
+
+    # FP-growth keeps the frequent tokens in the driver itself, so they may go out whole.
+    open_ = classes.filter("marked < freq").select("name")
+    kept = stored(each.join(F.broadcast(open_), "name").groupBy("r", "blocked").agg(F.collect_list("name").alias("names")))
+    transactions = kept.select(F.concat("names", F.when(F.col("blocked"), F.array(F.lit(MARK))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    many = kept.count()
+    if many:
         # Half a row less, so that the share times the rows, rounded up again, is the count.
-        support = min(1.0, (least_rows - 0.5) / max(1, rows.count()))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
-    found = model.associationRules.filter(F.array_contains("consequent", MARK))
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rules = stored(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.xxhash64("tokens")))
-    short = rules.select(F.col("tokens").alias("less"), F.col("confidence").alias("c"), F.size("tokens").alias("n"))
-    # A rule goes if one with a part of its tokens is as sure; parts are met through their first token.
-    near = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token")).join(short.withColumn("token", F.col("less")[0]), "token")
-    needless = near.filter((F.col("n") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("less", "tokens")) == 0)).select("rule_id").distinct()
-    rules = rules.join(needless, "rule_id", "left_anti")
-    rare = rules.select("rule_id", F.explode("tokens").alias("token")).join(single, "token").groupBy("rule_id").agg(F.min(F.struct("freq", "token")).alias("r"))
-    return rules.join(rare, "rule_id").select("rule_id", "tokens", "confidence", "support", F.col("r.token").alias("rarest"))
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / many)).fit(transactions)
+        sets = stored(model.freqItemsets.select(F.array_sort(F.array_remove("items", MARK)).alias("tokens"), F.array_contains("items", MARK).alias("mark"), "freq").filter(F.size("tokens") > 1))
+        marked = sets.filter("mark").select("tokens", F.col("freq").alias("marked"))
+        sets = stored(marked.join(sets.filter("not mark").select("tokens", "freq"), "tokens").withColumn("confidence", F.col("marked") / F.col("freq")))
+        for k in range(2, (sets.agg(F.max(F.size("tokens"))).first()[0] or 1) + 1):
+            # Every part of a frequent set is one, so the surest part is found a level at a time.
+            parts = sets.filter(F.size("tokens") == k).withColumn("token", F.explode("tokens")).withColumn("part", F.array_remove("tokens", F.col("token")))
+            before = levels[-1].select(F.col("tokens").alias("part"), F.greatest("confidence", "best").alias("b"))
+            levels.append(stored(parts.join(before, "part").groupBy("tokens", "confidence", "marked").agg(F.max("b").alias("best"))))
+    rules = levels[0]
+    for level in levels[1:]:
+        rules = rules.unionByName(level)
+    rules = rules.filter((F.col("confidence") >= confidence) & (F.col("best") < F.col("confidence"))).withColumn("rule_id", F.xxhash64("tokens"))
+    of = rules.select("rule_id", "tokens", "confidence", "marked", F.explode("tokens").alias("name")).join(classes.select("name", "any", "freq"), "name")
+    found = of.groupBy("rule_id", "tokens", "confidence", "marked").agg(F.min(F.struct("freq", "name", "any")).alias("r"), F.collect_list("any").alias("any"))
+    return found.select("rule_id", "tokens", "any", "confidence", (F.col("marked") / max(1, n)).alias("support"), F.col("r.any").alias("rarest"))
 
 
 def fired(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, confidence): urls of ``urls`` (distinct) that a rule fits, with the surest one."""
-    met = urls.select("url", tokens_of(F.col("url")).alias("all")).select("url", "all", F.explode("all").alias("rarest")).join(rules, "rarest")
-    return met.filter(F.size(F.array_except("tokens", "all")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
+    """(url, confidence): urls of ``urls`` (distinct) that a rule fits, with the surest one. A rule is met through each token that its rarest one stands for."""
+    index = rules.select("any", "confidence", F.explode("rarest").alias("token"))
+    met = urls.select("url", tokens_of(F.col("url")).alias("all")).select("url", "all", F.explode("all").alias("token")).join(index, "token")
+    return met.filter(F.forall("any", lambda a: F.arrays_overlap(a, F.col("all")))).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def fixed(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:

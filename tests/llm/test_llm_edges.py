@@ -1,6 +1,7 @@
 """Each operator on nulls, empty and long texts, repeated rows, ties, empty tables and extra columns."""
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,28 @@ def test_media(spark, docs, empty):
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "com", "/de/")]
 
 
+def test_equal_shards_over_several_blocks(spark):
+    long = " ".join(f"w{i}" for i in range(3000))
+    docs = spark.createDataFrame([(1, long), (1, long), (2, "a b"), (2, "a b"), (None, long)], "doc_id long, text string").repartition(1)
+    items = spark.createDataFrame([("x", long[:400]), ("y", "a b"), ("z", "w7 w8 w9")], "item_id string, text string")
+    results = []
+    for chars in (20_000_000, 5):
+        index = decontam.build_index(docs, shard_words=1000)
+        assert index.select("shard").distinct().count() == index.count() >= 3
+        found = decontam.matches(docs, items, window=5, block_chars=chars, shard_words=1000)
+        results.append(sorted(map(tuple, decontam.summary(found).collect()), key=repr))
+    assert results[0] == results[1] and [r[0] for r in results[0]] == [1, 1, 2, 2, None]
+
+
+def test_toxicity_of_a_long_text_with_many_exceptions():
+    model = toxicity.ToxModel({"nasty": 2.0}, ["not nasty", "quite not nasty at all"], (-3.0, 1.0, 1.0))
+    m = toxicity.Matcher(model)
+    text = "a nasty word and not nasty, quite not nasty at all. " * 20_000  # 1 MB
+    began = time.time()
+    n, _ = m.score(text)
+    assert n == 20_000 and time.time() - began < 5
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, "http://A.Example.org/es/1", "x"), (2, "https://x.com/de/2?q=1", "x"), (3, None, "x"), (4, "no scheme", "x"), (5, "ftp://notorg", "x"), (6, "http://example.org?x", "x"), (2, "https://x.com/de/2?q=1", "x")], "page_id long, url string, verdict string")
     labels = spark.createDataFrame([(i, True) for i in (1, 2)] + [(3, False)], "page_id long, blocked boolean")
@@ -186,6 +209,21 @@ def test_urls_mined_in_the_long_tail(spark):
     assert got == {i: "block" if 3000 <= i < 4000 else "allow" for i, _ in rows}
 
 
+def test_urls_with_many_shared_keys(spark):
+    # 12 labelled urls of one tracker share 40 keys; half of another one's, with 200 keys, are blocked.
+    keys = lambda name, n: "&".join(f"{name}{k}=1" for k in range(n))
+    rows = [(i, f"http://t.example.com/c?{keys('k', 40)}&only{i}=2") for i in range(12)] + [(100 + i, f"http://s.example.com/{'odd' if i % 2 else 'even'}?{keys('z', 200)}") for i in range(24)]
+    rows += [(200, "http://other.org/?k7=1"), (201, "http://other.org/?z9=1"), (202, "http://other.org/odd?z9=1")]
+    labels = spark.createDataFrame([(i, i < 12 or i % 2 == 1) for i, _ in rows if i < 200], "page_id long, blocked boolean")
+    began = time.time()
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = urlrules.mine(pages.join(labels, "page_id").select("url", "blocked", F.col("page_id").alias("key"))).collect()
+    got = {r["page_id"]: (r["verdict"], r["confidence"]) for r in urlrules.judge(pages, labels, []).collect()}
+    assert time.time() - began < 60 and len(rules) < 10
+    assert all(got[i] == ("block", 1.0) for i in (*range(12), 200, 202, *range(101, 124, 2)))
+    assert all(got[i] == ("block", pytest.approx(24 / 36)) for i in range(100, 124, 2)) and got[201] == ("block", 0.5)  # example.com is blocked in 24 of 36
+
+
 def brute_lines(rows, least, keep):
     count, first = {}, {}
     for i, t in rows:
