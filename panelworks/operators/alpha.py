@@ -281,25 +281,35 @@ Model = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 def custom_models(features: DataFrame, models: dict[str, Model], x: Sequence[str] = FEATURES, window: int = 252, least: int = 60, s: Series = S) -> DataFrame:
     """(key, order, model, mu) on rebalance days, of functions (X, y, X_new) -> predictions; one that fails predicts 0.
 
-    Each rebalance row carries the last ``window`` rows before it, so this costs ``window`` times the data of those days.
+    Series stream through their partition in order, and the last ``window`` rows of one are carried along, so that each row is shuffled and read once. Rows without a target
+    take their place in the window and are not fitted on.
     """
-    rows = features.withColumn("_y", forward("ret", 1, s)).withColumn("_x", F.array(*[F.col(c).cast("double") for c in x]))
-    past = F.filter(F.collect_list(F.struct("_x", "_y")).over(s.rows(-window, -1)), lambda r: r["_y"].isNotNull())
-    rows = rows.withColumn("_past", past).filter(is_rebalance_day(F.col(s.order))).select(s.key, s.order, "_x", "_past")
     kinds = dict(features.dtypes)
+    rows = features.repartition(s.key).withColumn("_y", forward("ret", 1, s)).withColumn("_now", is_rebalance_day(F.col(s.order)))
+    rows = rows.sortWithinPartitions(s.key, s.order).select(s.key, s.order, "_now", "_y", *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(x)])
+
+    def forecasts(past: np.ndarray, now: np.ndarray):
+        past = past[~np.isnan(past[:, 0])]
+        for name, model in models.items():
+            mu = 0.0
+            if len(past) >= least:
+                try:
+                    mu = float(model(past[:, 1:], past[:, 0], now[None, 1:])[0])
+                except Exception:  # the caller's model: a failure is a forecast of 0
+                    mu = 0.0
+            yield name, mu if np.isfinite(mu) else 0.0
 
     def run(frames):
+        last, tail = None, np.zeros((0, len(x) + 1))
         for f in frames:
             out = []
-            for key, t, now, past in zip(f[s.key], f[s.order], f["_x"], f["_past"], strict=True):
-                for name, model in models.items():
-                    mu = 0.0
-                    if len(past) >= least:
-                        try:
-                            mu = float(model(np.array([p["_x"] for p in past]), np.array([p["_y"] for p in past]), np.array([now], float))[0])
-                        except Exception:  # the caller's model: a failure is a forecast of 0
-                            mu = 0.0
-                    out.append((key, t, name, mu if np.isfinite(mu) else 0.0))
+            for key, part in f.groupby(s.key, sort=False, dropna=False):
+                ring = np.vstack([tail if key == last else tail[:0], part.iloc[:, 3:].to_numpy(float)])
+                first = len(ring) - len(part)
+                for k in np.flatnonzero(part["_now"].to_numpy(bool)):
+                    now = first + k
+                    out += [(key, part[s.order].iloc[k], name, mu) for name, mu in forecasts(ring[max(0, now - window) : now], ring[now])]
+                last, tail = key, ring[max(0, len(ring) - window) :]
             yield pd.DataFrame(out, columns=[s.key, s.order, "model", "mu"])
 
     return rows.mapInPandas(run, f"{s.key} {kinds[s.key]}, {s.order} {kinds[s.order]}, model string, mu double")

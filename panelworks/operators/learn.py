@@ -5,7 +5,7 @@ Rows stay on Spark; each step is one aggregation, and only vectors of as many nu
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelworks.functions.scalar import linear, sigmoid
-from panelworks.operators.linear import gram, square
+from panelworks.operators.linear import triangular
 from panelworks.operators.stats import batch_of, log_loss
-from panelworks.sources.shared import checkpointed
+from panelworks.sources.shared import checkpointed, written
 
 
 def gram_of_vectors(df: DataFrame, x: str = "x") -> DataFrame:
@@ -132,25 +132,102 @@ def adam(lr: float, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8) -> Op
     return Optimizer(lambda d: (np.zeros(d), np.zeros(d)), step)
 
 
-def train_minibatch(df: DataFrame, x: Sequence[str], y: str, row_id: str, optimizer: Optimizer, batch_size: int = 64, epochs: int = 1, l2: float = 0.0, w0: Sequence[float] | None = None) -> tuple[np.ndarray, list[float]]:
-    """Mini-batch descent: (weights, loss after each epoch). Rows are dealt anew each epoch by a hash; a step reads its batch alone."""
-    df = df.select(row_id, y, *x).persist()
-    n = df.count()
-    w = np.zeros(len(x) + 1) if w0 is None else np.array(w0, float)
-    state, t, losses = optimizer.start(len(w)), 0, []
-    batches = max(1, -(-n // batch_size))
-    for epoch in range(1, epochs + 1):
-        dealt = df.withColumn("batch", batch_of(row_id, epoch, batches)).repartition("batch").persist()
-        for b in range(batches):
-            g, _, rows = _gradient(dealt.filter(F.col("batch") == b), x, y, w, l2)
-            if rows:
+#: Rows times epochs that one job deals out and streams; a job takes whole epochs, one at least.
+ROWS_AT_ONCE = 20_000_000
+
+
+def _fold(optimizers: Mapping[str, Optimizer], d: int, l2: float, states: Mapping[str, tuple]):
+    """Runs down a stream of batches in order of (model, epoch, batch): the weights and the optimizer's state pass from batch to batch, and go out where an epoch ends."""
+
+    def run(streams):
+        model = epoch = None
+        w, state, t = np.zeros(d), (), 0
+
+        def ended():
+            return pa.RecordBatch.from_pydict({"model": [model], "epoch": [epoch], "t": [t], "w": [w.tolist()], "state": [[v.tolist() for v in state]]}, schema=schema)
+
+        schema = pa.schema([("model", pa.string()), ("epoch", pa.int32()), ("t", pa.int64()), ("w", pa.list_(pa.float64())), ("state", pa.list_(pa.list_(pa.float64())))])
+        for b in streams:
+            rows = b.column("rows")
+            values = rows.flatten().field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            ends = rows.offsets.to_numpy() - rows.offsets[0].as_py()
+            for k, (m, e) in enumerate(zip(b.column("model").to_pylist(), b.column("epoch").to_pylist(), strict=True)):
+                if (m, e) != (model, epoch):
+                    if model is not None:
+                        yield ended()
+                    if m != model:
+                        w, state, t = states[m]
+                    model, epoch = m, e
+                part = values[ends[k] : ends[k + 1]]
+                y, x = part[:, 0], part[:, 1:]
+                off = 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -40, 40))) - y
+                g = np.concatenate([[off.sum()], off @ x]) / len(y)
+                g[1:] += l2 / len(y) * w[1:]
                 t += 1
-                change, state = optimizer.step(state, g, t)
+                change, state = optimizers[model].step(state, g, t)
                 w = w + change
-        dealt.unpersist()
-        losses.append(_gradient(df, x, y, w, 0.0)[1])
-    df.unpersist()
-    return w, losses
+        if model is not None:
+            yield ended()
+
+    return run
+
+
+def _losses(rows: DataFrame, y: str, x: Sequence[str], ws: np.ndarray) -> np.ndarray:
+    """The log-loss of every weight vector in one pass; each task sends one number a vector."""
+
+    def run(batches):
+        total, n = np.zeros(len(ws)), 0
+        for b in batches:
+            a = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            for at in range(0, len(a), 65_536):
+                part = a[at : at + 65_536]
+                p = np.clip(1 / (1 + np.exp(-np.clip(part[:, 1:] @ ws[:, 1:].T + ws[:, 0], -40, 40))), 1e-12, 1 - 1e-12)
+                total -= part[:, 0] @ np.log(p) + (1 - part[:, 0]) @ np.log(1 - p)
+            n += len(a)
+        yield pa.RecordBatch.from_pydict({"k": np.arange(len(ws)), "n": np.full(len(ws), n), "loss": total})
+
+    found = rows.select(y, *x).mapInArrow(run, "k long, n long, loss double").groupBy("k").agg(F.try_divide(F.sum("loss"), F.sum("n")).alias("loss")).collect()
+    out = np.full(len(ws), np.nan)
+    for r in found:
+        out[r["k"]] = r["loss"] if r["loss"] is not None else np.nan
+    return out
+
+
+def train_streams(df: DataFrame, x: Sequence[str], y: str, row_id: str, optimizers: Mapping[str, Optimizer], batch_size: int = 64, epochs: int = 60, l2: float = 0.0, w0: Sequence[float] | None = None) -> dict[str, list[tuple[np.ndarray, float]]]:
+    """Mini-batch descent of many models side by side: for each, the weights and the loss over all rows after each epoch.
+
+    Rows are dealt anew each epoch by a hash (``batch_of``). Batches become rows of a stream that is partitioned by model and sorted by (epoch, batch); a fold
+    runs down it, so a step costs no job. A model's steps depend on one another, so its stream is one task, which holds one Arrow batch of it at a time; models
+    run in parallel. A job takes as many whole epochs as ``ROWS_AT_ONCE`` allows and the next one begins with its weights and states (a few times d numbers), so a lost
+    executor costs one job's epochs. Rows with a NULL are left out; without rows weights stay as they began and losses are NaN.
+    """
+    d = len(x) + 1
+    rows = written(df.select(F.col(row_id), *[F.col(c).cast("double").alias(c) for c in [y, *x]]).dropna())
+    n = rows.count()
+    start = np.zeros(d) if w0 is None else np.array(w0, float)
+    states = {m: (start, o.start(d), 0) for m, o in optimizers.items()}
+    after: dict[str, list[np.ndarray]] = {m: [] for m in optimizers}
+    batches, step = max(1, -(-n // batch_size)), max(1, ROWS_AT_ONCE // max(1, n))
+    for first in range(1, epochs + 1, step):
+        last = min(epochs, first + step - 1)
+        dealt = rows.withColumn("epoch", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("batch", batch_of(row_id, F.col("epoch"), batches))
+        packed = dealt.groupBy("epoch", "batch").agg(F.sort_array(F.collect_list(F.struct(F.col(row_id).alias("id"), F.array(y, *x).alias("v")))).alias("rows"))
+        stream = written(packed).withColumn("model", F.explode(F.array(*[F.lit(m) for m in optimizers])))
+        stream = stream.repartitionByRange(len(optimizers), "model").sortWithinPartitions("model", "epoch", "batch").select("model", "epoch", "rows")
+        found = stream.mapInArrow(_fold(optimizers, d, l2, states), "model string, epoch int, t long, w array<double>, state array<array<double>>").collect()
+        for r in sorted(found, key=lambda r: r["epoch"]):
+            after[r["model"]].append(np.array(r["w"]))
+            states[r["model"]] = (np.array(r["w"]), tuple(np.array(v) for v in r["state"]), r["t"])
+    for m in optimizers:
+        after[m] += [start] * (epochs - len(after[m]))
+    losses = iter(_losses(rows, y, x, np.array([w for m in optimizers for w in after[m]]).reshape(-1, d)))
+    return {m: [(w, float(next(losses))) for w in after[m]] for m in optimizers}
+
+
+def train_minibatch(df: DataFrame, x: Sequence[str], y: str, row_id: str, optimizer: Optimizer, batch_size: int = 64, epochs: int = 1, l2: float = 0.0, w0: Sequence[float] | None = None) -> tuple[np.ndarray, list[float]]:
+    """``train_streams`` for one optimizer: (weights, loss after each epoch)."""
+    steps = train_streams(df, x, y, row_id, {"one": optimizer}, batch_size, epochs, l2, w0)["one"]
+    return steps[-1][0], [loss for _, loss in steps]
 
 
 # -- k-means ------------------------------------------------------------------------------------
@@ -247,11 +324,11 @@ class Pca:
 
 
 def pca(df: DataFrame, columns: Sequence[str], k: int) -> Pca:
-    """From one pass of covariances. Of each component the largest loading is positive."""
-    m = gram(df, columns).first()
-    cov = square(np.array(m["cov"]), len(columns))
-    values, vectors = np.linalg.eigh(cov)
-    order = np.argsort(values)[::-1]
-    v = vectors[:, order].T[:k]
+    """From one pass of triangular factors: the singular values are those of the centred rows. Of each component the largest loading is positive."""
+    m = triangular(df, columns).first()
+    r = np.array(m["r"]).reshape(len(columns) + 1, len(columns) + 1)
+    # The first column is the constant, so what stands below the first row is the factor of the rows less their means.
+    _, values, vectors = np.linalg.svd(r[1:, 1:])
+    v = vectors[:k]
     v = v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None]
-    return Pca(np.array(m["mean"]), v, values[order] / values.sum())
+    return Pca(r[0, 1:] / r[0, 0], v, values**2 / (values**2).sum())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelworks.functions.panel import ANNUAL, S, Series, drawdown, growth
 from panelworks.functions.scalar import clip, nonzero
+from panelworks.sources.shared import written
 
 # -- performance --------------------------------------------------------------------------------
 
@@ -155,15 +156,53 @@ def time_split(df: DataFrame, frac: float = 0.7, s: Series = S) -> DataFrame:
     return numbered(df, s).withColumn("split", F.when(F.col("i") < F.floor(F.col("n") * frac), "train").otherwise("test"))
 
 
+#: Bits of the hash that one pass of ``hash_cuts`` looks at, and rows of a class that it orders in the end.
+CUT_BITS, CUT_ROWS = 12, 10_000
+
+
+def hash_cuts(df: DataFrame, label: str, row_id: str, share: float, seed: int = 0) -> DataFrame:
+    """(label, h, id): of each class the hash and id of the last of its first round(share * n) rows by (hash, id); classes of which none is taken are left out.
+
+    A class is counted by the leading bits of the hash; the bucket in which the cut lies is counted by the next bits, until it holds few rows, and those alone are
+    ordered. So no class is sorted, whatever its size: a pass sends at most 2^``CUT_BITS`` rows for each class and task.
+    """
+    rows = df.select(F.col(label).alias("label"), F.col(row_id).alias("id"), F.xxhash64(F.col(row_id), F.lit(seed)).alias("h"))
+    shift = 64 - CUT_BITS
+    counts = written(rows.groupBy("label", F.shiftright("h", shift).alias("b")).agg(F.count("*").alias("n")))
+    cuts = counts.groupBy("label").agg(F.round(F.sum("n") * share).cast("long").alias("k")).filter("k > 0")
+    below = Window.partitionBy("label").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        counts = counts.withColumnRenamed("label", "_l").join(cuts, F.col("_l").eqNullSafe(F.col("label"))).drop("_l")
+        counts = counts.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0)))
+        cuts = written(counts.filter((F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("n"))).select("label", (F.col("k") - F.col("before")).alias("k"), "b", "n"))
+        of = (F.col("_l").eqNullSafe(F.col("label"))) & (F.shiftright("h", shift) == F.col("b"))
+        inside = rows.withColumnRenamed("label", "_l").join(few(cuts.drop("n")), of)
+        if shift == 0 or (cuts.agg(F.max("n")).first()[0] or 0) <= CUT_ROWS:
+            break
+        shift = max(0, shift - CUT_BITS)
+        counts = written(inside.groupBy("label", F.shiftright("h", shift).alias("b")).agg(F.count("*").alias("n")))
+        cuts = cuts.select("label", "k")
+    upto = Window.partitionBy("label").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
+    ids = inside.groupBy("label", "k", "h", "id").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(upto))
+    return ids.filter("upto >= k").groupBy("label").agg(F.min(F.struct("h", "id")).alias("_c")).select("label", "_c.h", "_c.id")
+
+
+def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` to be sent to all tasks if it has at most so many rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def stratified_split(df: DataFrame, label: str, row_id: str, test: float = 0.3, seed: int = 0, exact: bool = True) -> DataFrame:
-    """``split`` within each class by a hash of the row's id: round(test * n) test rows, or with ``exact`` False about as many and no sort."""
+    """``split`` within each class by a hash of the row's id: round(test * n) test rows, or with ``exact`` False about as many.
+
+    Rows of a NULL class are a class; rows that share an id go together, so a class may then have a few test rows more.
+    """
     h = F.xxhash64(F.col(row_id), F.lit(seed))
-    if exact:
-        w = Window.partitionBy(label)
-        is_test = F.row_number().over(w.orderBy(h, row_id)) <= F.round(F.count("*").over(w) * test)
-    else:
-        is_test = F.pmod(h, F.lit(1_000_000)) < int(test * 1_000_000)
-    return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
+    if not exact:
+        return df.withColumn("split", F.when(F.pmod(h, F.lit(1_000_000)) < int(test * 1_000_000), "test").otherwise("train"))
+    cuts = written(hash_cuts(df, label, row_id, test, seed)).select(F.col("label").alias("_l"), F.col("h").alias("_h"), F.col("id").alias("_id"))
+    rows = df.join(few(cuts), F.col("_l").eqNullSafe(F.col(label)), "left")
+    return rows.withColumn("split", F.when((h < F.col("_h")) | ((h == F.col("_h")) & (F.col(row_id) <= F.col("_id"))), "test").otherwise("train")).drop("_l", "_h", "_id")
 
 
 def expanding_folds(df: DataFrame, k: int, s: Series = S) -> DataFrame:
@@ -174,9 +213,10 @@ def expanding_folds(df: DataFrame, k: int, s: Series = S) -> DataFrame:
     return rows.withColumn("fold", F.when((F.col("i") >= first) & (test > 0), F.floor((F.col("i") - first) / test)).cast("int"))
 
 
-def batch_of(row_id: str, epoch: int, batches: int) -> Column:
+def batch_of(row_id: str, epoch: int | Column, batches: int) -> Column:
     """Number of a row's batch: a hash of id and epoch that other engines have too."""
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(epoch)))), 1, 8), 16, 10).cast("long")
+    epoch = F.lit(epoch) if isinstance(epoch, int) else epoch
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(row_id).cast("string"), epoch.cast("string"))), 1, 8), 16, 10).cast("long")
     return F.pmod(h, F.lit(batches)).cast("int")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,20 +13,38 @@ from panelworks.functions.panel import ANNUAL, Series, carried
 from panelworks.functions.scalar import clip
 
 
+def by_date(cov: DataFrame) -> DataFrame:
+    """(dt, covs): the tiles of a date (``risk.ewma_cov_tiles``), or its pairs as tiles of one cell. A date holds as many numbers as its assets squared."""
+    if "assets_a" not in cov.columns:
+        cov = cov.select("dt", F.array("asset_a").alias("assets_a"), F.array("asset_b").alias("assets_b"), F.array("cov").alias("cov"))
+    return cov.groupBy("dt").agg(F.collect_list(F.struct("assets_a", "assets_b", "cov")).alias("covs"))
+
+
+def whole_dates(cov: DataFrame, n: int) -> DataFrame:
+    """Dates on which all pairs of ``n`` assets have a covariance."""
+    if "assets_a" not in cov.columns:
+        return cov.groupBy("dt").agg(F.count("*").alias("n")).filter(F.col("n") == n * (n + 1) // 2).select("dt")
+    cells = F.size(F.filter("cov", lambda v: v.isNotNull()))
+    # A tile beside itself holds its pairs twice.
+    return cov.groupBy("dt").agg(F.sum(F.when(F.col("tile_a") == F.col("tile_b"), cells).otherwise(2 * cells)).alias("n")).filter(F.col("n") == n * n).select("dt")
+
+
 def per_date(mu: DataFrame, cov: DataFrame) -> DataFrame:
-    """(dt, mus, covs): the vectors of a date as arrays, assets in order. A date holds as many numbers as its assets squared."""
+    """(dt, mus, covs): the vectors of a date as arrays, assets in order, and its covariances."""
     m = mu.groupBy("dt").agg(F.array_sort(F.collect_list(F.struct("asset", "mu"))).alias("mus"))
-    c = cov.groupBy("dt").agg(F.collect_list(F.struct("asset_a", "asset_b", "cov")).alias("covs"))
-    return m.join(c, "dt")
+    return m.join(by_date(cov), "dt")
 
 
 def dense(assets: Sequence[str], covs) -> np.ndarray:
+    """The matrix of ``assets`` from a date's tiles; 0 where it has none."""
     at = {a: k for k, a in enumerate(assets)}
     out = np.zeros((len(at), len(at)))
     for r in covs:
-        a, b = at.get(r["asset_a"]), at.get(r["asset_b"])
-        if a is not None and b is not None:
-            out[a, b] = out[b, a] = r["cov"]
+        i, j = (np.array([at.get(a, -1) for a in r[c]]) for c in ("assets_a", "assets_b"))
+        m = np.nan_to_num(np.array(r["cov"], float).reshape(len(i), len(j)))[np.ix_(i >= 0, j >= 0)]
+        i, j = i[i >= 0], j[j >= 0]
+        out[np.ix_(i, j)] = m
+        out[np.ix_(j, i)] = m.T
     return out
 
 
@@ -66,6 +84,15 @@ def mean_variance(mu: DataFrame, cov: DataFrame, gross_cap: float | None = 1.5,
     return _solve(mu, cov, lambda m, s: capped(np.linalg.pinv(s, rcond=1e-10) @ m, gross_cap, asset_cap))
 
 
+def mean_variance_books(mu: DataFrame, cov: DataFrame, gross_caps: Mapping[str, float], asset_cap: float | None = None) -> DataFrame:
+    """(book_id, dt, asset, w): ``mean_variance`` of many caps on the sum of sizes from one solution of each date."""
+    one = mean_variance(mu, cov, None, asset_cap)
+    gross = F.sum(F.abs("w")).over(Window.partitionBy("dt"))
+    books = F.explode(F.array(*[F.struct(F.lit(b).alias("book_id"), F.lit(float(g)).alias("cap")) for b, g in gross_caps.items()]))
+    rows = one.withColumn("gross", gross).withColumn("b", books)
+    return rows.select("b.book_id", "dt", "asset", F.when(F.col("gross") > F.col("b.cap"), F.col("w") * (F.col("b.cap") / F.col("gross"))).otherwise(F.col("w")).alias("w"))
+
+
 def mean_variance_long(mu: DataFrame, cov: DataFrame, cap: float | None = 0.40) -> DataFrame:
     return _solve(mu, cov, lambda m, s: long_only(np.linalg.solve(s, m), cap))
 
@@ -78,12 +105,20 @@ def beta_neutral(weights: DataFrame, beta: str = "beta", per: Sequence[str] = ("
     return weights.withColumn("w", F.when(den > 1e-12, F.col("w") - num / den * b).otherwise(F.col("w")))
 
 
-def portfolio_variance(weights: DataFrame, cov: DataFrame) -> DataFrame:
-    """(dt, var): w' S w from the upper triangle."""
-    a = weights.select("dt", F.col("asset").alias("asset_a"), F.col("w").alias("wa"))
-    b = weights.select("dt", F.col("asset").alias("asset_b"), F.col("w").alias("wb"))
-    twice = F.when(F.col("asset_a") == F.col("asset_b"), 1.0).otherwise(2.0)
-    return cov.join(a, ["dt", "asset_a"]).join(b, ["dt", "asset_b"]).groupBy("dt").agg(F.sum(twice * F.col("wa") * F.col("wb") * F.col("cov")).alias("var"))
+def portfolio_variance(weights: DataFrame, cov: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., dt, var): w' S w of each date, and of each book if ``by`` names one."""
+    kinds = dict(weights.dtypes)
+    rows = weights.groupBy(*by, "dt").agg(F.array_sort(F.collect_list(F.struct("asset", "w"))).alias("ws")).join(by_date(cov), "dt")
+
+    def run(frames):
+        for frame in frames:
+            var = []
+            for ws, covs in zip(frame["ws"], frame["covs"], strict=True):
+                w = np.array([x["w"] for x in ws], float)
+                var.append(float(w @ dense([x["asset"] for x in ws], covs) @ w))
+            yield frame[[*by, "dt"]].assign(var=var)
+
+    return rows.select(*by, "dt", "ws", "covs").mapInPandas(run, ", ".join([*[f"{c} {kinds[c]}" for c in by], "dt date", "var double"]))
 
 
 def vol_target(weights: DataFrame, cov: DataFrame, target: float = 0.12, cap: float = 0.30) -> DataFrame:
@@ -131,8 +166,7 @@ def blended(books: DataFrame, cov: DataFrame, blend: float = 0.60, asset_cap: fl
 
     Each date needs the result of the one before, so a book is one fold; it reads rebalance dates alone. All that doesn't depend on the path is done before.
     """
-    covs = cov.groupBy("dt").agg(F.collect_list(F.struct("asset_a", "asset_b", "cov")).alias("covs"))
-    rows = books.groupBy("book_id", "dt").agg(F.array_sort(F.collect_list(F.struct("asset", "w", "beta"))).alias("ws")).join(covs, "dt")
+    rows = books.groupBy("book_id", "dt").agg(F.array_sort(F.collect_list(F.struct("asset", "w", "beta"))).alias("ws")).join(by_date(cov), "dt")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out, before = [], {}
@@ -155,10 +189,9 @@ def blended(books: DataFrame, cov: DataFrame, blend: float = 0.60, asset_cap: fl
 
 
 def daily(weights: DataFrame, grid: DataFrame, sticky_zero: bool = True) -> DataFrame:
-    """Rebalance weights carried to all dates of ``grid`` (dt, asset), 0 before the first."""
+    """Rebalance weights carried to all dates of ``grid`` (dt, asset), 0 before the first: a row for each asset that the book ever has a weight of."""
     s = Series("_series", "dt")
-    books = weights.select("book_id").distinct()
-    rows = books.crossJoin(grid.select("dt", "asset").distinct()) if books.limit(2).count() == 1 else weights.select("book_id", "asset").distinct().join(grid.select("dt", "asset").distinct(), "asset")
+    rows = weights.select("book_id", "asset").distinct().join(grid.select("dt", "asset").distinct(), "asset")
     rows = rows.join(weights, ["book_id", "dt", "asset"], "left").withColumn("_series", F.struct("book_id", "asset"))
     return rows.withColumn("w", carried("w", sticky_zero, s)).select("book_id", "dt", "asset", "w")
 

@@ -13,6 +13,7 @@ from panelworks.operators import stats as A
 from panelworks.plans.panel_queries import COSTED, FEAT, PAN, PERF, WEIGHTS, friday_weights, out
 from panelworks.plans.registry import query
 from panelworks.sources.fixtures import CLASS_SQL, REGRESSION_SQL, classification, panel, regression, table
+from panelworks.sources.shared import written
 
 X = ["x1", "x2", "x3", "x4", "x5"]
 REG = "with " + REGRESSION_SQL
@@ -144,19 +145,17 @@ def m7_evaluate(spark, d):
     return out(learn.evaluate(rows, ["x1", "x2"], "y", np.array([0.1, 0.3, -0.2])), keep=("split", "n"))
 
 
-#: Each batch of 64 rows is a job of its own, so the query runs this many epochs; the operator takes any number.
-EPOCHS = 2
+#: Learning rates and stream lengths of the blueprint's run.
+OPTIMIZERS = {"sgd": learn.sgd(0.2), "momentum": learn.momentum(0.15), "adam": learn.adam(0.05)}
+EPOCHS, BATCH = 60, 64
 
 
 @query()
 def m8_optimizers(spark, d):
-    rows = classification(spark, d)
-    parts = None
-    for name, opt in (("sgd", learn.sgd(0.2)), ("momentum", learn.momentum(0.15)), ("adam", learn.adam(0.05))):
-        w, loss = learn.train_minibatch(rows, ["x1", "x2"], "y", "row_id", opt, batch_size=64, epochs=EPOCHS)
-        one = rows.limit(1).select(F.lit(name).alias("optimizer"), *[F.lit(float(x)).alias(f"w{j}") for j, x in enumerate(w)], F.lit(loss[-1]).alias("loss"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    """Weights and loss of three optimizers after each epoch. A step needs the one before, so SQL would recurse once a batch; tests hold it against a plain loop."""
+    found = learn.train_streams(classification(spark, d), ["x1", "x2"], "y", "row_id", OPTIMIZERS, BATCH, EPOCHS)
+    rows = [(name, k, *[round(float(v), 8) + 0.0 for v in w], round(loss, 8) + 0.0) for name, steps in found.items() for k, (w, loss) in enumerate(steps, 1)]
+    return spark.createDataFrame(rows, "optimizer string, epoch int, w0 double, w1 double, w2 double, loss double")
 
 
 def points(spark, d):
@@ -199,22 +198,22 @@ def m10_kmeans(spark, d):
 
 def _pca(spark, d, k=2):
     rows = regression(spark, d)
-    return rows, learn.pca(rows, X[:4], k)
+    return rows, learn.pca(rows, X, k)
 
 
 @query()
 def m11_pca(spark, d):
     rows, m = _pca(spark, d)
-    z = m.scores(X[:4])
+    z = m.scores(X)
     return rows.groupBy("grp").agg(*[r(F.avg(c), 6).alias(f"pc{j + 1}") for j, c in enumerate(z)], *[r(F.stddev_samp(c), 6).alias(f"sd{j + 1}") for j, c in enumerate(z)], F.lit(float(m.ratios[0])).alias("ratio1"))
 
 
 @query()
 def m12_reconstruction(spark, d):
     rows, m = _pca(spark, d)
-    z = rows.withColumns({f"z{j}": c for j, c in enumerate(m.scores(X[:4]))})
+    z = rows.withColumns({f"z{j}": c for j, c in enumerate(m.scores(X))})
     back = m.rebuilt(["z0", "z1"])
-    errors = F.array(*[F.struct(F.col(x).alias("a"), back[j].alias("b")) for j, x in enumerate(X[:4])])
+    errors = F.array(*[F.struct(F.col(x).alias("a"), back[j].alias("b")) for j, x in enumerate(X)])
     return z.select("grp", F.inline(errors)).groupBy("grp").agg(r(A.rmse(F.col("a"), F.col("b")), 6).alias("rmse"))
 
 
@@ -320,12 +319,12 @@ ew as (select a.asset_a, a.asset_b, a.dt, coalesce(sum(0.06 * pow(0.94, a.i - 1
 
 
 def friday_cov(spark, d):
-    return risk.ewma_cov(panel(spark, d), ridge=5e-6)
+    return risk.ewma_cov_tiles(panel(spark, d), ridge=5e-6)
 
 
 @query(PAN + EWMA + " select asset_a, asset_b, cast(dt as varchar) dt, round(cov, 10) + 0.0 as cov from ew")
 def c2_ewma_cov(spark, d):
-    return out(friday_cov(spark, d), 10, ("asset_a", "asset_b"))
+    return out(risk.from_tiles(friday_cov(spark, d)), 10, ("asset_a", "asset_b"))
 
 
 # -- O: weights ---------------------------------------------------------------------------------
@@ -343,18 +342,24 @@ def _mv_sql() -> str:
 MV = _mv_sql() + ", cp as (select dt, k, least(greatest(w, -0.3), 0.3) w from raw), gr as (select *, sum(abs(w)) over (partition by dt) g from cp), mv as (select mu.asset, mu.dt, mu.beta, case when g > 1.5 then w * 1.5 / g else w end w from gr join mu using (dt, k))"
 
 
-def full_dates(mu, cov):
-    """Rows of ``mu`` and ``cov`` of the dates on which all assets of ``mu`` have a forecast, and all their pairs a covariance."""
-    n = mu.agg(F.countDistinct("asset")).first()[0]
-    mu = A.complete_dates(mu, n)
-    whole = cov.groupBy("dt").agg(F.count("*").alias("n")).filter(F.col("n") == n * (n + 1) // 2).select("dt")
-    return mu.join(whole, "dt", "left_semi"), cov.join(whole, "dt", "left_semi")
+def full_dates(mu, cov, n):
+    """Rows of ``mu`` and ``cov`` of the dates on which all ``n`` assets have a forecast, and all their pairs a covariance."""
+    whole = weights.whole_dates(cov, n)
+    return A.complete_dates(mu, n).join(whole, "dt", "left_semi"), cov.join(whole, "dt", "left_semi")
+
+
+def stored_inputs(spark, d):
+    """Features and the number of their assets, written once for all that a book needs of them."""
+    f = written(W.features(panel(spark, d)))
+    return f, f.select("asset").distinct().count()
 
 
 def full_fridays(spark, d):
-    """Momentum as forecast on Fridays that have all assets, and the covariances of those dates."""
-    f = W.features(panel(spark, d)).filter(is_rebalance_day(F.col("dt")))
-    return full_dates(f.select("asset", "dt", F.col("momentum").alias("mu"), F.col("beta_mkt").alias("beta")), friday_cov(spark, d))
+    """Momentum as forecast on Fridays that have all assets, and the covariances of those dates, both written once."""
+    f, n = stored_inputs(spark, d)
+    mu = f.filter(is_rebalance_day(F.col("dt"))).select("asset", "dt", F.col("momentum").alias("mu"), F.col("beta_mkt").alias("beta"))
+    mu, cov = full_dates(mu, written(friday_cov(spark, d)), n)
+    return written(mu), cov
 
 
 def mv(spark, d):
@@ -400,20 +405,14 @@ CAPS = {"g050": 0.5, "g100": 1.0, "g150": 1.5, "g200": 2.0}
 
 
 def many_books(mu, cov):
-    """(book_id, asset, dt, w): mean-variance weights of each cap."""
-    parts = [weights.mean_variance(mu.select("asset", "dt", "mu"), cov, g, 0.3).withColumn("book_id", F.lit(name)) for name, g in CAPS.items()]
-    books = parts[0]
-    for p in parts[1:]:
-        books = books.unionByName(p)
-    return books
+    """(book_id, asset, dt, w): mean-variance weights of each cap, from one solution of each date."""
+    return weights.mean_variance_books(mu.select("asset", "dt", "mu"), cov, CAPS, 0.3)
 
 
 def with_history(books, cov, panel_):
     """``books`` with returns and the volatility that the covariance gives each book and date."""
-    vol = None
-    for name in CAPS:
-        one = weights.portfolio_variance(books.filter(F.col("book_id") == name), cov).select(F.lit(name).alias("book_id"), "dt", (F.sqrt(F.greatest("var", F.lit(0.0))) * 252**0.5).alias("sigma_vol"))
-        vol = one if vol is None else vol.unionByName(one)
+    books = written(books)
+    vol = weights.portfolio_variance(books, cov, ["book_id"]).select("book_id", "dt", (F.sqrt(F.greatest("var", F.lit(0.0))) * 252**0.5).alias("sigma_vol"))
     return books.select("book_id", "asset", "dt", "w").join(vol, ["book_id", "dt"]).join(panel_.select("asset", "dt", "ret"), ["asset", "dt"])
 
 
@@ -431,10 +430,10 @@ def o6_blend(spark, d):
 
 def weekly(spark, d):
     """Daily weights of the books ``ridge`` and ``stacked``, each by its own forecasts of every Friday, and the features."""
-    f, cov, books = W.features(panel(spark, d)), friday_cov(spark, d), None
+    (f, n), cov, books = stored_inputs(spark, d), written(friday_cov(spark, d)), None
     ridge = alpha.walk_forward_ridge(f, only_rebalance=True).select("asset", "dt", F.col("yhat").alias("mu"))
     for name, mu in (("ridge", ridge), ("stacked", alpha.stacked(f).select("asset", "dt", "mu"))):
-        one = weights.weekly_weights(f, *full_dates(mu.filter("mu is not null"), cov), book=name)
+        one = weights.weekly_weights(f, *full_dates(written(mu.filter("mu is not null")), cov, n), book=name)
         books = one if books is None else books.unionByName(one)
     return books, f
 
@@ -499,9 +498,9 @@ def n5_weekly_backtest(spark, d):
 @query()
 def n5_multi_asset(spark, d):
     """Mean-variance books of several caps on daily ridge forecasts and sample covariances, scaled by their own past volatility, after costs."""
-    f = W.features(panel(spark, d))
-    mu, cov = full_dates(alpha.walk_forward_ridge(f).select("asset", "dt", F.col("yhat").alias("mu")), risk.sample_cov(panel(spark, d)))
-    w = weights.history_vol_target(with_history(many_books(mu, cov), cov, f))
+    f, n = stored_inputs(spark, d)
+    mu, cov = full_dates(written(alpha.walk_forward_ridge(f).select("asset", "dt", F.col("yhat").alias("mu"))), written(risk.sample_cov_tiles(panel(spark, d))), n)
+    w = written(weights.history_vol_target(with_history(many_books(mu, cov), cov, f)))
     net = backtest.portfolio_pnl(w, f).select(F.col("book_id").alias("strategy"), "dt", F.col("net").alias("ret"))
     return out(A.performance(net, ["strategy"]), 6, ("strategy",))
 
@@ -611,7 +610,9 @@ def l3_live_run(spark, d):
     p = panel(spark, d)
     mu = alpha.forecast_today(W.features(p, W.LEVEL)).withColumn("dt", F.lit(p.agg(F.max("dt")).first()[0]))
     day = mu.select("dt").limit(1)
-    last = risk.ewma_cov(p, only_rebalance=False).groupBy("asset_a", "asset_b").agg(F.max_by("cov", "dt").alias("cov"))
+    # The last date's covariances need the 252 rows before it of each asset alone.
+    recent = A.last_rows(p.filter("ret is not null"), 253)
+    last = risk.ewma_cov(recent, only_rebalance=False).groupBy("asset_a", "asset_b").agg(F.max_by("cov", "dt").alias("cov"))
     w = weights.mean_variance_long(mu.select("asset", "dt", "mu"), last.crossJoin(F.broadcast(day)))  # one row of one date
     held = live(spark, d).drop("w").join(w.select("asset", "dt", "w"), "asset")
     gate = book.gates(held.select(F.lit("live").alias("book_id"), "asset", (F.col("w") * 500).alias("target"), "current", "vol"), 500.0)
