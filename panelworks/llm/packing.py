@@ -11,8 +11,11 @@ one length tie; the smaller ``uid`` comes first. An empty table gives an empty o
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,31 +28,84 @@ from panelworks.llm.common import released, stored
 
 #: Pieces of a shard: what one task packs at a time.
 SHARD = 16_384
-#: Bytes of text tokenized at a time, and bytes of tokens of known words that a worker keeps.
-LOT, KNOWN = 4_000_000, 64_000_000
+#: Bytes of text tokenized at a time, words that a worker keeps the tokens of, and words that are tokenized in one go.
+LOT, KNOWN, GO = 12_000_000, 600_000, 5_000
 
 #: ASCII white space becomes a blank, at which texts are split: no token of the vocabularies read here crosses it.
 BLANKS = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
+#: Signs that end a word are tokens of their own, so they are split off, and a word with and without them is one.
+SIGNS = "([A-Za-z0-9À-ÖØ-öø-ÿ])([!-&(-;=?@\\[-`{}~]+)( |$)"
+#: Words of letters that the normalizations below only lower-case.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Steps of a tokenizer for which such a word, lower-cased, reaches the merges as it is.
+STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: How byte-level models write bytes: printable ones as they are, the others from 256 on.
+BYTE_CHARS = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class Words:
-    """Tokens of words between blanks; each distinct word is tokenized once while it is kept."""
+    """Tokens of words between blanks, one array for all; each distinct word is tokenized once while it is kept.
+
+    Words of plain letters go to the tokenizer's merges at once where its other steps (``STEPS``) leave them as they are. The others are tokenized whole, many at a time, with a
+    special token between them, at which the tokenizer parts a text before all else; those that might hold a special token go alone.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-
-    def tokens(self, words: list[str]) -> list[bytes]:
-        if self.held > KNOWN:
-            self.known, self.held = {}, 0
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-            self.held += len(w) + len(self.known[w]) + 150
-        return [self.known[w] for w in words]
+        spec = json.loads(self.tokenizer.to_str())
+        steps = tuple([x["type"] for x in (spec[k] or {}).get(each, [])] for k, each in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        self.plain = steps == STEPS and r"[\p{L}]+" in str(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex"))
+        if not self.plain and self._ids(" a  b\n").tolist() != [*self._ids("a").tolist(), *self._ids("b").tolist()]:
+            raise ValueError("a vocabulary whose tokens hold white space can't be read word by word")
+        self.model = self.tokenizer.model
+        self.mark, self.between = next((t["id"], t["content"]) for t in spec["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]))
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.firsts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, plain: list[str], rest: list[str]) -> None:
+        joint, alone = [w for w in rest if "<|" not in w and self.between not in w], [w for w in rest if "<|" in w or self.between in w]
+        found = [[t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS))] for w in plain]
+        ids, sizes = [self.ids, np.fromiter(chain.from_iterable(found), np.uint32)], [self.sizes, np.fromiter(map(len, found), np.int64, len(found))]
+        for k in range(0, len(joint), GO):
+            got = self._ids(self.between.join(joint[k : k + GO]))
+            cuts = np.flatnonzero(got == self.mark)
+            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1)
+            ids.append(got[got != self.mark])
+        for w in alone:
+            ids.append(self._ids(w))
+            sizes.append(np.array([len(ids[-1])]))
+        for w in chain(plain, joint, alone):
+            self.known[w] = len(self.known)
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Each word's place in ``firsts`` and ``sizes``, which say where in ``ids`` its tokens stand."""
+        if len(self.known) > KNOWN:
+            self.forget()
+        plain: dict[str, None] = {}
+        rest: dict[str, None] = {}
+        keys, letters, known = [], LETTERS.fullmatch, self.known
+        for w in words:
+            if self.plain and letters(w):
+                w = w.lower()
+                if w not in known:
+                    plain[w] = None
+            elif w not in known:
+                rest[w] = None
+            keys.append(w)
+        if plain or rest:
+            self._learn(list(plain), list(rest))
+        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
 
 
 _words: dict[str, Words] = {}
@@ -79,11 +135,10 @@ def tokenized(texts: pa.Array, words: Words, end: int) -> tuple[np.ndarray, np.n
     _, offsets, data = texts.buffers()
     ends = np.frombuffer(offsets, "<i8")[texts.offset : texts.offset + len(texts) + 1]
     data = memoryview(data)[ends[0] : ends[-1]].tobytes().translate(BLANKS) if data else b""
-    rows = pc.split_pattern(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).tobytes()), pa.py_buffer(data)), " ")
+    rows = pc.split_pattern(pc.replace_substring_regex(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).tobytes()), pa.py_buffer(data)), SIGNS, r"\1 \2\3"), " ")
     distinct = rows.flatten().dictionary_encode()
-    found = words.tokens(distinct.dictionary.to_pylist())
-    sizes = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
-    ids, firsts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+    found = words.numbers(distinct.dictionary.to_pylist())
+    sizes, firsts, ids = words.sizes[found], words.firsts[found], words.ids
     codes = distinct.indices.to_numpy(zero_copy_only=False)
     each = sizes[codes]
     after = np.cumsum(each)

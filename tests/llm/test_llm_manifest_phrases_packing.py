@@ -180,7 +180,7 @@ def vocabulary():
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-TEXTS = [None, "", "   ", "Hello, World", "a\tb\nc\r\nd", "ΣΑΣ ΟΔΟΣ ς", "é é ́x  y z", "it's we'll I'D", "<|endoftext|> in<|startoftext|>side <|endof text|>", "12 34x 5", "日本語 テキスト", "x" * 9000, "word " * 5000, "\x00\x01 \x1c\x1d\x85 end", "Ǆ ﬁ ß İ"]
+TEXTS = [None, "", "   ", "Hello, World", "a\tb\nc\r\nd", "ΣΑΣ ΟΔΟΣ ς", "é é ́x  y z", "it's we'll I'D", "<|endoftext|> in<|startoftext|>side <|endof text|>", "12 34x 5", "日本語 テキスト", "x" * 9000, "word " * 5000, "\x00\x01 \x1c\x1d\x85 end", "Ǆ ﬁ ß İ", "Éqûe, déjà!! naïve.) ÀÉÎÕÜ ñ. x÷y a×b éß", "J\u030c h\u0331. t\u0308 a\u0301. E\u0301,", "don't. I'LL, x's!? 'tis", "end.<|endoftext|>. a.b.c ... ,,a,, word%%% w### &&&", "ª º µ ſ K Å", "<|STARTOFTEXT|> <| |> a|b>."]
 
 
 def test_tokens_are_those_of_whole_texts(vocabulary):
@@ -192,6 +192,22 @@ def test_tokens_are_those_of_whole_texts(vocabulary):
         assert flat[bounds[k] : bounds[k + 1]].tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1], repr(t[:40])
 
 
+def test_tokens_of_real_texts_and_other_vocabularies(spark, vocabulary):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    whole, words = Tokenizer.from_file(vocabulary), packing.Words(vocabulary)
+    assert words.plain
+    for words.plain in (True, False):  # with and without the short way of plain words
+        words.forget()
+        flat, bounds = packing.tokenized(pa.array(texts), words, 1)
+        for k, t in enumerate(texts):
+            assert flat[bounds[k] : bounds[k + 1]].tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 1]
+    with pytest.raises(ValueError, match="white space"):
+        packing.Words(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_pieces_and_sequences(spark, vocabulary, monkeypatch):
     from tokenizers import Tokenizer
 
