@@ -27,7 +27,7 @@ from panelworks.llm.common import LOWER_TABLE, released, stored
 
 UND = "und"
 #: Bytes of text whose windows are counted together, and bytes of text for each bucket.
-LOT, BUCKET = 16_000_000, 8_000_000
+LOT, BUCKET = 8_000_000, 8_000_000
 #: Parts of a group that each give their best, so that no task ranks a whole group.
 PARTS = 64
 
@@ -215,9 +215,8 @@ def collocations(df: DataFrame, text: str = "text", group: str = "lang", size: i
     longer = longer.select("grp", _part(F.col("at"), F.col("m")).alias("phrase"), "a").groupBy("grp", "phrase").agg(F.max("a").alias("longest"))
     kept = best.join(longer, ["grp", "phrase"], "left").filter(F.col("longest").isNull() | (100 * F.col("longest") < inside * F.col("a")))
 
-    kept = kept.join(found.filter("k = 0").select("grp", F.col("f").alias("n")), "grp")
-    rows = kept.select("grp", "phrase", "a", "b.l", "b.r", "n", "b.score").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    rows = kept.select("grp", "phrase", "a", "b.l", "b.r", "b.score").withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     best_of_part = rows.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "part").orderBy(*order))).filter(F.col("rank") <= top)
     ranked = best_of_part.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
-    return ranked.select("grp", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(found.filter("k = 0").select("grp", F.col("f").alias("n")), "grp").select("grp", "rank", "phrase", "a", "l", "r", "n", "score")
