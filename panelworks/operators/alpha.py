@@ -20,6 +20,7 @@ from panelworks.functions.panel import FEATURES, S, Series, forward
 from panelworks.functions.scalar import complete, dead_zone, is_rebalance_day
 from panelworks.operators.linear import coordinate_descent, ridge_forecast, square
 from panelworks.operators.stats import expanding_folds
+from panelworks.operators.trees import Sets, Table, bin_edges, binned, boosted, forest
 from panelworks.sources.shared import checkpointed
 
 
@@ -275,6 +276,84 @@ def stacked_with_trees(features: DataFrame, x: Sequence[str] = FEATURES, window:
     return out.withColumn("mu", dead_zone(F.col("raw"), bound, least))
 
 
+def stacked_trees(
+    features: DataFrame,
+    x: Sequence[str] = FEATURES,
+    window: int = 252,
+    k: int = 5,
+    min_train: int = 252,
+    ridge_alpha: float = 5.0,
+    lasso_alpha: float = 0.0005,
+    meta_alpha: float = 1.0,
+    bound: float = 0.004,
+    least: float = 0.0005,
+    n_trees: int = 150,
+    forest_depth: int = 4,
+    rounds: int = 200,
+    boost_depth: int = 2,
+    rate: float = 0.05,
+    bins: int = 32,
+    quarter: int = 13,
+    seed: int = 0,
+    s: Series = S,
+) -> DataFrame:
+    """(key, order, raw, mu, the four base forecasts) on every rebalance day with ``min_train`` rows before it: ridge, lasso, forest and boosted trees of a series' own rows.
+
+    For each day the bases are fitted on ``k`` expanding folds of the last ``window`` rows, a meta-ridge on their predictions of the folds, and the bases again on all rows before.
+    A task takes one series and ``quarter`` rebalance days of it with all rows before them, and grows the trees of all its days and folds together. Bins are quantiles of the rows before
+    the task's first day, so nothing looks ahead. Series shorter than ``SHORT`` rows give nothing.
+    """
+    d = len(x)
+    rows = complete(features, x).withColumn("_y", forward("ret", 1, s))
+    rows = rows.withColumn("_known", F.count("_y").over(s.rows(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_now", is_rebalance_day(F.col(s.order)) & (F.col("_known") >= max(min_train, SHORT)) & F.col("_y").isNotNull())
+    days = F.sum(F.col("_now").cast("int"))
+    rows = rows.withColumns({"_q": F.coalesce(days.over(s.rows(Window.unboundedPreceding, -1)), F.lit(0)), "_all": days.over(Window.partitionBy(s.key))}).filter(F.col("_q") < F.col("_all"))
+    # A row is needed by the quarter of the first rebalance day from it on, and by all later ones.
+    rows = rows.withColumn("_part", F.explode(F.sequence(F.floor(F.col("_q") / quarter), F.floor((F.col("_all") - 1) / quarter))))
+    rows = rows.select(s.key, s.order, "_part", "_q", "_now", F.col("_y").cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(x)])
+    upper = [(a, b) for a in range(d) for b in range(a, d)]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(s.order, kind="stable")
+        part = int(frame["_part"].iloc[0])
+        now = np.flatnonzero((frame["_now"] & (frame["_q"] // quarter == part)).to_numpy(bool))
+        a, y = frame[[f"_x{j}" for j in range(d)]].to_numpy(float), frame["_y"].to_numpy(float)
+        known = np.flatnonzero(~np.isnan(y))
+        before = np.searchsorted(known, now)
+        # Known rows first, then the rows to forecast: fits are ranges of the former.
+        xs, ys = np.vstack([a[known], a[now]]), np.concatenate([y[known], np.zeros(len(now))])
+        train, test = [], []
+        for i, h in enumerate(before.tolist()):
+            w = min(window, h)
+            step = w // (k + 1)
+            first = h - k * step
+            train += [(h - w, first + f * step) for f in range(k)] + [(0, h)]
+            test += [(first + f * step, first + (f + 1) * step) for f in range(k)] + [(len(known) + i, len(known) + i + 1)]
+        sets = Sets.of(train, test)
+        edges = bin_edges(a[known[: before[0]]], bins)
+        table = Table(binned(xs, edges), sets, bins)
+        z = xs - xs[0]
+        sums = np.column_stack([np.ones(len(z)), z, ys, *[z[:, i] * z[:, j] for i, j in upper], z * ys[:, None], ys * ys])
+        sums = np.vstack([np.zeros(sums.shape[1]), sums.cumsum(0)])
+        at, slopes = linear_models(_moments(sums[[b for _, b in train]] - sums[[a for a, _ in train]], d), ridge_alpha, lasso_alpha)
+        f, r = sets.test_fit, sets.test_row
+        base = np.column_stack([at[f] + (slopes[f] * z[r][:, None, :]).sum(-1), forest(table, ys, n_trees, forest_depth, seed), boosted(table, ys, rounds, boost_depth, rate)])
+        out = []
+        day, today = f // (k + 1), f % (k + 1) == k
+        for i in range(len(now)):
+            fold = (day == i) & ~today
+            p, v, last = base[fold], ys[r[fold]], base[(day == i) & today][0]
+            mean = p.mean(0)
+            meta = np.linalg.solve((p - mean).T @ (p - mean) + meta_alpha * np.eye(len(BASES)), (p - mean).T @ (v - v.mean()))
+            out.append((frame[s.key].iloc[0], frame[s.order].iloc[now[i]], float(v.mean() + meta @ (last - mean)), *last.tolist()))
+        return pd.DataFrame(out, columns=[s.key, s.order, "raw", *BASES])
+
+    kinds = dict(features.dtypes)
+    found = rows.groupBy(s.key, "_part").applyInPandas(run, f"{s.key} {kinds[s.key]}, {s.order} {kinds[s.order]}, raw double, " + ", ".join(f"{b} double" for b in BASES))
+    return found.withColumn("mu", dead_zone(F.col("raw"), bound, least))
+
+
 Model = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 

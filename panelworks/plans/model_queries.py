@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelworks.functions import panel as W
 from panelworks.functions.scalar import add_zero as r
-from panelworks.functions.scalar import is_rebalance_day
+from panelworks.functions.scalar import clip, is_rebalance_day
 from panelworks.operators import alpha, backtest, book, learn, linear, risk, weights
 from panelworks.operators import stats as A
 from panelworks.plans.panel_queries import COSTED, FEAT, PAN, PERF, WEIGHTS, friday_weights, out
@@ -495,6 +495,24 @@ def n5_weekly_backtest(spark, d):
     return out(A.performance(net.unionByName(hold), ["strategy"]), 6, ("strategy",))
 
 
+#: Assets of a date that keep their forecast, and the cost of the weekly book.
+TOP_K, WEEKLY_BPS = 3, 2.0
+
+
+@query()
+def n5_stacked_trees(spark, d):
+    """The stacked weekly book of the blueprint, next to equal weights: trees in the stack, the ``TOP_K`` largest forecasts, weights without a blend, costs on Fridays."""
+    f, n = stored_inputs(spark, d)
+    mu, cov = full_dates(written(alpha.stacked_trees(f).select("asset", "dt", "mu")), written(friday_cov(spark, d)), n)
+    w = written(weights.mean_variance(A.top_k(mu, TOP_K), cov, 1.5, 0.3))
+    w = weights.beta_neutral(w.join(f.select("asset", "dt", F.col("beta_mkt").alias("beta")), ["asset", "dt"], "left"))
+    w = written(weights.vol_target(w.withColumn("w", clip(F.col("w"), -0.3, 0.3)).select("asset", "dt", "w"), cov))
+    daily = weights.daily(w.withColumn("book_id", F.lit("stacked_trees")), f)
+    net = backtest.portfolio_pnl(daily, f, bps=WEEKLY_BPS, cost_day=4).select(F.col("book_id").alias("strategy"), "dt", F.col("net").alias("ret"))
+    hold = backtest.equal_weight_hold(f).select(F.lit("equal").alias("strategy"), "dt", "ret")
+    return out(A.performance(net.unionByName(hold), ["strategy"]), 6, ("strategy",))
+
+
 @query()
 def n5_multi_asset(spark, d):
     """Mean-variance books of several caps on daily ridge forecasts and sample covariances, scaled by their own past volatility, after costs."""
