@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelworks.llm import decontam, jaccard, langid, linededup, mixing
-from panelworks.llm.common import fresh, stored
+from panelworks.llm.common import forget, fresh, stored
 from panelworks.llm.queries import SHARES, TOTAL
 
 #: A language is rejected where no letter was found, or where another is about as likely.
@@ -17,6 +19,18 @@ LONG_LINE_DOCS, LINE_DOCS = 2, 10
 WINDOW = 10
 
 
+def stage(f):
+    """A stage begins by taking back what the stage before had sent out and stored on its way, as that one's result has been written."""
+
+    @wraps(f)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark)
+        return f(spark, docs, sf_dir)
+
+    return call
+
+
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that was learned stay; texts without a letter, or between languages, go.
 
@@ -27,6 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.filter((F.col(f"{name}.lang") != langid.UND) & (F.col(f"{name}.score") >= LEAST_LANG_SCORE)).select(*docs.columns)
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long lines that any two documents share, and short ones that many share, stay in the first of them only; a text of such lines alone goes whole.
 
@@ -50,6 +65,7 @@ def _with_row(docs: DataFrame) -> tuple[DataFrame, str]:
     return stored(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
+@stage
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the row with the smallest id stays, of rows with one id the first of the table; NULL ids come last.
 
@@ -62,6 +78,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return rows.join(stored(stay), name, "left_semi").select(*docs.columns)
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold any ``WINDOW`` consecutive words of a benchmark item, or an item of fewer words whole, go; op 5 calls the same ones contaminated.
 
@@ -73,6 +90,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(bad, name, "left_anti").select(*docs.columns)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their rate and whole copies in the mix; those with no copy go.
 
@@ -94,6 +112,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+    for _, step in STAGES:
+        docs = stored(step(spark, docs, sf_dir), keep=True)
     return docs
