@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +31,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, **options: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: it cuts the lineage and survives lost executors."""
+#: What has been sent to all tasks and written to the shared folder since the last ``forget``.
+_sent: list[Broadcast] = []
+_written: list[str] = []
+
+
+def send(spark: SparkSession, value) -> Broadcast:
+    """A broadcast variable that ``forget`` takes back."""
+    _sent.append(spark.sparkContext.broadcast(value))
+    return _sent[-1]
+
+
+def forget(spark: SparkSession) -> None:
+    """Take back what operators have sent and stored so far. Only for a job whose results so far stand in tables of their own: frames that read these can't be used any more."""
+    for b in _sent:
+        b.destroy()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    _sent.clear()
+    _written.clear()
+
+
+def stored(df: DataFrame, keep: bool = False, **options: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: it cuts the lineage and survives lost executors. ``keep``: ``forget`` leaves it there."""
     path = shared_dir(df.sparkSession)
+    if not keep:
+        _written.append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

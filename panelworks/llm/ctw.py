@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import LOWER_TABLE, released, stored
+from panelworks.llm.common import LOWER_TABLE, released, send, stored
 
 END = 0xFF  # in no UTF-8 text; also what stands before a text
 END_KEY = 2**64 - 1
@@ -377,7 +377,7 @@ def scores(docs: DataFrame, train, depth: int = 4, block_chars: int = 24_000_000
     kind, key, zeros, ones, below = (found.column(n).to_numpy() for n in ("kind", "key", "zeros", "ones", "weighted"))
     tokens, types = float(zeros[kind == WORD].sum()), float(ones[kind == WORD].sum())
     gram = kind == GRAM
-    top = spark.sparkContext.broadcast(top_levels(key[gram].astype(np.uint64), zeros[gram], ones[gram], below[gram], min(CUT, depth)))
+    top = send(spark, top_levels(key[gram].astype(np.uint64), zeros[gram], ones[gram], below[gram], min(CUT, depth)))
     answers = _answers(requests, totals, buckets, depth, top)
     kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     norm = tokens + 0.1 * (types + 1)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import released, stored
+from panelworks.llm.common import released, send, stored
 
 #: bytes.translate table: A-Z lower-cased, digits, a-z and bytes above 127 kept, all else a blank.
 TOKEN_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -244,7 +244,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, slack: int = 0,
     kinds = pa.schema([("shard", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
 
     def searched(block: Sequences) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+        shared = send(spark, block)
 
         def run(batches):
             for b in batches:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import LOWER_TABLE, release, released, stored
+from panelworks.llm.common import LOWER_TABLE, release, released, send, stored
 from panelworks.llm.graph import components
 
 BITS = 20
@@ -212,7 +212,7 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 def _entries(docs: DataFrame, k: int, percent: int, most: int, counts: np.ndarray, buckets: int) -> DataFrame:
     """The packed rows of each lot of ``docs`` (doc_id, text). A set that the task has met before is left out."""
     top = max(COMMON, TIMES * int(counts.mean()))
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = send(docs.sparkSession, counts)
     # Lots grow with the number of buckets, so that what a lot sends to one stays worth a row.
     chars = int(min(128_000_000, max(2_000_000, 600 * buckets)))
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import bottom_k, release, released, stored
+from panelworks.llm.common import bottom_k, release, released, send, stored
 
 UND = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -180,7 +180,7 @@ class Scorer:
 
 def predict(model: LangModel, spark, text: Column) -> Column:
     """struct(lang, score) of each text; the model goes out as one bounded broadcast."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = send(spark, model)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
     state: dict = {}
 

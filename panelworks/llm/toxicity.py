@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelworks.llm.common import bottom_k, stored
+from panelworks.llm.common import bottom_k, send, stored
 
 # Letters of other scripts that look like Latin ones, and the letters that digits and signs stand for.
 HOMOGLYPHS = dict(
@@ -235,7 +235,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **more) -
 
 
 def _udf(model: ToxModel, spark, call, names: tuple[str, ...], kinds: tuple):
-    shared = spark.sparkContext.broadcast(model)
+    shared = send(spark, model)
     kind = pa.struct(list(zip(names, kinds, strict=True)))
     state: dict = {}
 
