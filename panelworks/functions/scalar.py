@@ -75,6 +75,12 @@ def business_days(df: DataFrame, dt: str = "dt", by: str | None = None) -> DataF
     return days.filter(F.weekday(dt) < 5)
 
 
+def gaps(df: DataFrame, dt: str = "dt", by: str | None = None) -> DataFrame:
+    """(by, dt): business days between the first and last date, of each ``by``, on which there is no row."""
+    keys = [*([by] if by else []), dt]
+    return business_days(df, dt, by).join(df.select(*keys).distinct(), keys, "left_anti")
+
+
 def tail_name(x: Column) -> Column:
     """What stands after the last point."""
     return F.substring_index(x, ".", -1)

@@ -364,8 +364,9 @@ def custom_models(features: DataFrame, models: dict[str, Model], x: Sequence[str
     take their place in the window and are not fitted on.
     """
     kinds = dict(features.dtypes)
-    rows = features.repartition(s.key).withColumn("_y", forward("ret", 1, s)).withColumn("_now", is_rebalance_day(F.col(s.order)))
-    rows = rows.sortWithinPartitions(s.key, s.order).select(s.key, s.order, "_now", "_y", *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(x)])
+    # The window of ``forward`` brings a series together in order; nothing after it moves rows.
+    rows = features.withColumn("_y", forward("ret", 1, s)).withColumn("_now", is_rebalance_day(F.col(s.order)))
+    rows = rows.select(s.key, s.order, "_now", "_y", *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(x)])
 
     def forecasts(past: np.ndarray, now: np.ndarray):
         past = past[~np.isnan(past[:, 0])]

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelworks.functions.scalar import nonzero
+from panelworks.operators.folds import fold_days, vector
 
 
 def orders_to_weights(book: DataFrame, slippage_bps: float = 1.0, whole: bool = False) -> DataFrame:
@@ -36,43 +36,48 @@ def equity(trades: DataFrame, prices: DataFrame, starting_cash: float = 500.0) -
     return rows.select("book_id", "dt", "cash", "value", (F.col("cash") + F.col("value")).alias("equity"))
 
 
-def replay(weights: DataFrame, prices: DataFrame, cash: float = 500.0, slippage_bps: float = 1.0, fee: float = 0.0, leverage: float = 1.5, attempts: int = 4, feasible_only: bool = True, whole: bool = False) -> DataFrame:
-    """Trades (book_id, dt, asset, qty, fill_px, fee) of books that follow daily weights (book_id, dt, asset, w) on their own equity.
+def replay_days(weights: DataFrame, prices: DataFrame, cash: float = 500.0, slippage_bps: float = 1.0, fee: float = 0.0, leverage: float = 1.5, attempts: int = 4, feasible_only: bool = True, whole: bool = False, state: DataFrame | None = None) -> DataFrame:
+    """(book_id, dt, assets, w, shares, cash, trades): the days of ``replay``, with a book's shares and cash after each. ``state``: rows of an earlier run, from which books go on."""
+    days = weights.join(prices.select("dt", "asset", "price"), ["dt", "asset"]).groupBy("book_id", "dt").agg(F.array_sort(F.collect_list(F.struct("asset", "w", "price"))).alias("rows"))
 
-    A book trades when a weight moves. If cash would be negative or leverage too high, all targets are halved, at most ``attempts`` times, else the day is
-    left out; with ``feasible_only`` False it trades whatever comes. A book is one ordered fold; books run in parallel.
-    """
-    rows = weights.join(prices.select("dt", "asset", "price"), ["dt", "asset"])
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        book = frame["book_id"].iloc[0]
-        w_all = frame.pivot(index="dt", columns="asset", values="w").sort_index()
-        p_all = frame.pivot(index="dt", columns="asset", values="price").reindex_like(w_all)
-        assets, shares, have, last, out = list(w_all.columns), np.zeros(w_all.shape[1]), cash, None, []
-        for dt, w, px in zip(w_all.index, w_all.fillna(0.0).to_numpy(), p_all.to_numpy(), strict=True):
-            if last is not None and not (np.abs(w - last) > 1e-9).any():
-                continue
-            last, target = w, np.clip(w, -leverage, leverage) if feasible_only else w
-            px0 = np.where(np.isfinite(px), px, 0.0)
+    def step(now: dict, day: dict) -> dict:
+        today = {r["asset"]: r for r in day["rows"]}
+        assets = sorted({*now["assets"], *today})
+        w, px = (np.array([today[a][c] if a in today and today[a][c] is not None else np.nan for a in assets], float) for c in ("w", "price"))
+        w, px = np.nan_to_num(w), np.where(np.isfinite(px), px, 0.0)
+        shares, have, trades = np.array(vector(assets, now["assets"], now["shares"])), now["cash"], []
+        if now["w"] is None or (np.abs(w - vector(assets, now["assets"], now["w"])) > 1e-9).any():
+            target = np.clip(w, -leverage, leverage) if feasible_only else w
             for _ in range(attempts if feasible_only else 1):
-                eq = have + (shares * px0).sum()
+                eq = have + (shares * px).sum()
                 if feasible_only and eq <= 0:
                     break
-                qty = np.where(px0 != 0, (target * eq - shares * px0) / np.where(px0 != 0, px0, 1), 0.0)
+                qty = np.where(px != 0, (target * eq - shares * px) / np.where(px != 0, px, 1), 0.0)
                 if whole:
                     qty = np.sign(qty) * np.floor(np.abs(qty))
-                fill = px0 * (1 + slippage_bps / 1e4 * np.sign(qty))
+                fill = px * (1 + slippage_bps / 1e4 * np.sign(qty))
                 left = have - (fill * qty).sum() - fee * (qty != 0).sum()
-                held = (shares + qty) * px0
+                held = (shares + qty) * px
                 worth = left + held.sum()
                 if not feasible_only or (worth > 0 and left >= 0 and np.abs(held).sum() / worth <= leverage):
-                    out += [(book, dt, a, q, f, fee) for a, q, f in zip(assets, qty.tolist(), fill.tolist(), strict=True) if q != 0]
+                    trades = [{"asset": a, "qty": q, "fill_px": f, "fee": fee} for a, q, f in zip(assets, qty.tolist(), fill.tolist(), strict=True) if q != 0]
                     shares, have = shares + qty, left
                     break
                 target = target * 0.5
-        return pd.DataFrame(out, columns=["book_id", "dt", "asset", "qty", "fill_px", "fee"])
+        return {"assets": assets, "w": w.tolist(), "shares": shares.tolist(), "cash": float(have), "trades": trades}
+
+    fields = "assets array<string>, w array<double>, shares array<double>, cash double, trades array<struct<asset:string,qty:double,fill_px:double,fee:double>>"
+    return fold_days(days, fields, lambda: {"assets": [], "w": None, "shares": [], "cash": float(cash), "trades": []}, step, state)
+
 
-    return rows.groupBy("book_id").applyInPandas(run, "book_id string, dt date, asset string, qty double, fill_px double, fee double")
+def replay(weights: DataFrame, prices: DataFrame, cash: float = 500.0, slippage_bps: float = 1.0, fee: float = 0.0, leverage: float = 1.5, attempts: int = 4, feasible_only: bool = True, whole: bool = False) -> DataFrame:
+    """Trades (book_id, dt, asset, qty, fill_px, fee) of books that follow daily weights (book_id, dt, asset, w) on their own equity.
+
+    A book trades when a weight moves. If cash would be negative or leverage too high, all targets are halved, at most ``attempts`` times, else the day is
+    left out; with ``feasible_only`` False it trades whatever comes. A book is one ordered stream; books run in parallel.
+    """
+    days = replay_days(weights, prices, cash, slippage_bps, fee, leverage, attempts, feasible_only, whole)
+    return days.select("book_id", "dt", F.explode("trades").alias("_t")).select("book_id", "dt", "_t.asset", "_t.qty", "_t.fill_px", "_t.fee")
 
 
 def gates(books: DataFrame, budget: float, turnover_cap: float = 0.5, vol_cap: float = 0.5, force: bool = False) -> DataFrame:

@@ -233,38 +233,43 @@ def train_minibatch(df: DataFrame, x: Sequence[str], y: str, row_id: str, optimi
 # -- k-means ------------------------------------------------------------------------------------
 
 
-def distance2(x: Column, centre: Sequence[float]) -> Column:
-    c = F.array(*[F.lit(float(v)) for v in centre])
-    return F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
+def assign(df: DataFrame, centres: np.ndarray, x: str = "x") -> DataFrame:
+    """``label`` and ``d2`` of the nearest centre, the first of equals: no join, as centres are few and given. Rows go through in blocks."""
+    kind = pa.struct([("label", pa.int32()), ("d2", pa.float64())])
 
+    def near(column: pa.Array) -> pa.Array:
+        a = _matrix(column)
+        d2 = np.stack([((a - c) ** 2).sum(1) for c in centres], 1)
+        label = d2.argmin(1)
+        return pa.StructArray.from_arrays([pa.array(label.astype(np.int32)), pa.array(d2[np.arange(len(a)), label])], fields=list(kind))
 
-def assign(df: DataFrame, centres: np.ndarray, x: str = "x") -> DataFrame:
-    """``label`` and ``d2`` of the nearest centre, the first of equals: no join, as centres are few and given."""
-    all_ = F.array(*[F.struct(distance2(F.col(x), c).alias("d2"), F.lit(k).alias("label")) for k, c in enumerate(centres)])
-    return df.withColumn("_near", F.array_min(all_)).withColumns({"label": F.col("_near.label"), "d2": F.col("_near.d2")}).drop("_near")
+    found = F.arrow_udf(near, "label int, d2 double")(F.transform(x, lambda v: v.cast("double")))
+    return df.withColumn("_near", found).withColumns({"label": F.col("_near.label"), "d2": F.col("_near.d2")}).drop("_near")
 
 
 def lloyd_sums(df: DataFrame, centres: np.ndarray, x: str = "x") -> list:
-    """One row for each centre that has rows: label, n, sums (of the components), squares (of the norms), cost (squared distances). One pass; each task sends a row for each centre."""
+    """(label, n, sums of the components, squares of the norms, cost: squared distances) of each centre that has rows. One pass; each task sends as many numbers as there are centres times components."""
     own = (centres * centres).sum(1)
+    k, d = centres.shape
 
     def run(batches):
-        k, d = centres.shape
-        n, sums, squares, cost = np.zeros(k, np.int64), np.zeros((k, d)), np.zeros(k), np.zeros(k)
+        total = np.zeros((k, d + 3))  # n, squares, cost, components
         for b in batches:
             a = _matrix(b.column(0))
             norm = (a * a).sum(1)
             d2 = norm[:, None] - 2 * (a @ centres.T) + own
             label = d2.argmin(1)
-            n += np.bincount(label, minlength=k)
-            sums += (label[None, :] == np.arange(k)[:, None]).astype(float) @ a
-            squares += np.bincount(label, norm, k)
-            cost += np.bincount(label, np.maximum(d2[np.arange(len(a)), label], 0), k)
-        yield pa.RecordBatch.from_pydict({"label": np.arange(k, dtype=np.int32), "n": n, "sums": list(sums), "squares": squares, "cost": cost})
-
-    rows = df.select(x).mapInArrow(run, "label int, n long, sums array<double>, squares double, cost double")
-    total = lambda c: F.sum(c).alias(c)
-    return rows.groupBy("label").agg(total("n"), F.array(*[F.sum(F.col("sums")[j]) for j in range(centres.shape[1])]).alias("sums"), total("squares"), total("cost")).filter("n > 0").collect()
+            cost = np.maximum(d2[np.arange(len(a)), label], 0)
+            total += (label[None, :] == np.arange(k)[:, None]).astype(float) @ np.column_stack([np.ones(len(a)), norm, cost, a])
+        yield pa.RecordBatch.from_pydict({"cell": np.arange(total.size, dtype=np.int32), "v": total.ravel()})
+
+    # One sum for all numbers keeps the plan small: a step is little more than its pass.
+    found = df.select(x).mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
+    total = np.zeros(k * (d + 3))
+    for r in found:
+        total[r["cell"]] = r["v"]
+    total = total.reshape(k, d + 3)
+    return [{"label": j, "n": int(round(t[0])), "squares": t[1], "cost": t[2], "sums": t[3:]} for j, t in enumerate(total) if t[0] > 0]
 
 
 def update(rows: list, centres: np.ndarray, df: DataFrame, x: str = "x", row_id: str = "row_id", seed: int = 0) -> np.ndarray:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelworks.functions.panel import ANNUAL, Series, carried
 from panelworks.functions.scalar import clip
+from panelworks.operators.folds import fold_days, long, vector
 
 
 def by_date(cov: DataFrame) -> DataFrame:
@@ -129,7 +130,31 @@ def vol_target(weights: DataFrame, cov: DataFrame, target: float = 0.12, cap: fl
     return rows.withColumn("w", clip(F.col("w") * scale, -cap, cap)).drop("_vol")
 
 
-# -- folds: what depends on the path runs down the dates of a book -------------------------------
+# -- folds: what depends on the path runs down the days of a book --------------------------------
+
+
+def history_vol_days(books: DataFrame, target: float = 0.10, cap: float = 1.5, window: int = 60, state: DataFrame | None = None) -> DataFrame:
+    """(book_id, dt, assets, w, past): the days of ``history_vol_target``, each with the book's last ``window`` simulated returns, which is all that the next day needs of the past.
+
+    ``state``: rows of an earlier run, from which books go on. An asset that a book has held and that is missing on a day has weight 0.
+    """
+    days = books.groupBy("book_id", "dt").agg(F.array_sort(F.collect_list(F.struct("asset", "w", "ret"))).alias("rows"), F.first("sigma_vol", ignorenulls=True).alias("sigma"))
+
+    def step(now: dict, day: dict) -> dict:
+        today = {r["asset"]: r for r in day["rows"]}
+        assets = sorted({*now["assets"], *today})
+        w, ret = (np.array([(today[a][c] or 0.0) if a in today else 0.0 for a in assets]) for c in ("w", "ret"))
+        past, vol = now["past"], np.nan
+        if len(past) >= 2:
+            # Within the slice weights are moved by one row, so its first return is that of weights 0.
+            vol = float(np.std([0.0, *past[1:]], ddof=1)) * ANNUAL**0.5
+        if not np.isfinite(vol) or vol == 0:
+            vol = day["sigma"] if day["sigma"] is not None else np.nan
+        scaled = np.clip(w * (target / vol if np.isfinite(vol) and vol > 1e-8 else 1.0), -cap, cap)
+        earned = float(ret @ vector(assets, now["assets"], now["w"]))
+        return {"assets": assets, "w": scaled.tolist(), "past": [*past, earned][-window:]}
+
+    return fold_days(days, "assets array<string>, w array<double>, past array<double>", lambda: {"assets": [], "w": [], "past": []}, step, state)
 
 
 def history_vol_target(books: DataFrame, target: float = 0.10, cap: float = 1.5, window: int = 60) -> DataFrame:
@@ -138,54 +163,35 @@ def history_vol_target(books: DataFrame, target: float = 0.10, cap: float = 1.5,
     Within the slice the weights are moved by one row, its first row being 0; where the volatility is missing or 0, ``sigma_vol`` takes its place.
     The clip of single weights comes last and may exceed the cap of their sum.
     """
+    return long(history_vol_days(books, target, cap, window), "w").select("book_id", "dt", "asset", "w")
+
+
+def blended_days(books: DataFrame, cov: DataFrame, blend: float = 0.60, asset_cap: float = 0.30, gross_cap: float = 1.5, target: float | None = 0.12, state: DataFrame | None = None) -> DataFrame:
+    """(book_id, dt, assets, w): the days of ``blended``. ``state``: rows of an earlier run, from which books go on."""
+    days = books.groupBy("book_id", "dt").agg(F.array_sort(F.collect_list(F.struct("asset", "w", "beta"))).alias("ws")).join(by_date(cov), "dt").select("book_id", "dt", "ws", "covs")
+
+    def step(now: dict, day: dict) -> dict:
+        assets = [x["asset"] for x in day["ws"]]
+        w = (1 - blend) * np.array([x["w"] for x in day["ws"]], float) + blend * np.array(vector(assets, now["assets"], now["w"]))
+        w = capped(w, gross_cap, asset_cap)
+        beta = np.nan_to_num(np.array([x["beta"] for x in day["ws"]], float))
+        if beta @ beta > 1e-12:
+            w = w - (beta @ w) / (beta @ beta) * beta
+        w = np.clip(w, -asset_cap, asset_cap)
+        if target is not None:
+            vol = float(np.sqrt(max(w @ dense(assets, day["covs"]) @ w, 0.0))) * ANNUAL**0.5
+            w = np.clip(w * (target / vol if vol > 1e-8 else 1.0), -asset_cap, asset_cap)
+        return {"assets": assets, "w": w.tolist()}
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        raw = frame.pivot(index="dt", columns="asset", values="w").fillna(0.0)
-        ret = frame.pivot(index="dt", columns="asset", values="ret").reindex(columns=raw.columns).fillna(0.0).to_numpy()
-        sigma = frame.groupby("dt")["sigma_vol"].first().reindex(raw.index).to_numpy()
-        x, out = raw.to_numpy(), np.zeros(raw.shape)
-        for t in range(len(x)):
-            vol = np.nan
-            a = max(0, t - window)
-            if t - a >= 2:
-                held = np.vstack([np.zeros((1, x.shape[1])), out[a : t - 1]])
-                vol = float(np.std((ret[a:t] * held).sum(1), ddof=1)) * ANNUAL**0.5
-            if not np.isfinite(vol) or vol == 0:
-                vol = sigma[t]
-            scale = target / vol if np.isfinite(vol) and vol > 1e-8 else 1.0
-            out[t] = np.clip(x[t] * scale, -cap, cap)
-        done = pd.DataFrame(out, index=raw.index, columns=raw.columns).stack().rename("w").reset_index()
-        done.insert(0, "book_id", frame["book_id"].iloc[0])
-        return done[["book_id", "dt", "asset", "w"]]
-
-    return books.groupBy("book_id").applyInPandas(run, "book_id string, dt date, asset string, w double")
+    return fold_days(days, "assets array<string>, w array<double>", lambda: {"assets": [], "w": []}, step, state)
 
 
 def blended(books: DataFrame, cov: DataFrame, blend: float = 0.60, asset_cap: float = 0.30, gross_cap: float = 1.5, target: float | None = 0.12) -> DataFrame:
     """(book_id, dt, asset, w) of raw weights (book_id, dt, asset, w, beta) on rebalance dates: blended with the weights before, capped, made beta neutral, scaled to a volatility.
 
-    Each date needs the result of the one before, so a book is one fold; it reads rebalance dates alone. All that doesn't depend on the path is done before.
+    Each date needs the result of the one before, so a book is one stream; it reads rebalance dates alone. All that doesn't depend on the path is done before.
     """
-    rows = books.groupBy("book_id", "dt").agg(F.array_sort(F.collect_list(F.struct("asset", "w", "beta"))).alias("ws")).join(by_date(cov), "dt")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out, before = [], {}
-        for r in frame.sort_values("dt").itertuples(index=False):
-            assets = [x["asset"] for x in r.ws]
-            w = (1 - blend) * np.array([x["w"] for x in r.ws], float) + blend * np.array([before.get(a, 0.0) for a in assets])
-            w = capped(w, gross_cap, asset_cap)
-            beta = np.nan_to_num(np.array([x["beta"] for x in r.ws], float))
-            if beta @ beta > 1e-12:
-                w = w - (beta @ w) / (beta @ beta) * beta
-            w = np.clip(w, -asset_cap, asset_cap)
-            if target is not None:
-                vol = float(np.sqrt(max(w @ dense(assets, r.covs) @ w, 0.0))) * ANNUAL**0.5
-                w = np.clip(w * (target / vol if vol > 1e-8 else 1.0), -asset_cap, asset_cap)
-            before = dict(zip(assets, w.tolist(), strict=True))
-            out += [(r.book_id, r.dt, a, x) for a, x in before.items()]
-        return pd.DataFrame(out, columns=["book_id", "dt", "asset", "w"])
-
-    return rows.groupBy("book_id").applyInPandas(run, "book_id string, dt date, asset string, w double")
+    return long(blended_days(books, cov, blend, asset_cap, gross_cap, target), "w").select("book_id", "dt", "asset", "w")
 
 
 def daily(weights: DataFrame, grid: DataFrame, sticky_zero: bool = True) -> DataFrame:

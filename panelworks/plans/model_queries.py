@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelworks.functions import panel as W
 from panelworks.functions.scalar import add_zero as r
-from panelworks.functions.scalar import clip, is_rebalance_day
+from panelworks.functions.scalar import clip, is_rebalance_day, reversion_position
 from panelworks.operators import alpha, backtest, book, learn, linear, risk, weights
 from panelworks.operators import stats as A
 from panelworks.plans.panel_queries import COSTED, FEAT, PAN, PERF, WEIGHTS, friday_weights, out
@@ -400,8 +400,8 @@ def o4_vol_target(spark, d):
     return out(weights.vol_target(weights.beta_neutral(w).select("asset", "dt", "w"), cov).select("asset", "dt", "w"), 6)
 
 
-#: Books of one job, by the cap on the sum of their weights' sizes; each book is a task of its own.
-CAPS = {"g050": 0.5, "g100": 1.0, "g150": 1.5, "g200": 2.0}
+#: Books of one job, by the cap on the sum of their weights' sizes; each book is a stream of its own.
+CAPS = {f"g{10 * k:03d}": k / 10 for k in range(1, 19)}
 
 
 def many_books(mu, cov):
@@ -448,8 +448,6 @@ def o7_weekly_weights(spark, d):
 
 @query(FEAT + COSTED + " select asset, cast(dt as varchar) dt, round(net, 8) + 0.0 as net from pnl")
 def n1_asset_pnl(spark, d):
-    from panelworks.functions.scalar import reversion_position
-
     f = W.features(panel(spark, d)).withColumn("w", reversion_position(F.col("zscore")))
     return out(backtest.asset_pnl(f).select("asset", "dt", "net"))
 
@@ -553,11 +551,20 @@ def b2_equity(spark, d):
     return out(book.equity(trades(spark, d), fed_prices(spark, d)), 4, ("book_id",))
 
 
+#: Entries of mean reversion, each a book that trades on days of its own.
+ENTRIES = [k / 20 for k in range(2, 42)]
+
+
+def reversion_books(f):
+    """(book_id, dt, asset, w): a quarter of the book in each asset whose z-score is beyond the book's entry, against it."""
+    books = F.explode(F.array(*[F.struct(F.lit(f"z{int(100 * e):03d}").alias("book_id"), (0.25 * reversion_position(F.col("zscore"), e)).alias("w")) for e in ENTRIES]))
+    return f.select("dt", "asset", books.alias("b")).select("b.book_id", "dt", "asset", "b.w")
+
+
 @query()
 def b3_replay(spark, d):
-    rows = daily_book(spark, d)
-    books = rows.select(F.explode(F.array(*[F.struct(F.concat("book_id", F.lit(f"_{k}")).alias("book_id"), (F.col("w") * F.lit(k / 4)).alias("w")) for k in (1, 2, 4)])).alias("b"), "asset", "dt").select("b.book_id", "asset", "dt", "b.w")
-    return out(book.replay(books, fed_prices(spark, d)), 6, ("book_id", "asset"))
+    f = written(W.features(panel(spark, d)))
+    return out(book.replay(reversion_books(f), f.select("asset", "dt", "price")), 6, ("book_id", "asset"))
 
 
 @query(DAILY + ", ch as (select dt, abs(w - lag(w) over (partition by asset order by dt)) x from dw) select 'friday' book_id, cast(dt as varchar) dt, round(coalesce(sum(x), 0), 8) + 0.0 as turnover from ch group by dt")

@@ -93,6 +93,11 @@ def p12_business_days(spark, d):
     return out(P.business_days(panel(spark, d), by="asset"))
 
 
+@query(PAN + ", s as (select asset, min(dt) a, max(dt) b from panel group by asset), c as (select asset, cast(cast(x as varchar)[1:10] as date) dt from s, unnest(generate_series(a, b, interval 1 day)) u(x) where isodow(x) < 6) select asset, cast(dt as varchar) dt from c anti join panel using (asset, dt)")
+def p12_gaps(spark, d):
+    return out(P.gaps(panel(spark, d), by="asset"))
+
+
 @query("select o_orderkey, split_part('Status.' || o_orderstatus, '.', -1) as status from orders")
 def p13_tail_name(spark, d):
     return table(spark, d, "orders").select("o_orderkey", P.tail_name(F.concat(F.lit("Status."), "o_orderstatus")).alias("status"))

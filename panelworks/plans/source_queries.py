@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelworks.functions import panel as W
 from panelworks.operators import book, risk
 from panelworks.plans import model_queries as M
-from panelworks.plans.panel_queries import FEAT, PAN, out
+from panelworks.plans.panel_queries import FEAT, PAN, out, rnd
 from panelworks.plans.registry import query
 from panelworks.sources import tables
 from panelworks.sources.fixtures import panel, prices, table
@@ -74,6 +76,14 @@ def s6_daily_logs(spark, d):
     return out(spark.read.parquet(f"{path}/log").join(days.select("book_id", "asset", F.col("dt").cast("date").alias("dt"), F.col("qty").alias("again")), ["book_id", "asset", "dt"], "full").filter("qty = again").drop("again"), 6, ("book_id", "asset"))
 
 
+@query(FEAT + f"select asset, cast(dt as varchar) dt, {', '.join(rnd(c, c, 6) for c in W.FEATURES)} from feat")
+def s4_stored_layout(spark, d):
+    """The panel stored in buckets by asset and folders by year, and the features of what is read back: no exchange comes before their windows."""
+    name = f"panel_{uuid.uuid4().hex}"
+    tables.write_layout(panel(spark, d), name, f"{folder(spark)}/{name}")
+    return out(W.features(tables.read_layout(spark, name)).select("asset", "dt", *W.FEATURES), 6)
+
+
 EVENTS = """with b as (select event_type as asset, cast(ts as date) as dt, avg(value) as price from events group by 1, 2),
 r as (select *, price / lag(price) over (partition by asset order by dt) - 1 as ret from b)
 select asset, cast(dt as varchar) dt, round(avg(ret) over w, 8) + 0.0 as momentum, round(stddev_samp(ret) over w, 8) + 0.0 as volatility from r

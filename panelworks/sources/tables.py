@@ -58,6 +58,25 @@ def write_features(df: DataFrame, path: str, kind: str = "parquet", by: str = "a
         df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def write_layout(df: DataFrame, name: str, path: str, buckets: int = 8, by: str = "asset", dt: str = "dt") -> None:
+    """Table ``name`` at ``path``: bucketed by asset, sorted by date within a file, in folders of years.
+
+    Windows and joins by asset read it without an exchange, as each bucket has whole assets; a range of dates reads its years alone.
+    """
+    rows = df.withColumn("year", F.year(dt)).repartition(buckets, by)
+    rows.write.mode("overwrite").option("path", path).partitionBy("year").bucketBy(buckets, by).sortBy(by, dt).saveAsTable(name)
+
+
+def read_layout(spark: SparkSession, name: str, start: str | None = None, end: str | None = None, dt: str = "dt") -> DataFrame:
+    """Rows of ``write_layout``'s table in a range of dates."""
+    df = spark.table(name)
+    for day, op in ((start, "__ge__"), (end, "__le__")):
+        if day is not None:
+            day = F.lit(day).cast("date")
+            df = df.filter(getattr(F.col("year"), op)(F.year(day)) & getattr(F.col(dt), op)(day))
+    return df.drop("year")
+
+
 def wide(long: DataFrame, assets: Sequence[str], value: str, keys: Sequence[str] = ("book_id", "dt")) -> DataFrame:
     """One column for each asset, missing ones 0. The assets are given, so the pivot needs no pass to find them."""
     return long.groupBy(*keys).pivot("asset", list(assets)).agg(F.sum(value)).fillna(0.0)

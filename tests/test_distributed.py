@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelworks.operators import alpha, learn, linear, risk, stats, weights
+from panelworks.operators import alpha, book, learn, linear, risk, stats, weights
 
 DAY = dt.date(2024, 1, 1)
 
@@ -199,3 +199,42 @@ def test_custom_models_stream_over_batches(spark):
                 assert got[a, d, "m"] == pytest.approx(want) and got[a, d, "bad"] == 0.0
                 n += 1
     assert len(got) == 2 * n
+
+
+def many_books(spark, n_books=150, days=24):
+    rng = np.random.default_rng(8)
+    rows = []
+    for b in range(n_books):
+        for t in range(days):
+            for a in "PQRS"[: 2 + b % 3]:
+                if (b + t) % 11 == 3 and a == "Q":
+                    continue
+                rows.append((f"b{b:03d}", DAY + dt.timedelta(days=t), a, float(rng.normal() * 0.4) if (t + b) % 3 else 0.2, float(rng.normal() * 0.01), float(rng.normal()), 0.15, 10.0 + float(rng.normal())))
+    return spark.createDataFrame(rows, "book_id string, dt date, asset string, w double, ret double, beta double, sigma_vol double, price double")
+
+
+def two_halves(run, split):
+    """``run(days, state)`` of all days at once, and of two halves, the second from what the first left."""
+    whole = sorted(map(str, run(F.lit(True), None).collect()))
+    first = run(F.col("dt") < split, None).persist()
+    second = run(F.lit(True), first)  # days that have been run are left out
+    return whole, sorted(map(str, first.union(second).collect()))
+
+
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_books_go_on_from_their_state(spark, batch):
+    df, split = many_books(spark), F.lit(DAY + dt.timedelta(days=13))
+    prices = df.groupBy("dt", "asset").agg(F.max("price").alias("price"))
+    pairs = [(DAY + dt.timedelta(days=i), a, b, 2e-4 if a == b else 3e-5) for i in range(24) for a in "PQRS" for b in "PQRS" if a <= b]
+    cov = spark.createDataFrame(pairs, "dt date, asset_a string, asset_b string, cov double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for run in (
+            lambda days, state: weights.history_vol_days(df.filter(days), window=5, state=state),
+            lambda days, state: weights.blended_days(df.filter(days), cov, state=state),
+            lambda days, state: book.replay_days(df.filter(days).drop("price"), prices, state=state, fee=0.01),
+        ):
+            whole, halves = two_halves(run, split)
+            assert whole == halves and len(whole) == 150 * 24
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -63,3 +63,32 @@ def test_registry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stored_layout_needs_no_exchange(spark, tmp_path):
+    from panelworks.functions import panel as W
+
+    days = [dt.date(2021, 12, 1) + dt.timedelta(days=i) for i in range(120)]
+    rows = [(a, t, 10.0 + i % 7, 0.01 * (i % 5) - 0.02, 0.001 * (i % 3)) for a in "ABCDE" for i, t in enumerate(days)]
+    df = spark.createDataFrame(rows, "asset string, dt date, price double, ret double, mkt_ret double")
+    tables.write_layout(df, "layout_test", f"file://{tmp_path}/layout", buckets=3)
+    back = tables.read_layout(spark, "layout_test", "2022-01-05", "2022-03-10")
+    want = df.filter("dt between date '2022-01-05' and date '2022-03-10'")
+    assert sorted(map(str, back.select(df.columns).collect())) == sorted(map(str, want.collect()))
+    made = W.features(back)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" in plan and "Bucketed: true" in plan
+    assert "PartitionFilters: [isnotnull(year" in plan and back.inputFiles() and not any("year=2021" in f for f in back.inputFiles())
+    assert sorted(map(str, made.select(*W.FEATURES, "asset", "dt").collect())) == sorted(map(str, W.features(want).select(*W.FEATURES, "asset", "dt").collect()))
+    both = back.join(back.select("asset", "dt", W.simple_return("price", 1).alias("r")), ["asset", "dt"])
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 0 or "BroadcastHashJoin" in both._jdf.queryExecution().executedPlan().toString()
+    spark.sql("drop table layout_test")
+
+
+def test_gaps(spark):
+    from panelworks.functions import scalar
+
+    monday = dt.date(2024, 1, 1)
+    rows = [("A", monday + dt.timedelta(days=i)) for i in (0, 1, 3, 7, 7)] + [("B", monday)]
+    got = {(r["asset"], r["dt"]) for r in scalar.gaps(spark.createDataFrame(rows, "asset string, dt date"), by="asset").collect()}
+    assert got == {("A", monday + dt.timedelta(days=i)) for i in (2, 4)}
