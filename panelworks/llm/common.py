@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -31,34 +33,45 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-#: What has been sent to all tasks and written to the shared folder since the last ``forget``.
-_sent: list[Broadcast] = []
-_written: list[str] = []
+#: Where ``recorded`` puts down what is sent to all tasks and written to the shared folder.
+_record: ContextVar[list | None] = ContextVar("record", default=None)
 
 
-def send(spark: SparkSession, value) -> Broadcast:
-    """A broadcast variable that ``forget`` takes back."""
-    _sent.append(spark.sparkContext.broadcast(value))
-    return _sent[-1]
+@contextmanager
+def recorded(into: list):
+    """Within it, ``into`` gets the broadcast variables that operators send and the folders that they store tables in, for ``take_back``."""
+    token = _record.set(into)
+    try:
+        yield
+    finally:
+        _record.reset(token)
 
 
-def forget(spark: SparkSession) -> None:
-    """Take back what operators have sent and stored so far. Only for a job whose results so far stand in tables of their own: frames that read these can't be used any more."""
-    for b in _sent:
-        b.destroy()
+def take_back(spark: SparkSession, record: list) -> None:
+    """Destroys the broadcast variables and deletes the folders of a record. Frames that read them can't be used any more, so their results must stand in tables of their own."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
-    _sent.clear()
-    _written.clear()
+    while record:
+        x = record.pop()
+        if isinstance(x, Broadcast):
+            x.destroy()
+        else:
+            place = jvm.org.apache.hadoop.fs.Path(x)
+            place.getFileSystem(conf).delete(place, True)
+
+
+def send(spark: SparkSession, value) -> Broadcast:
+    """A broadcast variable, put down in the record if there is one."""
+    shared = spark.sparkContext.broadcast(value)
+    if (record := _record.get()) is not None:
+        record.append(shared)
+    return shared
 
 
-def stored(df: DataFrame, keep: bool = False, **options: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: it cuts the lineage and survives lost executors. ``keep``: ``forget`` leaves it there."""
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: it cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession)
-    if not keep:
-        _written.append(path)
+    if (record := _record.get()) is not None:
+        record.append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

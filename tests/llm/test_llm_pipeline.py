@@ -42,6 +42,53 @@ def test_near_copies_leave_one(stages):
     assert {r[0] for r in after.select("doc_id").collect()} == want
 
 
+def test_whole_result_of_the_middle_stages(spark, stages):
+    """Stages 2 to 4, one after another, against the plain versions of all three on what the first stage kept."""
+    import re
+
+    from test_llm_edges import brute_components
+
+    import corpus_pipeline as c
+
+    rows = sorted((r["doc_id"], r["text"]) for r in stages[1][1].select("doc_id", "text").collect())
+    key = lambda line: "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in line.strip(" \t\n\x0b\f\r"))
+    holders, first = {}, {}
+    for i, t in rows:
+        for p, line in enumerate((t or "").split("\n")):
+            if key(line):
+                holders.setdefault(key(line), set()).add(i)
+                first.setdefault(key(line), (i, p))
+    long = lambda k: len(re.findall(r"[^\x20\x09-\x0d]+", k)) >= 10 or len(k) >= 50
+    texts = {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        gone = [bool(k := key(x)) and len(holders[k]) >= (c.LONG_LINE_DOCS if long(k) else c.LINE_DOCS) and first[k] != (i, p) for p, x in enumerate(lines)]
+        kept = "\n".join(x for x, g in zip(lines, gone, strict=True) if not g) if any(gone) else t
+        if not any(gone) or kept.strip(" \t\n\x0b\f\r"):
+            texts[i] = kept
+    texts = {i: texts[i] for i, (group, _) in brute_components(texts, 5, 80).items() if group == i}
+    words = lambda t: re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (t or "").encode()))
+    grams = {tuple(w[k : k + c.WINDOW]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() for w in [words(r["text"])] if w for k in range(max(1, len(w) - c.WINDOW + 1))}
+    sizes = {len(g) for g in grams}
+    texts = {i: t for i, t in texts.items() if not any(tuple(w[k : k + n]) in grams for w in [words(t)] for n in sizes for k in range(len(w) - n + 1))}
+    assert {r["doc_id"]: r["text"] for r in stages[3][2].select("doc_id", "text").collect()} == texts and 50 < len(texts) < len(rows)
+
+
+def test_what_stages_send_and_store_is_taken_back(spark):
+    import corpus_pipeline as c
+    from panelworks.llm.common import stored
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    mine = stored(docs)
+    first = stored(c.language(spark, docs, SF))
+    held = [x for x in c._held if isinstance(x, str)]
+    second = stored(c.line_dedup(spark, first, SF))
+    place = lambda x: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert held and not any(place(x).getFileSystem(conf).exists(place(x)) for x in held)
+    assert mine.count() == 40 and first.count() and second.count()  # what was stored outside stays
+
+
 def test_repeated_passages_leave_one(spark):
     import corpus_pipeline
 
@@ -81,7 +128,7 @@ def test_decontamination_acts_on_what_it_finds(spark, tmp_path):
     assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[i] for i in (2, 4, 6, 8, 9)], key=str)
 
 
-@pytest.mark.parametrize("name", ["op5_decontamination", "op8_line_dedup", "op9_chat"])
+@pytest.mark.parametrize("name", ["op5_decontamination", "op8_line_dedup", "op9_chat", "op11_manifest", "op12_collocations"])
 def test_sql(spark, name):
     import duckdb
 
