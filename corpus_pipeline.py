@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelworks.llm import decontam, jaccard, langid, linededup, mixing
-from panelworks.llm.common import forget, fresh, stored
+from panelworks.llm.common import fresh, recorded, stored, take_back
 from panelworks.llm.queries import SHARES, TOTAL
 
 #: A language is rejected where no letter was found, or where another is about as likely.
@@ -19,13 +19,18 @@ LONG_LINE_DOCS, LINE_DOCS = 2, 10
 WINDOW = 10
 
 
+#: What the latest stage has sent out and stored on its way.
+_held: list = []
+
+
 def stage(f):
     """A stage begins by taking back what the stage before had sent out and stored on its way, as that one's result has been written."""
 
     @wraps(f)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        forget(spark)
-        return f(spark, docs, sf_dir)
+        take_back(spark, _held)
+        with recorded(_held):
+            return f(spark, docs, sf_dir)
 
     return call
 
@@ -113,5 +118,5 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, step in STAGES:
-        docs = stored(step(spark, docs, sf_dir), keep=True)
+        docs = stored(step(spark, docs, sf_dir))
     return docs
