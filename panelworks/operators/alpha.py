@@ -350,7 +350,10 @@ def stacked_trees(
         return pd.DataFrame(out, columns=[s.key, s.order, "raw", *BASES])
 
     kinds = dict(features.dtypes)
-    found = rows.groupBy(s.key, "_part").applyInPandas(run, f"{s.key} {kinds[s.key]}, {s.order} {kinds[s.order]}, raw double, " + ", ".join(f"{b} double" for b in BASES))
+    spark = features.sparkSession
+    # Small tables with much work each: more partitions than usual, so that later quarters, which have more rows before them, spread.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    found = rows.repartition(n, s.key, "_part").groupBy(s.key, "_part").applyInPandas(run, f"{s.key} {kinds[s.key]}, {s.order} {kinds[s.order]}, raw double, " + ", ".join(f"{b} double" for b in BASES))
     return found.withColumn("mu", dead_zone(F.col("raw"), bound, least))
 
 
