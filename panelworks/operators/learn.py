@@ -291,7 +291,7 @@ def inertia(rows: list) -> float:
 
 
 def kmeans(df: DataFrame, centres: np.ndarray, x: str = "x", row_id: str = "row_id", max_iter: int = 200, tol: float = 1e-6) -> tuple[np.ndarray, float, int]:
-    """Lloyd's iterations from given centres: (centres, inertia, steps). Stops when both inertia and centres stand still.
+    """Lloyd's iterations from given centres: (centres, inertia, steps). Stops when both inertia and centres stand still; with ``tol`` 0 only where a step changes nothing.
 
     A step is one pass. The inertia about new centres comes from its moments: sum of squares of a label's rows less n times the square of their mean.
     """
@@ -304,7 +304,7 @@ def kmeans(df: DataFrame, centres: np.ndarray, x: str = "x", row_id: str = "row_
         now = float(sum(r["squares"] - r["n"] * (new[r["label"]] ** 2).sum() for r in rows))
         shift = float(np.linalg.norm(new - centres))
         centres = new
-        if abs(last - now) < tol and shift < tol**0.5:
+        if shift == 0 or (abs(last - now) < tol and shift < tol**0.5):
             break
         last = now
     out = inertia(lloyd_sums(df, centres, x))
