@@ -135,36 +135,70 @@ def adam(lr: float, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8) -> Op
 #: Rows times epochs that one job deals out and streams; a job takes whole epochs, one at least.
 ROWS_AT_ONCE = 20_000_000
 
+#: Rows of neighbouring batches that are packed together.
+PACKED_ROWS = 32_768
+
+
+def _pack(columns: Sequence[str]):
+    """Of the rows of neighbouring batches of one epoch: a row for each batch, with its values, by id, as the bytes of a matrix."""
+    schema = pa.schema([("epoch", pa.int32()), ("batch", pa.int32()), ("v", pa.binary())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("batch", "ascending"), ("id", "ascending")])
+        values = np.column_stack([rows.column(c).to_numpy() for c in columns])
+        of = rows.column("batch").to_numpy()
+        starts = np.flatnonzero(np.diff(of, prepend=of[0] - 1))
+        ends = (np.append(starts, len(of)) * values.shape[1] * 8).astype(np.int32)
+        v = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(values)])
+        return pa.Table.from_arrays([pa.array(np.full(len(starts), rows.column("epoch")[0].as_py(), np.int32)), pa.array(of[starts]), v], schema=schema)
+
+    return run
+
 
 def _fold(optimizers: Mapping[str, Optimizer], d: int, l2: float, states: Mapping[str, tuple]):
     """Runs down a stream of batches in order of (model, epoch, batch): the weights and the optimizer's state pass from batch to batch, and go out where an epoch ends."""
+    names = list(optimizers)
 
     def run(streams):
         model = epoch = None
         w, state, t = np.zeros(d), (), 0
 
         def ended():
-            return pa.RecordBatch.from_pydict({"model": [model], "epoch": [epoch], "t": [t], "w": [w.tolist()], "state": [[v.tolist() for v in state]]}, schema=schema)
+            return pa.RecordBatch.from_pydict({"model": [names[model]], "epoch": [epoch], "t": [t], "w": [w.tolist()], "state": [[v.tolist() for v in state]]}, schema=schema)
 
         schema = pa.schema([("model", pa.string()), ("epoch", pa.int32()), ("t", pa.int64()), ("w", pa.list_(pa.float64())), ("state", pa.list_(pa.list_(pa.float64())))])
         for b in streams:
-            rows = b.column("rows")
-            values = rows.flatten().field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            ends = rows.offsets.to_numpy() - rows.offsets[0].as_py()
+            packed = b.column("v").cast(pa.large_binary())
+            ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1] // 8
+            x = np.frombuffer(packed.buffers()[2], np.float64)[ends[0] : ends[-1]].reshape(-1, d).copy()
+            y = x[:, 0].copy()
+            x[:, 0] = 1
+            ends = ((ends - ends[0]) // d).tolist()
             for k, (m, e) in enumerate(zip(b.column("model").to_pylist(), b.column("epoch").to_pylist(), strict=True)):
-                if (m, e) != (model, epoch):
+                if m != model or e != epoch:
                     if model is not None:
                         yield ended()
                     if m != model:
-                        w, state, t = states[m]
+                        w, state, t = states[names[m]]
+                        step = optimizers[names[m]].step
                     model, epoch = m, e
-                part = values[ends[k] : ends[k + 1]]
-                y, x = part[:, 0], part[:, 1:]
-                off = 1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -40, 40))) - y
-                g = np.concatenate([[off.sum()], off @ x]) / len(y)
-                g[1:] += l2 / len(y) * w[1:]
+                at, to = ends[k], ends[k + 1]
+                part = x[at:to]
+                # In place, as a step costs little more than its calls.
+                off = part @ w
+                np.minimum(off, 40, out=off)
+                np.maximum(off, -40, out=off)
+                np.negative(off, out=off)
+                np.exp(off, out=off)
+                off += 1
+                np.reciprocal(off, out=off)
+                off -= y[at:to]
+                g = off @ part
+                g /= to - at
+                if l2:
+                    g[1:] += l2 / (to - at) * w[1:]
                 t += 1
-                change, state = optimizers[model].step(state, g, t)
+                change, state = step(state, g, t)
                 w = w + change
         if model is not None:
             yield ended()
@@ -196,13 +230,16 @@ def _losses(rows: DataFrame, y: str, x: Sequence[str], ws: np.ndarray) -> np.nda
 def train_streams(df: DataFrame, x: Sequence[str], y: str, row_id: str, optimizers: Mapping[str, Optimizer], batch_size: int = 64, epochs: int = 60, l2: float = 0.0, w0: Sequence[float] | None = None) -> dict[str, list[tuple[np.ndarray, float]]]:
     """Mini-batch descent of many models side by side: for each, the weights and the loss over all rows after each epoch.
 
-    Rows are dealt anew each epoch by a hash (``batch_of``). Batches become rows of a stream that is partitioned by model and sorted by (epoch, batch); a fold
-    runs down it, so a step costs no job. A model's steps depend on one another, so its stream is one task, which holds one Arrow batch of it at a time; models
-    run in parallel. A job takes as many whole epochs as ``ROWS_AT_ONCE`` allows and the next one begins with its weights and states (a few times d numbers), so a lost
-    executor costs one job's epochs. Rows with a NULL are left out; without rows weights stay as they began and losses are NaN.
+    Rows are dealt anew each epoch by a hash (``batch_of``). Neighbouring batches are packed together, in parallel, a row for each; these rows are a stream that is partitioned by
+    model and sorted by (epoch, batch); a fold runs down it, so a step costs no job. A model's steps depend on one another, so its stream is one task, which holds one Arrow batch of
+    it at a time; models run in parallel. A job takes as many whole epochs as ``ROWS_AT_ONCE`` allows and the next one begins with its weights and states (a few times d numbers), so a
+    lost executor costs one job's epochs. Rows with a NULL are left out; without rows weights stay as they began and losses are NaN.
     """
     d = len(x) + 1
-    rows = written(df.select(F.col(row_id), *[F.col(c).cast("double").alias(c) for c in [y, *x]]).dropna())
+    columns = [f"_v{j}" for j in range(d)]
+    rows = df.select(F.col(row_id).alias("id"), *[F.col(c).cast("double").alias(v) for c, v in zip([y, *x], columns, strict=True)]).dropna()
+    # As many files as there are cores, so that a small table, too, is dealt by all of them.
+    rows = written(rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "id"))
     n = rows.count()
     start = np.zeros(d) if w0 is None else np.array(w0, float)
     states = {m: (start, o.start(d), 0) for m, o in optimizers.items()}
@@ -210,17 +247,17 @@ def train_streams(df: DataFrame, x: Sequence[str], y: str, row_id: str, optimize
     batches, step = max(1, -(-n // batch_size)), max(1, ROWS_AT_ONCE // max(1, n))
     for first in range(1, epochs + 1, step):
         last = min(epochs, first + step - 1)
-        dealt = rows.withColumn("epoch", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("batch", batch_of(row_id, F.col("epoch"), batches))
-        packed = dealt.groupBy("epoch", "batch").agg(F.sort_array(F.collect_list(F.struct(F.col(row_id).alias("id"), F.array(y, *x).alias("v")))).alias("rows"))
-        stream = written(packed).withColumn("model", F.explode(F.array(*[F.lit(m) for m in optimizers])))
-        stream = stream.repartitionByRange(len(optimizers), "model").sortWithinPartitions("model", "epoch", "batch").select("model", "epoch", "rows")
+        dealt = rows.withColumn("epoch", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("batch", batch_of("id", F.col("epoch"), batches))
+        near = dealt.groupBy("epoch", F.floor(F.col("batch") / max(1, PACKED_ROWS // batch_size)).alias("near"))
+        stream = near.applyInArrow(_pack(columns), "epoch int, batch int, v binary").withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(len(optimizers) - 1))))
+        stream = stream.repartitionById(len(optimizers), F.col("model")).sortWithinPartitions("epoch", "batch").select("model", "epoch", "v")
         found = stream.mapInArrow(_fold(optimizers, d, l2, states), "model string, epoch int, t long, w array<double>, state array<array<double>>").collect()
         for r in sorted(found, key=lambda r: r["epoch"]):
             after[r["model"]].append(np.array(r["w"]))
             states[r["model"]] = (np.array(r["w"]), tuple(np.array(v) for v in r["state"]), r["t"])
     for m in optimizers:
         after[m] += [start] * (epochs - len(after[m]))
-    losses = iter(_losses(rows, y, x, np.array([w for m in optimizers for w in after[m]]).reshape(-1, d)))
+    losses = iter(_losses(rows, columns[0], columns[1:], np.array([w for m in optimizers for w in after[m]]).reshape(-1, d)))
     return {m: [(w, float(next(losses))) for w in after[m]] for m in optimizers}
 
 
