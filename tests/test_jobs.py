@@ -164,3 +164,17 @@ def test_gram_and_its_leading_pair(spark):
     assert lam == pytest.approx(values[-1], rel=1e-12)
     assert np.abs([r["x"] for r in vec.orderBy("i").collect()]) == pytest.approx(np.abs(vectors[:, -1]), abs=1e-8)
     assert learn.gram_of_vectors(df.limit(0)).count() == 0
+
+
+def test_stack_with_trees_computes_its_features_once(spark, panel):
+    df, _ = panel
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    few = {"forest": {"numTrees": 2}, "boosting": {"maxIter": 1}}
+    assert alpha.stacked_with_trees(df.mapInArrow(count, df.schema), **few).count() == 2
+    assert seen.value == df.count()
