@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -47,6 +48,17 @@ def test_streams_of_many_models(spark, monkeypatch, at_once):
         assert [loss for _, loss in got[name]] == pytest.approx([loss for _, loss in want])
 
 
+def test_batches_are_packed_as_rows_of_bytes():
+    rng = np.random.default_rng(2)
+    batch, ids, v = rng.integers(5, 9, 100).astype(np.int32), rng.permutation(100), rng.normal(size=(100, 2))
+    rows = pa.table({"epoch": np.full(100, 3, np.int32), "near": np.zeros(100, np.int64), "batch": batch, "id": ids, "a": v[:, 0], "b": v[:, 1]})
+    got = learn._pack(["a", "b"])(rows).to_pylist()
+    assert [(r["epoch"], r["batch"]) for r in got] == [(3, b) for b in range(5, 9)]
+    for r in got:
+        at = np.flatnonzero(batch == r["batch"])
+        assert np.frombuffer(r["v"]).reshape(-1, 2).tolist() == v[at[np.argsort(ids[at])]].tolist()
+
+
 def test_streams_of_nothing(spark):
     df = spark.createDataFrame([], "id long, y double, a double")
     got = learn.train_streams(df, ["a"], "y", "id", {"m": learn.sgd(0.1)}, 64, 2)
