@@ -4,7 +4,8 @@ A classifier learned from a labelled table gives each document a probability for
 fitted so that the expected tokens of each domain, sum of r * tokens * probability, meet a target: projected-gradient
 least squares, where each step is one aggregation of as many sums as there are domains. In the metric of the
 documents' lengths, with the inverse of the domains' Gram matrix as weights, the largest eigenvalue is 1, so steps of 1 converge.
-A document's rate is an expression in its probabilities and the residuals of the steps so far: nothing is joined, no lineage grows.
+A document's rate is one fold of its probabilities over a constant array of the steps so far: nothing is joined, no lineage grows, and all
+steps have one plan and one generated code, so that the driver holds no more after many steps than after one.
 
 Defined results: NULL and empty texts have 0 tokens and get the rate of their probabilities, which adds no tokens; without labelled rows all
 belong to the first domain; a domain without any probability keeps its target unmet, and targets that no rates reach end at the least squares; a fit that has not
@@ -14,6 +15,7 @@ rows each get the same rate. Other columns are never read.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -86,13 +88,16 @@ class Rates:
 
 
 def _rate(steps: list[list[float]], p: str) -> Column:
-    r = F.lit(1.0)
-    for s in steps:
+    if not steps:
+        return F.lit(1.0)
+
+    def after(r: Column, step: Column) -> Column:
         down = F.lit(0.0)
-        for d, x in enumerate(s):
-            down = down + F.col(p)[d] * F.lit(x)
-        r = F.greatest(F.lit(0.0), r - down)
-    return r
+        for d in range(len(steps[0])):
+            down = down + F.col(p)[d] * step[d]
+        return F.greatest(F.lit(0.0), r - down)
+
+    return F.aggregate(F.from_json(F.lit(json.dumps(steps)), "array<array<double>>"), F.lit(1.0), after)
 
 
 def fit_rates(rows: DataFrame, names: Sequence[str], shares: dict[str, float], total: float = 1.0, n: str = "n_tokens", p: str = "posterior", most: int = 100, tolerance: float = 1e-6) -> Rates:
@@ -110,10 +115,9 @@ def fit_rates(rows: DataFrame, names: Sequence[str], shares: dict[str, float], t
     targets = np.array([shares.get(x, 0.0) / weight * total * size for x in names])
     inverse = np.linalg.pinv(gram + np.eye(k) * 1e-9 * max(size, 1.0))
     steps: list[list[float]] = []
-    before = None
+    before, name = None, fresh("r", rows)
     while True:
-        r = _rate(steps, p)
-        got = rows.agg(*[F.sum(F.col(n) * at[d] * r).alias(f"s{d}") for d in range(k)]).first()
+        got = rows.withColumn(name, _rate(steps, p)).agg(*[F.sum(F.col(n) * at[d] * F.col(name)).alias(f"s{d}") for d in range(k)]).first()
         sums = np.array([float(x or 0) for x in got])
         move = inverse @ (sums - targets)
         settled = before is not None and np.abs(sums - before).max() <= 0.01 * tolerance * size

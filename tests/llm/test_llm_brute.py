@@ -111,6 +111,24 @@ def test_rates_are_the_least_squares_of_numpy(spark):
         mixing.fit_rates(df, list(shares), {"a": 0.99, "b": 0.005, "c": 0.005}, 3.0, most=1)
 
 
+def test_rates_of_many_steps_have_the_plan_of_one(spark):
+    """Else each step of a fit is a larger plan and another class, and the driver's memory grows with them."""
+    rng = np.random.default_rng(2)
+    p, steps = rng.dirichlet([0.5, 0.5, 0.3], 200).tolist(), rng.normal(0, 0.3, (60, 3)).tolist()
+    df = spark.createDataFrame([(x,) for x in p], "posterior array<double>")
+    want, at_zero = [], 0
+    for x in p:
+        r = 1.0
+        for s in steps:
+            r = max(0.0, r - (x[0] * s[0] + x[1] * s[1] + x[2] * s[2]))
+            at_zero += r == 0
+        want.append(r)
+    rate = lambda n: df.select(mixing.Rates(["a", "b", "c"], [], [], steps[:n]).rate())
+    assert [r[0] for r in rate(60).collect()] == want and at_zero > 20
+    assert [rate(n)._jdf.queryExecution().optimizedPlan().toString().count("greatest(") for n in (1, 60)] == [1, 1]
+    assert [r[0] for r in rate(0).limit(1).collect()] == [1.0]
+
+
 # -- op 6 ---------------------------------------------------------------------------------------
 
 
