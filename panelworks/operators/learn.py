@@ -7,15 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from panelworks.functions.digest import md5_heads
 from panelworks.functions.scalar import linear, sigmoid
 from panelworks.operators.linear import triangular
-from panelworks.operators.stats import batch_of, log_loss
+from panelworks.operators.stats import log_loss
 from panelworks.sources.shared import checkpointed, written
 
 
@@ -103,7 +107,7 @@ def evaluate(df: DataFrame, x: Sequence[str], y: str, w: np.ndarray, by: str = "
     return df.groupBy(by).agg(F.count("*").alias("n"), log_loss(F.col(y), p).alias("loss"), F.avg(hit).alias("accuracy"))
 
 
-# -- optimizers: pure functions (state, gradient, step) -> (change of the weights, state) ---------
+# -- optimizers: pure functions (state, gradient, step) -> (change of the weights, state), each number by itself: arrays of one model or of many lanes ---------
 
 
 @dataclass(frozen=True)
@@ -132,22 +136,40 @@ def adam(lr: float, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8) -> Op
     return Optimizer(lambda d: (np.zeros(d), np.zeros(d)), step)
 
 
-#: Rows times epochs that one job deals out and streams; a job takes whole epochs, one at least.
-ROWS_AT_ONCE = 20_000_000
+#: Rows times epochs that are dealt out and streamed together; whole epochs, one at least.
+ROWS_AT_ONCE = 120_000_000
 
-#: Rows of neighbouring batches that are packed together.
-PACKED_ROWS = 32_768
+#: Rows whose batches are packed together, and rows that go into one packed piece.
+PACKED_ROWS, PIECE_ROWS = 65_536, 128
+
+#: Batches of a lane: far more than an optimizer remembers of the weights it began with (Adam's slowest average fades to 1e-12).
+LANE_STEPS = 28_000
+
+#: Lanes of one task, at most, and steps times lanes that it sorts at once.
+LANES_A_TASK, CELLS = 32, 1024
+
+#: Lanes have met where their beginnings moved by no more than this share of the largest number; after so many passes there is one lane instead.
+MET, PASSES = 1e-12, 8
+
+
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    """The same order in 16 bits where they suffice, as numpy sorts these in linear time."""
+    least = numbers.min()
+    return (numbers - least).astype(np.uint16) if numbers.max() - least < 65_536 else numbers
 
 
 def _pack(columns: Sequence[str]):
-    """Of the rows of neighbouring batches of one epoch: a row for each batch, with its values, by id, as the bytes of a matrix."""
+    """Of rows of one epoch: for each number in ``batch`` its values, by id, as the bytes of a matrix, in pieces of at most ``PIECE_ROWS``."""
     schema = pa.schema([("epoch", pa.int32()), ("batch", pa.int32()), ("v", pa.binary())])
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("batch", "ascending"), ("id", "ascending")])
-        values = np.column_stack([rows.column(c).to_numpy() for c in columns])
-        of = rows.column("batch").to_numpy()
-        starts = np.flatnonzero(np.diff(of, prepend=of[0] - 1))
+        order = np.argsort(rows.column("id").to_numpy(), kind="stable")
+        order = order[np.argsort(_narrow(rows.column("batch").to_numpy()[order]), kind="stable")]
+        values = np.column_stack([rows.column(c).to_numpy() for c in columns]).take(order, 0)
+        of = rows.column("batch").to_numpy()[order]
+        new = np.diff(of, prepend=of[0] - 1) != 0
+        within = np.arange(len(of)) - np.maximum.accumulate(np.where(new, np.arange(len(of)), 0))
+        starts = np.flatnonzero(within % PIECE_ROWS == 0)
         ends = (np.append(starts, len(of)) * values.shape[1] * 8).astype(np.int32)
         v = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(values)])
         return pa.Table.from_arrays([pa.array(np.full(len(starts), rows.column("epoch")[0].as_py(), np.int32)), pa.array(of[starts]), v], schema=schema)
@@ -155,57 +177,220 @@ def _pack(columns: Sequence[str]):
     return run
 
 
-def _fold(optimizers: Mapping[str, Optimizer], d: int, l2: float, states: Mapping[str, tuple]):
-    """Runs down a stream of batches in order of (model, epoch, batch): the weights and the optimizer's state pass from batch to batch, and go out where an epoch ends."""
-    names = list(optimizers)
-
-    def run(streams):
-        model = epoch = None
-        w, state, t = np.zeros(d), (), 0
-
-        def ended():
-            return pa.RecordBatch.from_pydict({"model": [names[model]], "epoch": [epoch], "t": [t], "w": [w.tolist()], "state": [[v.tolist() for v in state]]}, schema=schema)
-
-        schema = pa.schema([("model", pa.string()), ("epoch", pa.int32()), ("t", pa.int64()), ("w", pa.list_(pa.float64())), ("state", pa.list_(pa.list_(pa.float64())))])
-        for b in streams:
-            packed = b.column("v").cast(pa.large_binary())
-            ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1] // 8
-            x = np.frombuffer(packed.buffers()[2], np.float64)[ends[0] : ends[-1]].reshape(-1, d).copy()
-            y = x[:, 0].copy()
-            x[:, 0] = 1
-            ends = ((ends - ends[0]) // d).tolist()
-            for k, (m, e) in enumerate(zip(b.column("model").to_pylist(), b.column("epoch").to_pylist(), strict=True)):
-                if m != model or e != epoch:
-                    if model is not None:
-                        yield ended()
-                    if m != model:
-                        w, state, t = states[names[m]]
-                        step = optimizers[names[m]].step
-                    model, epoch = m, e
-                at, to = ends[k], ends[k + 1]
-                part = x[at:to]
+@dataclass(frozen=True)
+class Lanes:
+    """The batches of some epochs, one after another, cut into lanes of ``steps`` batches; a task has ``side`` lanes side by side and sorts ``block`` steps of them at once."""
+
+    first: int
+    last: int
+    batches: int
+    steps: int
+    lanes: int
+    side: int
+
+    @staticmethod
+    def of(first: int, last: int, batches: int, lanes: int, tasks: int) -> Lanes:
+        if lanes > tasks:  # as many in each task
+            lanes -= lanes % tasks
+        steps = -(-(last - first + 1) * batches // lanes)
+        lanes = -(-(last - first + 1) * batches // steps)
+        return Lanes(first, last, batches, steps, lanes, min(LANES_A_TASK, -(-lanes // tasks)))
+
+    @property
+    def tasks(self) -> int:
+        return -(-self.lanes // self.side)
+
+    @property
+    def block(self) -> int:
+        return max(1, CELLS // self.side)
+
+    @property
+    def blocks(self) -> int:
+        return -(-self.steps // self.block)
+
+    def ends(self) -> list[tuple[int, int, int]]:
+        """(lane, step, epoch) of the last batch of each epoch."""
+        return [(*divmod((e - self.first + 1) * self.batches - 1, self.steps), e) for e in range(self.first, self.last + 1)]
+
+
+def _deal(columns: Sequence[str], cut: Lanes):
+    """Rows (id, values) become packed pieces of (block of a task's steps, source): values with the place of their batch before them, for every epoch."""
+    pack = _pack(["at", *columns])
+
+    def dealt(rows: pa.Table, source: int):
+        ids = rows.column("id")
+        heads = md5_heads(ids.to_numpy() if pa.types.is_integer(ids.type) else ids.to_pylist(), [f":{e}" for e in range(cut.first, cut.last + 1)])
+        for k, head in enumerate(heads):
+            at = head % cut.batches + k * cut.batches
+            lane = at // cut.steps
+            block = lane // cut.side * cut.blocks + (at - lane * cut.steps) // cut.block
+            own = rows.append_column("at", pa.array(at.astype(float))).append_column("batch", pa.array(block.astype(np.int32)))
+            packed = pack(own.append_column("epoch", pa.array(np.full(len(at), cut.first + k, np.int32))))
+            for b in packed.append_column("source", pa.array(np.full(len(packed), source))).to_batches():
+                yield b
+
+    def run(stream):
+        waiting, n, source = [], 0, TaskContext.get().partitionId() << 32
+        for b in stream:
+            waiting.append(b)
+            n += len(b)
+            if n >= PACKED_ROWS:
+                yield from dealt(pa.Table.from_batches(waiting), source)
+                waiting, n, source = [], 0, source + 1
+        if n:
+            yield from dealt(pa.Table.from_batches(waiting), source)
+
+    return run
+
+
+def _blocks(stream, width: int):
+    """(number, matrix) of each block of a stream of packed pieces that is sorted by block."""
+    waiting, block = [], None
+    for b in stream:
+        packed = b.column("v").cast(pa.large_binary())
+        ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1] // 8
+        values = np.frombuffer(packed.buffers()[2], np.float64)
+        of = b.column("batch").to_numpy()
+        starts = np.flatnonzero(np.diff(of, prepend=of[0] - 1)).tolist()
+        for at, to in zip(starts, [*starts[1:], len(of)], strict=True):
+            if of[at] != block:
+                if waiting:
+                    yield block, np.concatenate(waiting)
+                waiting, block = [], int(of[at])
+            waiting.append(values[ends[at] : ends[to]].reshape(-1, width))
+    if waiting:
+        yield block, np.concatenate(waiting)
+
+
+FOLDED = pa.schema([("model", pa.string()), ("lane", pa.int32()), ("epoch", pa.int32()), ("t", pa.int64()), ("w", pa.list_(pa.float64())), ("state", pa.list_(pa.list_(pa.float64())))])
+
+
+def _fold(optimizers: Mapping[str, Optimizer], d: int, l2: float, cut: Lanes, starts: Mapping[str, list[tuple]]):
+    """Runs down a task's lanes side by side, all models at once, from given beginnings (weights, state, steps): what they are at the end of each lane (without epoch) and of each epoch."""
+    names = list(starts)
+    steps = [optimizers[m].step for m in names]
+
+    def down(task: int, blocks) -> list[tuple]:
+        lo = task * cut.side
+        own = range(lo, min(lo + cut.side, cut.lanes))
+        side = len(own)
+        # Components first, lanes last: optimizers work on each number by itself.
+        w = np.array([[starts[m][c][0] for c in own] for m in names]).transpose(2, 0, 1).copy()
+        states = [tuple(np.array(v).T.copy() for v in zip(*[starts[m][c][1] for c in own], strict=True)) for m in names]
+        t = np.array([starts[names[0]][c][2] for c in own])
+        ends = sorted((k, lane - lo, e) for lane, k, e in cut.ends() if lane in own)
+        done = []
+        # Arrays, as numpy turns plain numbers into such each time.
+        least, most, one = np.array(-40.0), np.array(40.0), np.array(1.0)
+
+        def seen(lane, epoch):
+            for i, m in enumerate(names):
+                done.append((m, lo + lane, epoch, int(t[lane]), w[:, i, lane].tolist(), [v[:, lane].tolist() for v in states[i]]))
+
+        for number, rows in blocks:
+            before = number % cut.blocks * cut.block
+            at = rows[:, 0].astype(np.int64)
+            lane = at // cut.steps - lo
+            cell = (at - (lane + lo) * cut.steps - before) * side + lane
+            x = rows.take(np.argsort(_narrow(cell), kind="stable"), 0).T[1:].copy()
+            y, sizes = x[0].copy(), np.bincount(cell, minlength=cut.block * side).reshape(-1, side)
+            x[0] = 1
+            lane = np.repeat(np.tile(np.arange(side), len(sizes)), sizes.ravel())
+            bounds = np.append(0, np.cumsum(sizes.sum(1))).tolist()
+            inner = np.cumsum(sizes, 1) - sizes
+            full = (sizes > 0).all(1).tolist()
+            for k in range(len(sizes)):
+                at, to = bounds[k], bounds[k + 1]
+                if at == to:
+                    continue
+                while ends and ends[0][0] < before + k:
+                    seen(*ends.pop(0)[1:])
+                on = slice(None) if full[k] else np.flatnonzero(sizes[k])
+                part, of, size = x[:, at:to], lane[at:to], sizes[k][on]
                 # In place, as a step costs little more than its calls.
-                off = part @ w
-                np.minimum(off, 40, out=off)
-                np.maximum(off, -40, out=off)
-                np.negative(off, out=off)
+                back = -w
+                off = back[0].take(of, 1)
+                term = np.empty_like(off)
+                for j in range(1, d):
+                    back[j].take(of, 1, term, "clip")
+                    term *= part[j]
+                    off += term
+                np.maximum(off, least, out=off)
+                np.minimum(off, most, out=off)
                 np.exp(off, out=off)
-                off += 1
+                off += one
                 np.reciprocal(off, out=off)
                 off -= y[at:to]
-                g = off @ part
-                g /= to - at
+                g = np.empty((d, len(names), len(size)))
+                begin = inner[k][on]
+                np.add.reduceat(off, begin, 1, None, g[0])
+                for j in range(1, d):
+                    np.multiply(off, part[j], out=term)
+                    np.add.reduceat(term, begin, 1, None, g[j])
+                g /= size
                 if l2:
-                    g[1:] += l2 / (to - at) * w[1:]
-                t += 1
-                change, state = step(state, g, t)
-                w = w + change
-        if model is not None:
-            yield ended()
+                    g[1:] += l2 / size * w[1:, :, on]
+                t[on] += 1
+                for i, step in enumerate(steps):
+                    if full[k]:
+                        change, states[i] = step(states[i], g[:, i], t)
+                        w[:, i] += change
+                    else:
+                        change, after = step(tuple(v[:, on] for v in states[i]), g[:, i], t[on])
+                        w[:, i, on] += change
+                        for v, new in zip(states[i], after, strict=True):
+                            v[:, on] = new
+        for _, i, epoch in ends:
+            seen(i, epoch)
+        for i in range(side):
+            seen(i, None)
+        return done
+
+    def run(stream):
+        # Spark may put several small tasks' blocks into one.
+        for task, blocks in groupby(_blocks(stream, d + 1), lambda block: block[0] // cut.blocks):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*down(task, blocks), strict=True), FOLDED, strict=True)], schema=FOLDED)
 
     return run
 
 
+def _moved(old: list[tuple], new: list[tuple]) -> bool:
+    """Whether lanes begin elsewhere than before."""
+    if [t for *_, t in old] != [t for *_, t in new]:
+        return True
+    pairs = [(np.array(a), np.array(b)) for a, b in zip(zip(*[(w, *s) for w, s, _ in old], strict=True), zip(*[(w, *s) for w, s, _ in new], strict=True), strict=True)]
+    return not all((np.abs(a - b) <= MET * np.abs(b).max()).all() for a, b in pairs)
+
+
+def _through(rows: DataFrame, columns: Sequence[str], optimizers: Mapping[str, Optimizer], l2: float, cut: Lanes, states: Mapping[str, tuple]) -> dict[str, tuple[list[np.ndarray], tuple]]:
+    """Of the models whose lanes meet: the weights after each epoch, and (weights, state, steps) at the end."""
+    stream = rows.mapInArrow(_deal(columns, cut), "epoch int, batch int, v binary, source long").repartitionById(cut.tasks, F.expr(f"cast(batch div {cut.blocks} as int)"))
+    stream = stream.sortWithinPartitions("batch", "source").select("batch", "v")
+    if cut.lanes > 1:
+        stream = stream.persist(StorageLevel.DISK_ONLY)
+    starts = {m: [(w, state, t + c * cut.steps) for c in range(cut.lanes)] for m, (w, state, t) in states.items()}
+    out: dict[str, tuple[list[np.ndarray], tuple]] = {}
+    for _ in range(min(PASSES, cut.lanes)):
+        found = stream.mapInArrow(_fold(optimizers, len(columns), l2, cut, starts), "model string, lane int, epoch int, t long, w array<double>, state array<array<double>>").collect()
+        got = {(r["model"], r["lane"], r["epoch"]): (np.array(r["w"]), tuple(np.array(v) for v in r["state"]), r["t"]) for r in found}
+        for m, old in list(starts.items()):
+            # Lanes of a task without rows end as they begin.
+            new = [old[0]]
+            for c in range(cut.lanes):
+                w, state, t = got.get((m, c, None), (*old[c][:2], old[c][2]))
+                new.append((w, state, new[c][2] + t - old[c][2]))
+            if not _moved(old, new[:-1]):
+                out[m] = [got.get((m, c, e), old[c])[0] for c, _, e in cut.ends()], new[-1]
+                del starts[m]
+            else:
+                starts[m] = new[:-1]
+        if not starts:
+            break
+    if cut.lanes > 1:
+        stream.unpersist()
+    return out
+
+
 def _losses(rows: DataFrame, y: str, x: Sequence[str], ws: np.ndarray) -> np.ndarray:
     """The log-loss of every weight vector in one pass; each task sends one number a vector."""
 
@@ -230,33 +415,35 @@ def _losses(rows: DataFrame, y: str, x: Sequence[str], ws: np.ndarray) -> np.nda
 def train_streams(df: DataFrame, x: Sequence[str], y: str, row_id: str, optimizers: Mapping[str, Optimizer], batch_size: int = 64, epochs: int = 60, l2: float = 0.0, w0: Sequence[float] | None = None) -> dict[str, list[tuple[np.ndarray, float]]]:
     """Mini-batch descent of many models side by side: for each, the weights and the loss over all rows after each epoch.
 
-    Rows are dealt anew each epoch by a hash (``batch_of``). Neighbouring batches are packed together, in parallel, a row for each; these rows are a stream that is partitioned by
-    model and sorted by (epoch, batch); a fold runs down it, so a step costs no job. A model's steps depend on one another, so its stream is one task, which holds one Arrow batch of
-    it at a time; models run in parallel. A job takes as many whole epochs as ``ROWS_AT_ONCE`` allows and the next one begins with its weights and states (a few times d numbers), so a
-    lost executor costs one job's epochs. Rows with a NULL are left out; without rows weights stay as they began and losses are NaN.
+    Rows are dealt anew each epoch by a hash (``batch_of``), packed as bytes and sorted into a stream of batches, so a step costs no job. A step needs the weights that the one before
+    left, but little of where a model stood thousands of steps ago remains: a long stream is cut into lanes, which run down side by side, each from where the lane before it ended in the pass
+    before, until all begin where those before them end (to ``MET``). Each pass sets one lane more right at least, and most set all; a model whose lanes don't meet runs down one lane.
+    As many whole epochs as ``ROWS_AT_ONCE`` allows go together and the next ones begin with their weights and states (a few times d numbers). A task holds one block of its lanes' batches
+    at a time. Optimizers get arrays of d x lanes and the lanes' numbers of steps. Rows with a NULL are left out; without rows weights stay as they began and losses are NaN.
     """
     d = len(x) + 1
     columns = [f"_v{j}" for j in range(d)]
-    rows = df.select(F.col(row_id).alias("id"), *[F.col(c).cast("double").alias(v) for c, v in zip([y, *x], columns, strict=True)]).dropna()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    key = F.col(row_id).cast("long" if isinstance(df.schema[row_id].dataType, IntegralType) else "string")
+    rows = df.select(key.alias("id"), *[F.col(c).cast("double").alias(v) for c, v in zip([y, *x], columns, strict=True)]).dropna()
     # As many files as there are cores, so that a small table, too, is dealt by all of them.
-    rows = written(rows.repartition(df.sparkSession.sparkContext.defaultParallelism, "id"))
+    rows = written(rows.repartition(cores, "id").sortWithinPartitions("id"))
     n = rows.count()
     start = np.zeros(d) if w0 is None else np.array(w0, float)
     states = {m: (start, o.start(d), 0) for m, o in optimizers.items()}
     after: dict[str, list[np.ndarray]] = {m: [] for m in optimizers}
     batches, step = max(1, -(-n // batch_size)), max(1, ROWS_AT_ONCE // max(1, n))
+    single: set[str] = set()
     for first in range(1, epochs + 1, step):
         last = min(epochs, first + step - 1)
-        dealt = rows.withColumn("epoch", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("batch", batch_of("id", F.col("epoch"), batches))
-        near = dealt.groupBy("epoch", F.floor(F.col("batch") / max(1, PACKED_ROWS // batch_size)).alias("near"))
-        stream = near.applyInArrow(_pack(columns), "epoch int, batch int, v binary").withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(len(optimizers) - 1))))
-        stream = stream.repartitionById(len(optimizers), F.col("model")).sortWithinPartitions("epoch", "batch").select("model", "epoch", "v")
-        found = stream.mapInArrow(_fold(optimizers, d, l2, states), "model string, epoch int, t long, w array<double>, state array<array<double>>").collect()
-        for r in sorted(found, key=lambda r: r["epoch"]):
-            after[r["model"]].append(np.array(r["w"]))
-            states[r["model"]] = (np.array(r["w"]), tuple(np.array(v) for v in r["state"]), r["t"])
-    for m in optimizers:
-        after[m] += [start] * (epochs - len(after[m]))
+        for lanes in (max(1, (last - first + 1) * batches // LANE_STEPS), 1):
+            left = {m: s for m, s in states.items() if len(after[m]) < last and (lanes == 1 or m not in single)}
+            if left:
+                found = _through(rows, columns, optimizers, l2, Lanes.of(first, last, batches, lanes, cores), left)
+                for m, (ws, end) in found.items():
+                    after[m] += ws
+                    states[m] = end
+                single |= left.keys() - found.keys()
     losses = iter(_losses(rows, columns[0], columns[1:], np.array([w for m in optimizers for w in after[m]]).reshape(-1, d)))
     return {m: [(w, float(next(losses))) for w in after[m]] for m in optimizers}
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelworks.functions.digest import md5_heads
 from panelworks.operators import alpha, book, learn, linear, risk, stats, weights
 
 DAY = dt.date(2024, 1, 1)
@@ -48,6 +49,54 @@ def test_streams_of_many_models(spark, monkeypatch, at_once):
         assert [loss for _, loss in got[name]] == pytest.approx([loss for _, loss in want])
 
 
+@pytest.mark.parametrize("passes", [100, 2])
+@pytest.mark.parametrize("size", [64, 1])
+def test_lanes_of_a_stream_meet(spark, monkeypatch, passes, size):
+    """Lanes of two batches, some without rows, all passes or one lane after two: as the plain loop."""
+    for name, value in (("LANE_STEPS", 2), ("LANES_A_TASK", 2), ("CELLS", 4), ("PIECE_ROWS", 3), ("PACKED_ROWS", 50), ("PASSES", passes), ("ROWS_AT_ONCE", 500)):
+        monkeypatch.setattr(learn, name, value)
+    rng = np.random.default_rng(3)
+    n = 200 if size > 1 else 20
+    rows = np.column_stack([np.arange(n) + 5, rng.integers(0, 2, n), rng.normal(size=(n, 2))])
+    df = spark.createDataFrame([(f"k{int(r[0]):04d}" if size > 1 else int(r[0]), *map(float, r[1:])) for r in rows], f"id {'string' if size > 1 else 'int'}, y double, a double, b double")
+    models = {"sgd": learn.sgd(0.2), "momentum": learn.momentum(0.15), "adam": learn.adam(0.05)}
+    got = learn.train_streams(df, ["a", "b"], "y", "id", models, size, 5, 0.5)
+    dealt = {e: np.array([r["b"] for r in df.select("id", stats.batch_of("id", e, -(-n // size)).alias("b")).orderBy("id").collect()]) for e in range(1, 6)}
+    for name, opt in models.items():
+        want = plain_descent(rows, dealt.__getitem__, opt, 5, 0.5)
+        assert [w.tolist() for w, _ in got[name]] == [pytest.approx(w.tolist(), rel=1e-9) for w, _ in want]
+        assert [loss for _, loss in got[name]] == pytest.approx([loss for _, loss in want])
+
+
+def test_long_streams_are_spread_over_tasks(spark, monkeypatch):
+    """A stream of many batches is lanes in several tasks that meet after a few passes; all in one lane gives the same."""
+    df = spark.range(24_000).select("id", (F.xxhash64("id") % 2 == 0).cast("double").alias("y"), ((F.xxhash64("id", F.lit(1)) % 1000) / 500).alias("a"))
+    models, cuts, fold = {"sgd": learn.sgd(0.2), "momentum": learn.momentum(0.15), "adam": learn.adam(0.05, b2=0.9)}, [], learn._fold
+
+    def seen(*args):
+        cuts.append(args[3])
+        return fold(*args)
+
+    monkeypatch.setattr(learn, "_fold", seen)
+    monkeypatch.setattr(learn, "LANE_STEPS", 1000)
+    got = learn.train_streams(df, ["a"], "y", "id", models, 4, 2)
+    assert 2 <= len(cuts) <= 4 and {(c.lanes, c.tasks, c.steps) for c in cuts} == {(12, 4, 1000)}
+    monkeypatch.setattr(learn, "LANE_STEPS", 10**6)
+    want = learn.train_streams(df, ["a"], "y", "id", models, 4, 2)
+    assert cuts[-1].lanes == 1
+    for m in models:
+        assert [(*w, loss) for w, loss in got[m]] == [pytest.approx((*w, loss), rel=1e-10) for w, loss in want[m]]
+
+
+def test_rows_are_dealt_in_numpy_as_in_spark(spark):
+    ids = [0, 9, 10, 99, -7, 12345678901, 2**63 - 1, -(2**63), 10**18 - 1, 10**18]
+    numbers = spark.createDataFrame([(i,) for i in ids], "id long")
+    texts = spark.createDataFrame([("",), ("a",), ("\u00fcx" * 40,)], "id string")
+    for df, own in ((numbers, np.array(ids)), (texts, ["", "a", "\u00fcx" * 40])):
+        want = np.array([list(r) for r in df.select(*[stats.batch_of("id", e, 1000).alias(str(e)) for e in (1, 60, 123456)]).collect()]).T
+        assert (md5_heads(own, [":1", ":60", ":123456"]) % 1000).tolist() == want.tolist()
+
+
 def test_batches_are_packed_as_rows_of_bytes():
     rng = np.random.default_rng(2)
     batch, ids, v = rng.integers(5, 9, 100).astype(np.int32), rng.permutation(100), rng.normal(size=(100, 2))
