@@ -436,6 +436,9 @@ def train_streams(df: DataFrame, x: Sequence[str], y: str, row_id: str, optimize
     single: set[str] = set()
     for first in range(1, epochs + 1, step):
         last = min(epochs, first + step - 1)
+        if first > 1:
+            # Spark takes back a shuffle's files when the driver's frames are collected as garbage: else those of all epochs could lie on the disks.
+            df.sparkSession.sparkContext._jvm.System.gc()
         for lanes in (max(1, (last - first + 1) * batches // LANE_STEPS), 1):
             left = {m: s for m, s in states.items() if len(after[m]) < last and (lanes == 1 or m not in single)}
             if left:
